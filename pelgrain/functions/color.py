@@ -96,6 +96,6 @@ def is_rgb_blend(c: list[Column], a: list[Column], b: list[Column]) -> Column:
     ok = [(s >= -0.2) & (s <= 1.2) for s in share]
     n = sum((o.cast("int") for o in ok[1:]), ok[0].cast("int"))
     total = sum((F.when(o, s).otherwise(0.0) for o, s in zip(ok[1:], share[1:], strict=True)), F.when(ok[0], share[0]).otherwise(0.0))
-    mean = total / n
+    mean = F.try_divide(total, n)
     off = F.greatest(*[F.abs(z - (mean * x + (F.lit(1.0) - mean) * y)) for z, x, y in zip(c, a, b, strict=True)])
     return F.coalesce((n >= 2) & (mean > 0.01) & (mean < 0.99) & (off < 15.0), F.lit(False))

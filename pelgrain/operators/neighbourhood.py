@@ -84,9 +84,9 @@ def jpeg_quality(pixels: DataFrame, channels: list[str]) -> DataFrame:
     total = lambda on: F.coalesce(F.sum(F.when(((F.col("x") + 1) % 8 == 0) == on, F.col("_dx"))), F.lit(0)) + F.coalesce(F.sum(F.when(((F.col("y") + 1) % 8 == 0) == on, F.col("_dy"))), F.lit(0))
     count = lambda on: F.count(F.when((((F.col("x") + 1) % 8 == 0) == on) & F.col("_dx").isNotNull(), 1)) + F.count(F.when((((F.col("y") + 1) % 8 == 0) == on) & F.col("_dy").isNotNull(), 1))
     s = p.groupBy("image_id").agg(total(True).alias("bs"), count(True).alias("bn"), total(False).alias("is"), count(False).alias("in"))
-    edge, inner = F.col("bs") / (F.col("bn") * len(channels)), F.col("is") / (F.col("in") * len(channels))
+    edge, inner = F.try_divide("bs", F.col("bn") * len(channels)), F.try_divide("is", F.col("in") * len(channels))
     flat = (F.col("in") == 0) | (inner < 1e-5)
-    q = F.when(F.col("bn") == 0, 100.0).when(flat, F.when(edge > 1e-5, 0.0).otherwise(100.0)).when(edge <= inner, 100.0).otherwise(F.lit(100.0) / (edge / inner))
+    q = F.when(F.col("bn") == 0, 100.0).when(flat, F.when(edge > 1e-5, 0.0).otherwise(100.0)).when(edge <= inner, 100.0).otherwise(F.try_divide(F.lit(100.0), F.try_divide(edge, inner)))
     return s.select("image_id", q.alias("quality"))
 
 
