@@ -457,3 +457,57 @@ u AS (SELECT image_id, x, y, unnest(CASE {" ".join(f"WHEN s IN {k} THEN ['{v}']"
 SELECT image_id, x, y, split_part(e, '-', 1) AS a, split_part(e, '-', 2) AS b FROM u""")
 def q43_marching_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.marching_segments(D.emb(spark, sf_dir), "v")
+
+
+# Order-dependent kernels: no SQL form. Their results are held against invariants in the tests.
+
+
+def _icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.packed(D.posterised(D.emb(spark, sf_dir), 128), 8, 8)
+
+
+@query("")
+def q44_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import convert as V
+
+    c = V.contours(_icons(spark, sf_dir), colours=4, turdsize=1)
+    return c.select("image_id", "layer", "contour_id", "parent_id", "depth", milli(F.col("area"), "area_milli"), F.size("points").alias("n_points"))
+
+
+@query("")
+def q45_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import convert as V
+
+    s = V.trace_strokes(D.drawn(spark, 12))
+    return s.select("image_id", "stroke_idx", "component", "closed", milli(F.col("width"), "width_milli"), F.size("segments").alias("n_segments"))
+
+
+@query("")
+def q46_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import convert as V
+
+    c = V.fit(_icons(spark, sf_dir))
+    return c.select("image_id", "curve_idx", "layer", "component", "kind", milli(F.col("area"), "area_milli"), T.path_data(F.col("segments")).alias("d"))
+
+
+@query("")
+def q47_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import convert as V
+
+    q = V.quantize(D.packed(D.emb(spark, sf_dir), 8, 8), mode="photo")
+    return q.select("image_id", "z_order", "color.r", "color.g", "color.b", "n_pixels")
+
+
+@query("")
+def q48_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import convert as V
+
+    r = V.convert(_icons(spark, sf_dir), {"mode": "icon", "colors": 4})
+    return r.select("image_id", "svg", F.octet_length("svg").alias("n_bytes"), F.get_json_object("meta_json", "$.stats.node_count").cast("int").alias("n_nodes"), F.col("error.code").alias("error"))
+
+
+@query("")
+def q49_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import sheet as V
+
+    return V.sheet_report(D.sheets(spark)).select("image_id", "segmentation", "n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling", milli(F.col("score"), "score_milli"))

@@ -104,3 +104,44 @@ BOXES_SQL = """boxes AS (SELECT o_custkey AS image_id, o_orderkey AS box_id, x1,
 CIRCLES_SQL = """proc AS (SELECT shape_id, k, 20e0 + shape_id + (rx + w) * cos(k * (6.283185307179586e0 / 24)) AS x, 30e0 + (ry + w) * sin(k * (6.283185307179586e0 / 24)) AS y FROM (
   SELECT s.range AS shape_id, CAST(t.range AS INT) AS k, 5e0 + s.range % 7 AS rx, 5e0 + s.range % 7 + CASE WHEN s.range % 3 = 1 THEN 4e0 ELSE 0e0 END AS ry, CASE WHEN s.range % 3 = 2 THEN (t.range % 2) * 1.5e0 ELSE 0e0 END AS w
   FROM range(40) s, range(24) t) q)"""
+
+
+def packed(pixels: DataFrame, width: int, height: int, channels: tuple[str, str, str] = ("r", "g", "b"), alpha: str | None = None) -> DataFrame:
+    """Pixel rows -> packed images: image_id, width, height, rgba. One group for each image."""
+    px = [F.col(c).cast("int") for c in channels] + [F.col(alpha).cast("int") if alpha else F.lit(255)]
+    four = F.concat(*[F.lpad(F.hex(c.cast("long")), 2, "0") for c in px])
+    rows = pixels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", four.alias("p")))).alias("ps"))
+    return rows.select(F.col("image_id").cast("string").alias("image_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(F.array_join(F.col("ps.p"), "")).alias("rgba"))
+
+
+def enlarged(pixels: DataFrame, side: int, factor: int) -> DataFrame:
+    """Each pixel as a block of factor x factor; idx, x, y of the larger image."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(factor * factor - 1)))
+    p = pixels.withColumn("_k", k)
+    x, y = F.col("x") * factor + F.col("_k") % factor, F.col("y") * factor + F.floor(F.col("_k") / factor).cast("int")
+    return p.withColumns({"x": x, "y": y}).drop("_k").withColumn("idx", (F.col("y") * side * factor + F.col("x")).cast("int"))
+
+
+def drawn(spark: SparkSession, n: int = 12, size: int = 64) -> DataFrame:
+    """Packed images from formulas: discs, rings, boxes and crosses on white, by turns."""
+    i = spark.range(n).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("idx"))
+    x, y = F.col("idx") % size, F.floor(F.col("idx") / size).cast("int")
+    r, mid = size * 0.25 + F.col("image_id") % 5, (size - 1) / 2
+    d = F.sqrt((x - mid) * (x - mid) + (y - mid) * (y - mid))
+    ax, ay = F.abs(x - mid), F.abs(y - mid)
+    soft = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v + 0.5))
+    cover = F.when(F.col("image_id") % 4 == 0, soft(r - d)).when(F.col("image_id") % 4 == 1, soft(F.least(r - d, d - r / 2))).when(F.col("image_id") % 4 == 2, soft(F.least(r - ax, r - ay))).otherwise(soft(F.greatest(F.least(r - ax, F.lit(4.0) - ay), F.least(r - ay, F.lit(4.0) - ax))))
+    c = {n: F.floor(F.lit(255.0) * (1 - cover) + v * cover + 0.5).cast("int") for n, v in zip("rgb", (200, 40, 60), strict=True)}
+    return packed(i.withColumns(c), size, size)
+
+
+def sheets(spark: SparkSession, n: int = 2, cells: int = 3, pitch: int = 40) -> DataFrame:
+    """Packed contact sheets: a grid of red rings and bars on white."""
+    size = cells * pitch
+    i = spark.range(n).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("idx"))
+    x, y = F.col("idx") % size, F.floor(F.col("idx") / size).cast("int")
+    u, v = x % pitch - pitch / 2 + 0.5, y % pitch - pitch / 2 + 0.5
+    odd = (F.floor(x / pitch) + F.floor(y / pitch) + F.col("image_id")) % 2 == 1
+    d = F.sqrt(u * u + v * v)
+    on = F.when(odd, (F.abs(d - 10) <= 2)).otherwise(((F.abs(u) <= 12) & (F.abs(v) <= 2)) | ((F.abs(v) <= 12) & (F.abs(u) <= 2)))
+    return packed(i.withColumns({"r": F.when(on, 210).otherwise(255), "g": F.when(on, 30).otherwise(255), "b": F.when(on, 50).otherwise(255)}), size, size)
