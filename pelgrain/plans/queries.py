@@ -462,8 +462,14 @@ def q43_marching_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Order-dependent kernels: no SQL form. Their results are held against invariants in the tests.
 
 
+def _spread(images: DataFrame) -> DataFrame:
+    """Small images cost little to move and much to trace: dealt evenly, in as many parts as there are cores."""
+    n = max(images.sparkSession.sparkContext.defaultParallelism, int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return images.repartition(n, "image_id")
+
+
 def _icons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.packed(D.posterised(D.emb(spark, sf_dir), 128), 8, 8)
+    return _spread(D.packed(D.posterised(D.emb(spark, sf_dir), 128), 8, 8))
 
 
 @query("")
@@ -478,7 +484,7 @@ def q44_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q45_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelgrain.plans import convert as V
 
-    s = V.trace_strokes(D.drawn(spark, 12))
+    s = V.trace_strokes(_spread(D.drawn(spark, 12)))
     return s.select("image_id", "stroke_idx", "component", "closed", milli(F.col("width"), "width_milli"), F.size("segments").alias("n_segments"))
 
 
@@ -494,7 +500,7 @@ def q46_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q47_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelgrain.plans import convert as V
 
-    q = V.quantize(D.packed(D.emb(spark, sf_dir), 8, 8), mode="photo")
+    q = V.quantize(_spread(D.packed(D.emb(spark, sf_dir), 8, 8)), mode="photo")
     return q.select("image_id", "z_order", "color.r", "color.g", "color.b", "n_pixels")
 
 
@@ -510,4 +516,4 @@ def q48_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q49_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelgrain.plans import sheet as V
 
-    return V.sheet_report(D.sheets(spark)).select("image_id", "segmentation", "n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling", milli(F.col("score"), "score_milli"))
+    return V.sheet_report(_spread(D.sheets(spark))).select("image_id", "segmentation", "n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling", milli(F.col("score"), "score_milli"))
