@@ -16,7 +16,7 @@ from pelgrain.llm.words import alnum_table, lower_table, runs, split_words, text
 
 WINDOW = 13
 #: Text bytes of a training shard, one index each; a longer text is a shard by itself.
-SHARD = 16 << 20
+SHARD = 4 << 20
 #: Benchmark bytes searched in one pass over the corpus; a larger benchmark takes more passes.
 PHRASE_BLOCK = 32 << 20
 INSIDE, FOLD = alnum_table(), lower_table()

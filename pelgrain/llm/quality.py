@@ -21,8 +21,8 @@ SAMPLE = 20_000
 PRIOR = 4.0
 #: Scale of the Gumbel noise against a score, in nats per n-gram: low, so that it decides near the threshold alone.
 TEMPERATURE = 0.002
-#: n-grams of a batch that are handled at once.
-CHUNK = 4 << 20
+#: Text bytes of a batch that are handled at once.
+CHUNK = 1 << 20
 INSIDE = spaced_table()
 
 

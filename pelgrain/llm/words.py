@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: Multiplier of the polynomial word hash; odd, so that it has an inverse mod 2**64.
 BASE = 0x9E3779B97F4A7C15
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _tables: dict[str, np.ndarray] = {}
 
