@@ -12,6 +12,7 @@ from pelgrain.sources.images import decode
 
 def convert_stream(spark: SparkSession, path: str, out: str, checkpoint: str, options: Options = Options(), files_per_batch: int = 1000) -> StreamingQuery:
     """Watches a folder and appends results as Parquet; each file is converted once, also over restarts."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(path)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
     images = decode(files.select(files.path.alias("image_id"), "content"), options)
     return convert(images, options).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
