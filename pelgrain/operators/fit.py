@@ -205,3 +205,70 @@ def cubic_geometry(segments: DataFrame, key: str = "shape_id", spans: int = 8) -
 
     (x0, x1), (y0, y1) = reach(xs), reach(ys)
     return segments.groupBy(key).agg(F.sum(area).alias("area"), F.sum(length).alias("length"), F.min(x0).alias("x_min"), F.min(y0).alias("y_min"), F.max(x1).alias("x_max"), F.max(y1).alias("y_max"))
+
+
+def snapped_angles(lines: DataFrame, snaps: tuple[float, ...] = (0.0, 45.0, 90.0, 135.0), most: float = 6.0) -> DataFrame:
+    """lines (x1, y1, x2, y2) turned about their middle to the nearest direction mod 180 degrees, if within `most`."""
+    c = F.col
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    size, angle = F.sqrt(dx * dx + dy * dy), F.degrees(F.atan2(dy, dx))
+    off = lambda s: F.pmod(angle - s + 90.0, F.lit(180.0)) - 90.0
+    turn = F.least(*[F.struct(F.abs(off(s)).alias("a"), F.lit(k).alias("k"), off(s).alias("d")) for k, s in enumerate(snaps)])
+    p = lines.withColumns({"_t": turn, "_s": size, "_a": angle})
+    ok = (c("_s") >= 1e-12) & (c("_t.a") <= most)
+    t = F.radians(c("_a") - c("_t.d"))
+    mx, my, hx, hy = (c("x1") + c("x2")) / 2, (c("y1") + c("y2")) / 2, c("_s") / 2 * F.cos(t), c("_s") / 2 * F.sin(t)
+    new = {"x1": mx - hx, "y1": my - hy, "x2": mx + hx, "y2": my + hy}
+    return p.withColumns({n: F.when(ok, v).otherwise(c(n)) for n, v in new.items()}).withColumn("snapped", ok).drop("_t", "_s", "_a")
+
+
+def gridded(points: DataFrame, pitch: float = 1.0, most: float = 1.5) -> DataFrame:
+    """points on the nearest grid point, where both coordinates are near enough."""
+    near = {c: F.floor(F.col(c) / pitch + 0.5) * pitch for c in "xy"}
+    ok = (F.abs(F.col("x") - near["x"]) <= most) & (F.abs(F.col("y") - near["y"]) <= most)
+    return points.withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in near.items()})
+
+
+def mirror_axes(points: DataFrame, key: str = "shape_id", tol: float = 1.0) -> DataFrame:
+    """key, axis: the mean x of shapes of which every point has a partner mirrored at it; others are left out.
+
+    The join is within a shape, on rows of height `tol`, so it meets neighbours only.
+    """
+    mid = points.groupBy(key).agg(F.avg("x").alias("axis"))
+    p = points.join(mid, key).withColumn("_id", F.xxhash64("x", "y"))
+    band = F.floor(F.col("y") / tol)
+    q = points.select(key, F.col("x").alias("qx"), F.col("y").alias("qy"), F.explode(F.array(*[F.floor(F.col("y") / tol) + d for d in (-1, 0, 1)])).alias("_b"))
+    hit = p.withColumn("_b", band).join(q, [key, "_b"]).where(F.sqrt((F.col("qx") - (F.col("axis") * 2 - F.col("x"))) * (F.col("qx") - (F.col("axis") * 2 - F.col("x"))) + (F.col("qy") - F.col("y")) * (F.col("qy") - F.col("y"))) <= tol)
+    lone = p.join(hit.select(key, "_id").distinct(), [key, "_id"], "left_anti").select(key).distinct()
+    return mid.join(lone, key, "left_anti")
+
+
+def weld_pairs(ends: DataFrame, eps: float, key: str = "image_id") -> DataFrame:
+    """Pairs of stroke ends (key, end_id, x, y) within eps: an equi join on cells of side eps and their neighbours."""
+    cell = lambda c: F.floor(F.col(c) / eps)
+    a = ends.select(key, F.col("end_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    d = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = ends.select(key, F.col("end_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(d).alias("d")).select(key, "b", "bx", "by", (F.floor(F.col("bx") / eps) + F.col("d.i")).alias("cx"), (F.floor(F.col("by") / eps) + F.col("d.j")).alias("cy"))
+    near = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))) <= eps
+    return a.join(b, [key, "cx", "cy"]).where((F.col("a") < F.col("b")) & near).select(key, "a", "b")
+
+
+def odd_nodes(edges: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, n_odd: graph nodes with an odd number of edge ends (edges: key, from, to)."""
+    ends = edges.select(key, F.explode(F.array("from", "to")).alias("n"))
+    deg = ends.groupBy(key, "n").agg(F.count("*").alias("d"))
+    return deg.groupBy(key).agg(F.count(F.when(F.col("d") % 2 == 1, 1)).alias("n_odd"))
+
+
+def component_widths(distances: DataFrame) -> DataFrame:
+    """image_id, component, width, n: twice the greatest half-width of each component (image_id, component, dist)."""
+    return distances.groupBy("image_id", "component").agg((F.max("dist") * 2).alias("width"), F.count("*").alias("n"))
+
+
+def primitive_length(kind: Column, rx: Column, ry: Column, w: Column, h: Column) -> Column:
+    """Outline length: Ramanujan's for circles and ellipses, corners of a box as quarter circles of rx."""
+    pi = 3.141592653589793
+    k = F.try_divide(rx - ry, rx + ry)
+    k = k * k * 3
+    round_ = (rx + ry) * pi * (k / (F.sqrt(F.lit(4.0) - k) + 10.0) + 1.0)
+    return F.when(kind.isin("circle", "ellipse"), round_).when(kind == "rect", (w + h) * 2 - rx * (8 - 2 * pi))

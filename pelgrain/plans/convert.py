@@ -59,7 +59,7 @@ def matte(rgba: np.ndarray, o: Options) -> np.ndarray:
 
 
 def gradient(rgba: np.ndarray, mask: np.ndarray, tolerance: float = GRADIENT_TOLERANCE) -> dict | None:
-    """Linear gradient of a layer: a plane for each Lab channel, its steepest direction, colours at both ends.
+    """Linear or radial gradient of a layer in Lab, whichever leaves less, if that is under the tolerance.
 
     Fitted on an even stride of at most 16 384 covered pixels. Flat layers have none.
     """
@@ -72,12 +72,21 @@ def gradient(rgba: np.ndarray, mask: np.ndarray, tolerance: float = GRADIENT_TOL
     if np.sqrt(((lab - lab.mean(axis=0)) ** 2).sum(axis=1).mean()) < 1.0:
         return None
     x, y = (at % w).astype(np.float64), (at // w).astype(np.float64)
-    m = np.stack([np.ones(len(at)), x, y], axis=1)
-    if abs(np.linalg.det(m.T @ m)) < 1e-7:
-        return None
+    best = min((g for g in (_linear(lab, x, y), _radial(lab, x, y)) if g), key=lambda g: g[0], default=None)
+    return best[1] if best and best[0] < tolerance else None
+
+
+def _misfit(lab: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, float]:
     c = np.linalg.solve(m.T @ m, m.T @ lab)
-    if np.sqrt(((lab - m @ c) ** 2).sum(axis=1).mean()) >= tolerance:
+    return c, float(np.sqrt(((lab - m @ c) ** 2).sum(axis=1).mean()))
+
+
+def _linear(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, dict] | None:
+    """A plane for each channel, and the direction in which the three together change most."""
+    m = np.stack([np.ones(len(x)), x, y], axis=1)
+    if abs(np.linalg.det(m.T @ m)) < 1e-7:
         return None
+    c, off = _misfit(lab, m)
     values, vectors = np.linalg.eigh(c[1:] @ c[1:].T)
     d = vectors[:, int(np.argmax(values))]
     d = d if (d[0], d[1]) > (0, 0) else -d
@@ -87,7 +96,20 @@ def gradient(rgba: np.ndarray, mask: np.ndarray, tolerance: float = GRADIENT_TOL
         lo, hi = lo - 0.5, hi + 0.5
     ends = [(float(x.mean() + s * d[0]), float(y.mean() + s * d[1])) for s in (lo, hi)]
     stops = [{"offset": float(k), "color": quant.to_rgb(np.array([1.0, *p]) @ c)} for k, p in enumerate(ends)]
-    return {"x1": ends[0][0] + 0.5, "y1": ends[0][1] + 0.5, "x2": ends[1][0] + 0.5, "y2": ends[1][1] + 0.5, "stops": stops}
+    return off, {"kind": "linear", "x1": ends[0][0] + 0.5, "y1": ends[0][1] + 0.5, "x2": ends[1][0] + 0.5, "y2": ends[1][1] + 0.5, "stops": stops}
+
+
+def _radial(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, dict] | None:
+    """A line over the distance from the centroid for each channel."""
+    cx, cy = float(x.mean()), float(y.mean())
+    d = np.hypot(x - cx, y - cy)
+    m = np.stack([np.ones(len(d)), d], axis=1)
+    if abs(np.linalg.det(m.T @ m)) <= 1e-7:
+        return None
+    c, off = _misfit(lab, m)
+    r = float(d.max()) if d.max() >= 1e-5 else 1.0
+    stops = [{"offset": float(k), "color": quant.to_rgb(np.array([1.0, k * r]) @ c)} for k in (0, 1)]
+    return off, {"kind": "radial", "cx": cx + 0.5, "cy": cy + 0.5, "r": r, "stops": stops}
 
 
 def prepare(rgba: np.ndarray, o: Options, was_jpeg: bool) -> tuple[np.ndarray, str, Options, tuple[int, int, int] | None]:
@@ -274,6 +296,17 @@ def trace_strokes(images: DataFrame, turdsize: int = 2, tolerance: float = 0.5)
     return _rows(images, STROKE, one)
 
 
+def regroup(nodes: list[dict], masks: list[tuple[str, np.ndarray]], layers: list[quant.Layer], least: float = 0.6) -> list[dict]:
+    """Nodes of layers that lie mostly in a mask go into that mask's group; the first of equal masks."""
+    home: dict[int, str] = {}
+    for z, layer in enumerate(layers):
+        total = int(layer.mask.astype(np.int64).sum())
+        share = [int(np.minimum(layer.mask, m.ravel()).astype(np.int64).sum()) / total for _, m in masks] if total else []
+        if share and max(share) >= least:
+            home[z] = masks[int(np.argmax(share))][0]
+    return [n | {"group": home[n["layer"]], "group_path": [home[n["layer"]]]} if n["layer"] in home else n for n in nodes]
+
+
 NODES = T.StructType([T.StructField("image_id", T.StringType()), *NODE.fields])
 
 
