@@ -46,3 +46,28 @@ def word_count(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+#: Bits of a key filter; fixed, so that its table has 2**17 rows at most whatever the keys.
+FILTER_BITS = 23
+
+
+def _filter_place(key: Column) -> tuple[Column, Column]:
+    at = F.pmod(key, F.lit(1 << FILTER_BITS))
+    return F.shiftright(at, 6), F.pmod(at, F.lit(64))
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits): a bitmap of hashed long keys, at most 2**17 rows of 16 bytes, so that it may always be broadcast."""
+    word, bit = _filter_place(F.col(key))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    return staged(keys.select(word.alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+
+
+def may_have(df: DataFrame, key: Column, bitmap: DataFrame, column: str) -> DataFrame:
+    """df with a boolean column: false where the key is certainly not in the filter. A full filter is always true."""
+    word, bit = _filter_place(key)
+    b = F.broadcast(bitmap.select(F.col("word").alias("_f_word"), F.col("bits").alias("_f_bits")))
+    out = df.withColumns({"_f_at": word, "_f_bit": bit.cast("int")}).join(b, F.col("_f_at") == F.col("_f_word"), "left")
+    hit = F.call_function("shiftrightunsigned", F.col("_f_bits"), F.col("_f_bit")).bitwiseAND(F.lit(1)) == 1
+    return out.withColumn(column, F.coalesce(hit, F.lit(False))).drop("_f_at", "_f_bit", "_f_word", "_f_bits")

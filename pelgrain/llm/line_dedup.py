@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelgrain.llm.common import WORD, staged
+from pelgrain.llm.common import WORD, key_filter, may_have, staged
 
 #: A boundary follows a line whose rolling hash is 0 mod this: chunks of two lines on average.
 DIVISOR = 2
@@ -54,23 +54,27 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG,
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th", "start", "n", "doc_id"))
     many = marks.groupBy("ch", "len").agg(F.count("*").alias("c"), first.alias("f")).where("c > 1")
     many = staged(many.select("ch", "len", "f"), "op3-many")
-    owners = many.groupBy(F.col("f.doc_id").alias("o"), F.col("f.th").alias("oh")).agg(F.collect_list(F.struct("ch", "len", "f.start", "f.n")).alias("own"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
     of = lambda a, b, x, y: F.col(a).eqNullSafe(F.col(b)) & (F.col(x) == F.col(y))
-    canon = texts.join(owners, of("doc_id", "o", "th", "oh")).select("doc_id", "th", F.split("text", "\n", -1).alias("lines"), F.explode("own").alias("x"))
-    canon = canon.dropDuplicates(["doc_id", "th", "x"]).select(F.col("x.ch").alias("ch"), F.col("x.len").alias("len"), F.array_join(F.slice("lines", F.col("x.start"), F.col("x.n")), "\n").alias("piece"))
+    # texts of first occurrences: a second scan, of which only chunks that may be one leave their task
+    again = found.select("doc_id", "th", F.explode(_pieces(found)).alias("p")).where((F.length("p.piece") >= min_chars) & ((F.col("p.n") > 1) | F.col("p.big")))
+    again = may_have(again.select("doc_id", "th", "p.start", "p.piece", F.xxhash64("p.piece").alias("ch"), F.length("p.piece").alias("len")), F.col("ch"), key_filter(many, "ch"), "may").where("may")
+    again = may_have(again, F.col("th"), key_filter(many.select("f.th"), "th"), "may").where("may")
+    canon = again.join(many, ["ch", "len"]).where(of("doc_id", "f.doc_id", "th", "f.th") & (F.col("start") == F.col("f.start"))).select("ch", "len", "piece").dropDuplicates(["ch", "len"])
     canon = staged(canon, "op3-canon")
     late = marks.join(many, ["ch", "len"]).where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th")) & (F.col("start") == F.col("f.start"))))
-    late = late.select(F.col("doc_id").alias("o"), F.col("th").alias("oh"), "start", "n", "ch", "len").distinct().join(canon, ["ch", "len"])
-    gone = late.groupBy("o", "oh").agg(F.collect_list(F.struct("start", "n", "piece")).alias("gone"))
-    out = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(gone, of("doc_id", "o", "th", "oh"), "left")
+    late = staged(late.select(F.col("doc_id").alias("o"), F.col("th").alias("oh"), "start", "n", "ch", "len").distinct(), "op3-late")
+    gone = late.join(canon, ["ch", "len"]).groupBy("o", "oh").agg(F.collect_list(F.struct("start", "n", "piece")).alias("gone"))
+    # documents that lose nothing are never shuffled
+    marked = may_have(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"), key_filter(late, "oh"), "may")
+    whole = marked.where("not may").select("doc_id", "text", F.greatest(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    out = marked.where("may").join(gone, of("doc_id", "o", "th", "oh"), "left")
     out = out.select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<struct<start:int,n:int,piece:string>>")).alias("gone"))
     out = out.withColumn("gone", F.filter("gone", lambda g: F.array_join(F.slice("lines", g["start"], g["n"]), "\n") == g["piece"]))
     drop = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
     left = F.filter("lines", lambda x, i: ~F.array_contains("drop", i + 1))
     out = out.withColumn("drop", drop)
     kept = F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    return out.select("doc_id", kept.alias("text"), F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_removed"))
+    return whole.unionAll(out.select("doc_id", kept.alias("text"), F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_removed")))
 
 
 ORACLE = """
