@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sRGB transfer function, D65 white, sRGB <-> XYZ matrices, CIELAB constants.
@@ -39,6 +39,28 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((fy * 116.0 - 16.0).alias("l"), ((fx - fy) * 500.0).alias("a"), ((fy - fz) * 200.0).alias("b"))
 
 
+def lab_of(rgb: tuple[int, int, int]) -> tuple[float, float, float]:
+    """CIELAB of one colour, on the driver."""
+    lin = [linear_light(v) for v in rgb]
+    t = [sum(m * v for m, v in zip(row, lin, strict=True)) / n for row, n in zip(TO_XYZ, (XN, YN, ZN), strict=True)]
+    x, y, z = (v ** (1 / 3) if v > DELTA**3 else v / (3 * DELTA * DELTA) + 4 / 29 for v in t)
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
+def with_lab(df: DataFrame, rgb: tuple[str, str, str] = ("r", "g", "b"), names: tuple[str, str, str] = ("_l", "_a", "_b")) -> DataFrame:
+    """df with the three Lab columns, in steps: each step's columns are used several times by the next.
+
+    As one expression the steps would be copied into each other, hundreds of lookups in all; the
+    optimizer leaves costly columns that are used more than once where they are.
+    """
+    out = df.withColumns({f"_lin{k}": _gamma(F.col(c)) for k, c in enumerate(rgb)})
+    lin = [F.col(f"_lin{k}") for k in range(3)]
+    out = out.withColumns({f"_t{k}": sum((m * c for m, c in zip(row[1:], lin[1:], strict=True)), row[0] * lin[0]) / n for k, (row, n) in enumerate(zip(TO_XYZ, (XN, YN, ZN), strict=True))})
+    out = out.withColumns({f"_f{k}": _lab_f(F.col(f"_t{k}")) for k in range(3)})
+    x, y, z = (F.col(f"_f{k}") for k in range(3))
+    return out.withColumns(dict(zip(names, (y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0), strict=True))).drop(*[f"_{s}{k}" for s in ("lin", "t", "f") for k in range(3)])
+
+
 def lab_distance_sq(p: Column, q: Column) -> Column:
     d = [p[c] - q[c] for c in ("l", "a", "b")]
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
@@ -90,12 +112,18 @@ def format_hex(r: Column, g: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(c.cast("long")), 2, "0") for c in (r, g, b)]))
 
 
-def is_rgb_blend(c: list[Column], a: list[Column], b: list[Column]) -> Column:
-    """A colour that mixes two others: the channels agree on a share in (0.01, 0.99) within 15 steps."""
-    share = [F.when(F.abs(x - y) > 1, (z - y) / (x - y)).otherwise(F.lit(-1.0)) for z, x, y in zip(c, a, b, strict=True)]
-    ok = [(s >= -0.2) & (s <= 1.2) for s in share]
-    n = sum((o.cast("int") for o in ok[1:]), ok[0].cast("int"))
-    total = sum((F.when(o, s).otherwise(0.0) for o, s in zip(ok[1:], share[1:], strict=True)), F.when(ok[0], share[0]).otherwise(0.0))
-    mean = F.try_divide(total, n)
-    off = F.greatest(*[F.abs(z - (mean * x + (F.lit(1.0) - mean) * y)) for z, x, y in zip(c, a, b, strict=True)])
-    return F.coalesce((n >= 2) & (mean > 0.01) & (mean < 0.99) & (off < 15.0), F.lit(False))
+def with_blend(df: DataFrame, c: str, a: str, b: str, name: str) -> DataFrame:
+    """df with a flag: struct column c mixes a and b, the channels agreeing on a share in (0.01, 0.99) within 15 steps.
+
+    In steps, so that no expression holds copies of the one before.
+    """
+    v = lambda s, k: F.col(f"{s}.{k}").cast("double")
+    out = df.withColumns({f"_s{k}": F.when(F.abs(v(a, k) - v(b, k)) > 1, (v(c, k) - v(b, k)) / (v(a, k) - v(b, k))).otherwise(F.lit(-1.0)) for k in "rgb"})
+    ok = {k: (F.col(f"_s{k}") >= -0.2) & (F.col(f"_s{k}") <= 1.2) for k in "rgb"}
+    plus = lambda xs: xs[0] + xs[1] + xs[2]
+    out = out.withColumns({"_n": plus([ok[k].cast("int") for k in "rgb"]), "_sum": plus([F.when(ok[k], F.col(f"_s{k}")).otherwise(0.0) for k in "rgb"])})
+    out = out.withColumn("_mean", F.try_divide("_sum", "_n"))
+    m = F.col("_mean")
+    off = F.greatest(*[F.abs(v(c, k) - (m * v(a, k) + (F.lit(1.0) - m) * v(b, k))) for k in "rgb"])
+    flag = F.coalesce((F.col("_n") >= 2) & (m > 0.01) & (m < 0.99) & (off < 15.0), F.lit(False))
+    return out.withColumn(name, flag).drop("_sr", "_sg", "_sb", "_n", "_sum", "_mean")

@@ -32,26 +32,32 @@ def upper_median(df: DataFrame, value: Column, keys: list[str], name: str) -> Da
     return r.where(F.col("_k") == F.floor(F.col("_n") / 2)).select(*keys, F.col("_v").alias(name))
 
 
-def refined_bands(profile: DataFrame, min_run: int, min_gap: int, min_profile: int) -> DataFrame:
+def both_projections(masked: DataFrame) -> DataFrame:
+    """image_id, axis, pos, n: ink of columns (x) and rows (y) from one pass; positions without ink are left out."""
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("pos")) for a in "xy"])).alias("p")
+    return masked.where("ink").select("image_id", at).groupBy("image_id", "p.axis", "p.pos").agg(F.count("*").alias("n"))
+
+
+def refined_bands(profile: DataFrame, min_run: int, min_gap: int, min_profile: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Bands; where there are two or more, again with a quarter of their median length as the least run."""
-    first = find_bands(profile, "n", min_run, min_gap, min_profile)
-    need = upper_median(first, F.col("end") - F.col("start"), ["image_id"], "m").select("image_id", F.greatest(F.floor(F.col("m") / 4), F.lit(min_run)).alias("need"))
-    many = first.groupBy("image_id").agg(F.count("*").alias("n"))
-    again = first.join(need, "image_id").join(many, "image_id")
-    return again.where((F.col("n") < 2) | (F.col("end") - F.col("start") >= F.col("need"))).select("image_id", "start", "end")
+    w = W.partitionBy(*keys)
+    size = F.col("end") - F.col("start")
+    b = find_bands(profile, "n", min_run, min_gap, min_profile, keys).withColumns({"_k": F.row_number().over(w.orderBy(size)) - 1, "_n": F.count("*").over(w)})
+    b = b.withColumn("_m", F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), size)).over(w))
+    return b.where((F.col("_n") < 2) | (size >= F.greatest(F.floor(F.col("_m") / 4), F.lit(min_run)))).select(*keys, "start", "end")
 
 
-def width_uniformity(bands: DataFrame) -> DataFrame:
-    """image_id, n, uniformity: 1 - spread / median of band widths; the spread is the range under four bands, then the quartiles'."""
-    w = W.partitionBy("image_id")
+def width_uniformity(bands: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """keys, n, uniformity: 1 - spread / median of band widths; the spread is the range under four bands, then the quartiles'."""
+    w = W.partitionBy(*keys)
     width = F.col("end") - F.col("start")
-    r = bands.select("image_id", width.alias("v")).select("image_id", "v", (F.row_number().over(w.orderBy("v")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    r = bands.select(*keys, width.alias("v")).select(*keys, "v", (F.row_number().over(w.orderBy("v")) - 1).alias("k"), F.count("*").over(w).alias("n"))
     at = lambda place: F.max(F.when(F.col("k") == place, F.col("v")))
     n = F.col("n")
-    s = r.groupBy("image_id", "n").agg(at(F.floor(n / 2)).alias("m"), at(F.lit(0)).alias("lo"), at(n - 1).alias("hi"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n * 3 / 4)).alias("q3"))
+    s = r.groupBy(*keys, "n").agg(at(F.floor(n / 2)).alias("m"), at(F.lit(0)).alias("lo"), at(n - 1).alias("hi"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n * 3 / 4)).alias("q3"))
     spread = F.when(n < 4, F.col("hi") - F.col("lo")).otherwise(F.col("q3") - F.col("q1"))
-    u = F.when(n < 2, 1.0).when(F.col("m") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - spread / F.col("m"))))
-    return s.select("image_id", "n", u.alias("uniformity"))
+    u = F.when(n < 2, 1.0).when(F.col("m") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.try_divide(spread, F.col("m")))))
+    return s.select(*keys, "n", u.alias("uniformity"))
 
 
 def cell_ink(masked: DataFrame, cols: DataFrame, rows: DataFrame) -> DataFrame:
@@ -62,20 +68,26 @@ def cell_ink(masked: DataFrame, cols: DataFrame, rows: DataFrame) -> DataFrame:
     return cells.join(hit, ["image_id", "col", "row"], "left").select("image_id", "col", "row", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def score_lattice(masked: DataFrame, cols: DataFrame, rows: DataFrame) -> DataFrame:
-    """image_id, n_cols, n_rows, score: the least of cell occupancy and band uniformity; 0 for a single cell."""
-    cells = cell_ink(masked, cols, rows)
-    floor = upper_median(cells, F.col("n"), ["image_id"], "m").select("image_id", F.greatest(F.floor(F.col("m") / 10), F.lit(1)).alias("floor"))
-    occ = cells.join(floor, "image_id").groupBy("image_id").agg((F.count(F.when(F.col("n") >= F.col("floor"), 1)) / F.count("*")).alias("occ"))
-    u, v = (width_uniformity(b).toDF("image_id", f"n{s}", f"u{s}") for b, s in ((cols, "c"), (rows, "r")))
-    j = occ.join(u, "image_id").join(v, "image_id")
-    score = F.when((F.col("nc") == 1) & (F.col("nr") == 1), 0.0).otherwise(F.least("occ", "uc", "ur"))
-    return j.select("image_id", F.col("nc").alias("n_cols"), F.col("nr").alias("n_rows"), score.alias("score"))
+def score_lattice(masked: DataFrame, bands: DataFrame) -> DataFrame:
+    """image_id, n_cols, n_rows, score: the least of cell occupancy and band uniformity; 0 for a single cell.
+
+    bands: image_id, axis, start, end. A cell is filled from a tenth of the median cell on.
+    """
+    cells = cell_ink(masked, bands.where("axis = 'x'"), bands.where("axis = 'y'"))
+    w = W.partitionBy("image_id")
+    c = cells.withColumns({"_k": F.row_number().over(w.orderBy("n")) - 1, "_t": F.count("*").over(w)})
+    c = c.withColumn("_m", F.max(F.when(F.col("_k") == F.floor(F.col("_t") / 2), F.col("n"))).over(w))
+    occ = c.groupBy("image_id").agg((F.count(F.when(F.col("n") >= F.greatest(F.floor(F.col("_m") / 10), F.lit(1)), 1)) / F.count("*")).alias("occ"))
+    on = lambda a, c: F.max(F.when(F.col("axis") == a, F.col(c)))
+    u = width_uniformity(bands, ("image_id", "axis")).groupBy("image_id").agg(on("x", "n").alias("n_cols"), on("y", "n").alias("n_rows"), F.min("uniformity").alias("u"))
+    score = F.when((F.col("n_cols") == 1) & (F.col("n_rows") == 1), 0.0).otherwise(F.least("occ", "u"))
+    return occ.join(u, "image_id").select("image_id", "n_cols", "n_rows", score.alias("score"))
 
 
 def infer_lattice(masked: DataFrame, min_run: int = 10, min_gap: int = 4, min_profile: int = 2, confidence: float = 0.75) -> DataFrame:
-    cols, rows = (refined_bands(project(masked, a), min_run, min_gap, min_profile) for a in "xy")
-    return score_lattice(masked, cols, rows).withColumn("is_lattice", F.col("score") >= confidence)
+    """image_id, n_cols, n_rows, score, is_lattice. Images without bands on an axis have no row."""
+    bands = refined_bands(both_projections(masked), min_run, min_gap, min_profile, ("image_id", "axis"))
+    return score_lattice(masked, bands).withColumn("is_lattice", F.col("score") >= confidence)
 
 
 def classify_rows(masked: DataFrame, min_run: int = 3, min_gap: int = 3, min_profile: int = 2, ratio: float = 1.8, outside: float = 0.05) -> DataFrame:

@@ -146,11 +146,11 @@ def within_cluster_error(clustered: DataFrame) -> DataFrame:
 
 def palette_nearest(pixels: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
     """pixels with `layer`: the palette colour nearest in Lab, the first of equal ones. The palette is a literal."""
-    labs = pixels.sparkSession.range(1).select(*[C.lab(*[F.lit(v) for v in p]).alias(f"p{k}") for k, p in enumerate(palette)]).first()
-    own = C.lab(*rgb())
-    d = lambda q: C.lab_distance_sq(F.col("_lab"), F.struct(*[F.lit(float(q[c])).alias(c) for c in "lab"]))
+    labs = [C.lab_of(p) for p in palette]
+    own = C.with_lab(pixels)
+    d = lambda q: sum(((F.col(f"_{c}") - q["lab".index(c)]) * (F.col(f"_{c}") - q["lab".index(c)]) for c in "ab"), (F.col("_l") - q[0]) * (F.col("_l") - q[0]))
     near = F.least(*[F.struct(d(q).alias("d"), F.lit(k).alias("k")) for k, q in enumerate(labs)]) if len(palette) > 1 else F.struct(F.lit(0).alias("k"))
-    return pixels.withColumn("_lab", own).withColumn("layer", near["k"]).drop("_lab")
+    return own.select(*pixels.columns, near["k"].alias("layer"))
 
 
 def line_art_block(width: int, height: int) -> int:

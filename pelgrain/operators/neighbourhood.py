@@ -19,8 +19,12 @@ def _down(half: int) -> W:
 
 
 def by_image(pixels: DataFrame) -> DataFrame:
-    """Dealt by image once; later windows by (image, row) and (image, column) then need no other shuffle."""
-    return pixels.repartition("image_id")
+    """Dealt by image once; later windows by (image, row) and (image, column) then need no other shuffle.
+
+    Pixel rows are few bytes and much work, so the number of parts is that of spark.sql.shuffle.partitions
+    and is not merged by size.
+    """
+    return pixels.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
 
 
 def box_sums(pixels: DataFrame, half: int, **values: Column) -> DataFrame:
@@ -95,19 +99,18 @@ def has_anti_aliasing(pixels: DataFrame) -> DataFrame:
 
     Neighbours come by windows over rows and columns, not by joining pixels eight times.
     """
-    row = W.partitionBy("image_id", "y").orderBy("x")
+    row, col = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
     p = by_image(pixels).withColumn("_c", F.struct("r", "g", "b"))
-    p = p.withColumn("_row", F.array(F.lag("_c").over(row), F.col("_c"), F.lead("_c").over(row)))
-    col = W.partitionBy("image_id", "x").orderBy("y")
-    none = F.array().cast("array<struct<r:int,g:int,b:int>>")
-    near = F.concat(F.coalesce(F.lag("_row").over(col), none), F.col("_row"), F.coalesce(F.lead("_row").over(col), none))
-    p = p.withColumn("_n", F.array_distinct(F.filter(near, lambda n: n.isNotNull() & (n != F.col("_c")))))
-    rest = lambda i: F.slice("_n", i + 2, F.greatest(F.size("_n") - i - 1, F.lit(0)))
-    p = p.withColumn("_p", F.flatten(F.transform("_n", lambda a, i: F.transform(rest(i), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    # pairs become rows within the task, where the test runs as generated code
-    pairs = p.select("image_id", "_c", F.explode("_p").alias("_p"))
-    parts = lambda s: [s[c].cast("double") for c in "rgb"]
-    mixed = pairs.where(C.is_rgb_blend(parts(F.col("_c")), parts(F.col("_p.a")), parts(F.col("_p.b")))).select("image_id").distinct().withColumn("_m", F.lit(True))
+    p = p.withColumns({"_w": F.lag("_c").over(row), "_e": F.lead("_c").over(row)})
+    near = {f"_{k}": f(c).over(col) for k, (f, c) in enumerate((f, c) for f in (F.lag, F.lead) for c in ("_w", "_c", "_e"))}
+    p = p.withColumns(near)
+    names = ["_w", "_e", *near]
+    # the 28 pairs of neighbours become rows within the task, where the test runs as generated code
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    every = F.inline(F.array(*[pair(F.col(a), F.col(b)) for i, a in enumerate(names) for b in names[i + 1 :]]))
+    pairs = p.select("image_id", "_c", every).where("a <> b and a <> _c and b <> _c")
+    # an aggregate, not a filter: a filter would be pushed down and its steps copied into each other
+    mixed = C.with_blend(pairs, "_c", "a", "b", "_m").groupBy("image_id").agg(F.bool_or("_m").alias("_m"))
     return pixels.select("image_id").distinct().join(mixed, "image_id", "left").select("image_id", F.coalesce("_m", F.lit(False)).alias("anti_aliased"))
 
 

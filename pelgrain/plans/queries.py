@@ -70,8 +70,8 @@ _L, _A, _B = _lab_sql()
 
 @query(f"WITH {D.EMB_SQL} SELECT image_id, idx, " + ", ".join(f"CAST(floor({e}*1000 + 0.5e0) AS BIGINT) AS {n}" for e, n in zip((_L, _A, _B), ("l_milli", "a_milli", "b_milli"), strict=True)) + " FROM emb")
 def q03_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.emb(spark, sf_dir).withColumn("lab", C.lab(*P.rgb()))
-    return p.select("image_id", "idx", milli(F.col("lab.l"), "l_milli"), milli(F.col("lab.a"), "a_milli"), milli(F.col("lab.b"), "b_milli"))
+    p = C.with_lab(D.emb(spark, sf_dir))
+    return p.select("image_id", "idx", *[milli(F.col(f"_{c}"), f"{c}_milli") for c in "lab"])
 
 
 @query(f"WITH {D.EMB_SQL} SELECT image_id, idx, {SAT} AS sat, (a >= 10 AND {SAT} >= 90 AND greatest(r,g,b) <= 250) AS ink FROM emb")
