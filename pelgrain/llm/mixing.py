@@ -16,6 +16,8 @@ from pelgrain.llm.common import staged, word_count
 #: Blocks of a source are the first three hex digits of the document's order key.
 BLOCK_DIGITS = 3
 N_BLOCKS = 16**BLOCK_DIGITS
+#: Tables of one row for each source are broadcast up to this many rows, else joined by shuffle.
+FEW_SOURCES = 50_000
 PLAN = (
     "array<struct<source:string,source_size:bigint,target:double,base:bigint,cut:string,cut_id:bigint,"
     "cut_words:bigint,n_inst:bigint,mul:bigint,add:bigint,upto:array<bigint>>>"
@@ -92,7 +94,8 @@ def plan_mix(rows: DataFrame, weights: Sequence[int], shards: int, seed: int) ->
     want = staged(want, "op5-want")
     cut = blocks.join(want.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where("before < rest and rest <= after").select("s", "block", F.col("rest") - F.col("before"))
     cut = cut.toDF("s", "cut_block", "need")
-    inside = rows.join(F.broadcast(cut), rows["source"].eqNullSafe(cut["s"]) & (F.substring("key", 1, BLOCK_DIGITS) == F.col("cut_block")))
+    cut = F.broadcast(cut) if want.count() <= FEW_SOURCES else cut
+    inside = rows.join(cut, rows["source"].eqNullSafe(cut["s"]) & (F.substring("key", 1, BLOCK_DIGITS) == F.col("cut_block")))
     run = F.sum("size").over(W.partitionBy("source").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0))
     last = inside.select("source", "key", "id", "size", "need", run.alias("after")).where("after >= need and after - size < need")
     last = last.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("key", "id", (F.col("need") - F.col("after") + F.col("size")).alias("part"))).alias("c"))
@@ -117,7 +120,7 @@ def keyed(docs: DataFrame, size: Column | None = None) -> DataFrame:
     return docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), order_key(id_).alias("key"), F.coalesce(id_, F.lit(-(1 << 63))).alias("id"))
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, source: str, small: int = 50_000) -> DataFrame:
+def _with_plan(rows: DataFrame, plan: DataFrame, source: str, small: int = FEW_SOURCES) -> DataFrame:
     """Broadcast the plan while it has few sources; beyond that join by source (AQE splits a hot one)."""
     p = plan.select(*[F.col(c).alias(f"_p_{c}") for c in plan.columns])
     p = F.broadcast(p) if plan.limit(small + 1).count() <= small else p
