@@ -151,8 +151,3 @@ def palette_nearest(pixels: DataFrame, palette: list[tuple[int, int, int]]) -> D
     d = lambda q: sum(((F.col(f"_{c}") - q["lab".index(c)]) * (F.col(f"_{c}") - q["lab".index(c)]) for c in "ab"), (F.col("_l") - q[0]) * (F.col("_l") - q[0]))
     near = F.least(*[F.struct(d(q).alias("d"), F.lit(k).alias("k")) for k, q in enumerate(labs)]) if len(palette) > 1 else F.struct(F.lit(0).alias("k"))
     return own.select(*pixels.columns, near["k"].alias("layer"))
-
-
-def line_art_block(width: int, height: int) -> int:
-    b = max(3, min(width, height) // 8)
-    return b + 1 if b % 2 == 0 else b
