@@ -203,3 +203,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     c = F.col("_contamination")
     n_hit = F.aggregate(c["hits"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return find_contamination(docs, benchmark, "_contamination").where(~((n_hit > 0) & (n_hit * 20 >= c["n_words"]))).select(*docs.columns)
+
+
+ORACLE = """
+WITH t AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+low AS (SELECT side, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS parts FROM t),
+part AS (SELECT side, r, id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM low),
+put AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY side, r ORDER BY i) AS BIGINT) AS fin FROM part),
+word AS (SELECT side, r, id, p, fin - length(p) AS start, fin, row_number() OVER (PARTITION BY side, r ORDER BY i) AS n FROM put WHERE regexp_matches(p, '^[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]')),
+ahead AS (SELECT *, list(p) OVER (PARTITION BY side, r ORDER BY n ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS w, count(*) OVER (PARTITION BY side, r) AS total FROM word),
+win AS (SELECT DISTINCT id AS item, w, len(w) AS size FROM ahead WHERE side = 'b' AND (len(w) = 13 OR (n = 1 AND total < 13))),
+occ AS (SELECT a.r, a.n, win.item, win.size FROM ahead a JOIN win ON a.p = win.w[1] AND a.w[1:win.size] = win.w WHERE a.side = 'd'),
+hit AS (SELECT DISTINCT r, unnest(range(n, n + size)) AS n FROM occ),
+isle AS (SELECT h.r, word.start, word.fin, h.n - row_number() OVER (PARTITION BY h.r ORDER BY h.n) AS g FROM hit h JOIN word ON word.side = 'd' AND word.r = h.r AND word.n = h.n),
+span AS (SELECT r, count(*) AS n, min(start) AS a, max(fin) AS b FROM isle GROUP BY r, g),
+spans AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_hit, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM span GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item AS VARCHAR) AS item FROM occ WHERE item IS NOT NULL) GROUP BY r),
+words AS (SELECT r, count(*) AS n_words FROM word WHERE side = 'd' GROUP BY r)
+SELECT low.id AS doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= n_words, false) AS contaminated, coalesce(spans, '') AS spans
+FROM low LEFT JOIN words USING (r) LEFT JOIN spans USING (r) LEFT JOIN items USING (r) WHERE low.side = 'd'
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pelgrain.llm import decontaminate, embed_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash, token_counts, url_filter
 from pelgrain.llm.common import table
@@ -51,7 +52,8 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.with_contract_columns(found)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return decontaminate.with_contract_columns(found).withColumn("spans", spans)
 
 
 def queries() -> dict[str, Query]:
@@ -73,4 +75,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_grid_join": embed_dedup.ORACLE, "op3_line_chunks": line_dedup.ORACLE, "op5_source_mix": mixing.ORACLE, "op7_url_lists": url_filter.ORACLE}
+    return {
+        "op1_embedding_grid_join": embed_dedup.ORACLE,
+        "op3_line_chunks": line_dedup.ORACLE,
+        "op5_source_mix": mixing.ORACLE,
+        "op7_url_lists": url_filter.ORACLE,
+        "op9_rendezvous_shards": sharding.ORACLE,
+        "op10_fm_decontamination": decontaminate.ORACLE,
+    }

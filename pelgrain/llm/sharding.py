@@ -60,3 +60,60 @@ def shard_manifest(docs: DataFrame, shards: int = 24) -> DataFrame:
     return rows.join(offsets, ["shard", "block"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + within - 1).alias("slot"), "grown_shard"
     )
+
+
+def _crc_table() -> list[int]:
+    """Remainders of all bytes for the reflected CRC-32 polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def _oracle(shards: int = 24) -> str:
+    """DuckDB has neither XXH64 nor CRC-32; both are spelled out, XXH64 in 128-bit integers for one value of 8 or 4 bytes."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261  # fixed values
+    full = f"{(1 << 64) - 1}::UHUGEINT"
+    cut = lambda x: f"(({x}) & {full})"
+    times = lambda x, p: cut(f"({x}) * {p}::UHUGEINT")
+    step = {8: (27, p1, p4), 4: (23, p2, p3)}
+
+    def turned(name: str, n: int) -> str:
+        return cut(f"({name} << {n}) | ({name} >> {64 - n})")
+
+    def hashed(source: str, value: str, size: int, seed: str, out: str) -> str:
+        """A CTE that extends `source` by `out`, the hash of `value` (UHUGEINT) after `seed`."""
+        turn, mul, add = step[size]
+        k = f"SELECT *, {times(value, p2 if size == 8 else p1)} AS k0 FROM {source}"
+        k = f"SELECT *, {times(turned('k0', 31), p1) if size == 8 else 'k0'} AS k1 FROM ({k})"
+        h = f"SELECT *, xor({cut(f'{seed} + {p5 + size}::UHUGEINT')}, k1) AS h0 FROM ({k})"
+        h = f"SELECT *, {cut(f'{times(turned("h0", turn), mul)} + {add}::UHUGEINT')} AS h1 FROM ({h})"
+        h = f"SELECT *, {times('xor(h1, h1 >> 33)', p2)} AS h2 FROM ({h})"
+        h = f"SELECT *, {times('xor(h2, h2 >> 29)', p3)} AS h3 FROM ({h})"
+        return f"{out}_ AS (SELECT * EXCLUDE (k0, k1, h0, h1, h2, h3), xor(h3, h3 >> 32) AS {out} FROM ({h}))"
+
+    long = lambda c: f"CASE WHEN {c} < 0 THEN ({c}::HUGEINT + {1 << 64}::HUGEINT)::UHUGEINT ELSE {c}::UHUGEINT END"
+    # a null value leaves the hash as it was
+    known = lambda source, c, seed, out: hashed(source, f"coalesce({long(c)}, 0::UHUGEINT)", 8, seed, out)
+    slot = int.from_bytes(b"slot", "little")
+    return f"""
+WITH s AS (
+  SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+         lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32 FROM documents),
+{known("s", "doc_id", "42::UHUGEINT", "raw")},
+kh_ AS (SELECT * EXCLUDE (raw), CASE WHEN doc_id IS NULL THEN 42::UHUGEINT ELSE raw END AS kh, row_number() OVER () AS r FROM raw_),
+{known("kh_", "text_crc32", "kh", "c")},
+{known("c_", "size", "c", "z")},
+{hashed("z_", f"{slot}::UHUGEINT", 4, "z", "b")},
+bid0 AS (SELECT r, kh, unnest(range({shards + 1})) AS k FROM kh_),
+{hashed("bid0", "k::UHUGEINT", 4, "kh", "u")},
+bid AS (SELECT r, k, 1.0::DOUBLE / -ln(((u >> 11)::DOUBLE + 0.5) / {float(1 << 53)!r}::DOUBLE) AS bid FROM u_),
+best AS (SELECT r, CAST(arg_max(k, (bid, k)) FILTER (k < {shards}) AS INT) AS shard, CAST(arg_max(k, (bid, k)) AS INT) AS grown_shard FROM bid GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY b % {BLOCKS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM b_ JOIN best USING (r)
+"""
+
+
+ORACLE = _oracle()
