@@ -77,6 +77,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_grid_join": embed_dedup.ORACLE,
+        "op2_simhash_bytes": simhash.ORACLE,
         "op3_line_chunks": line_dedup.ORACLE,
         "op5_source_mix": mixing.ORACLE,
         "op7_url_lists": url_filter.ORACLE,

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pelgrain.llm.common import staged, utf8_bytes
+from pelgrain.llm.sql_hash import of_number
 
 #: Numbering blocks of a shard; a fixed number, so the table of their counts is bounded.
 BLOCKS = 1024
@@ -73,27 +74,8 @@ def _crc_table() -> list[int]:
 
 
 def _oracle(shards: int = 24) -> str:
-    """DuckDB has neither XXH64 nor CRC-32; both are spelled out, XXH64 in 128-bit integers for one value of 8 or 4 bytes."""
-    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261  # fixed values
-    full = f"{(1 << 64) - 1}::UHUGEINT"
-    cut = lambda x: f"(({x}) & {full})"
-    times = lambda x, p: cut(f"({x}) * {p}::UHUGEINT")
-    step = {8: (27, p1, p4), 4: (23, p2, p3)}
-
-    def turned(name: str, n: int) -> str:
-        return cut(f"({name} << {n}) | ({name} >> {64 - n})")
-
-    def hashed(source: str, value: str, size: int, seed: str, out: str) -> str:
-        """A CTE that extends `source` by `out`, the hash of `value` (UHUGEINT) after `seed`."""
-        turn, mul, add = step[size]
-        k = f"SELECT *, {times(value, p2 if size == 8 else p1)} AS k0 FROM {source}"
-        k = f"SELECT *, {times(turned('k0', 31), p1) if size == 8 else 'k0'} AS k1 FROM ({k})"
-        h = f"SELECT *, xor({cut(f'{seed} + {p5 + size}::UHUGEINT')}, k1) AS h0 FROM ({k})"
-        h = f"SELECT *, {cut(f'{times(turned("h0", turn), mul)} + {add}::UHUGEINT')} AS h1 FROM ({h})"
-        h = f"SELECT *, {times('xor(h1, h1 >> 33)', p2)} AS h2 FROM ({h})"
-        h = f"SELECT *, {times('xor(h2, h2 >> 29)', p3)} AS h3 FROM ({h})"
-        return f"{out}_ AS (SELECT * EXCLUDE (k0, k1, h0, h1, h2, h3), xor(h3, h3 >> 32) AS {out} FROM ({h}))"
-
+    """DuckDB has neither XXH64 nor CRC-32; both are spelled out."""
+    hashed = lambda source, value, size, seed, out: f"{out}_ AS ({of_number(source, value, size, seed, out)})"
     long = lambda c: f"CASE WHEN {c} < 0 THEN ({c}::HUGEINT + {1 << 64}::HUGEINT)::UHUGEINT ELSE {c}::UHUGEINT END"
     # a null value leaves the hash as it was
     known = lambda source, c, seed, out: hashed(source, f"coalesce({long(c)}, 0::UHUGEINT)", 8, seed, out)

@@ -13,6 +13,7 @@ from xxhash import xxh64_intdigest
 
 from pelgrain.llm.common import staged
 from pelgrain.llm.graph import components
+from pelgrain.llm.sql_hash import of_text
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -132,3 +133,25 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, broadcast_up_t
         again = out.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
         out = out.join(twice.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionAll(again)
     return out
+
+
+def _oracle(shingle: int = SHINGLE, bits: int = MAX_BITS) -> str:
+    tally = ", ".join(f"sum(n * CAST((h >> {k}) & 1 AS BIGINT)) AS s{k}" for k in range(64))
+    fp = " + ".join(f"CASE WHEN 2 * s{k} > n THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64))
+    return f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, greatest(1, len(w) - {shingle - 1}) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT r, array_to_string(w[i:i + {shingle - 1}], ' ') AS s, count(*) AS n FROM i GROUP BY ALL),
+h AS (SELECT s, h::UBIGINT AS h FROM ({of_text("(SELECT DISTINCT s FROM s)", "s", 42, "h")})),
+t AS (SELECT r, sum(n) AS n, {tally} FROM s JOIN h USING (s) GROUP BY r),
+f AS (SELECT r, CAST({fp} AS UBIGINT) AS fp FROM t),
+d AS (SELECT w.doc_id, coalesce(f.fp, 0::UBIGINT) AS fp FROM w LEFT JOIN f USING (r)),
+p AS (SELECT fp, min(doc_id) AS lo FROM d GROUP BY fp),
+l AS (SELECT a.fp AS u, b.fp AS v FROM p a JOIN p b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::HUGEINT) <= {bits}),
+c(fp, m) AS (SELECT fp, lo FROM p UNION SELECT l.v, c.m FROM c JOIN l ON l.u = c.fp),
+k AS (SELECT fp, min(m) AS component_id FROM c GROUP BY fp)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM d JOIN k USING (fp)
+"""
+
+
+ORACLE = _oracle()
