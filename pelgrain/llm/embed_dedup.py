@@ -248,8 +248,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 ORACLE = """
-WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
-l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.93 ELSE false END),
 r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.v, r.m FROM r JOIN l ON l.u = r.n),
 c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n),
 k AS (SELECT u, count(*) AS n FROM l GROUP BY u)
