@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -68,11 +70,43 @@ def write_flat(docs: DataFrame, vocab: str = VOCAB, eod: int = EOD, block: int =
     return docs.select("doc_id", "text").mapInArrow(batches, FLAT)
 
 
-def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Flat files of uint16 identifiers from storage, as blocks. `file` is a hash of the path."""
-    f = spark.read.format("binaryFile").load(path)
-    start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / block)))).alias("block")
-    return f.select(F.xxhash64("path").alias("file"), start, "content").select("file", "block", F.substring("content", (F.col("block") * block + 1).cast("int"), F.lit(block)).alias("tokens"))
+def _open(path: str):
+    """A file of any storage for reading at any place."""
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        return open(unquote(parts.path), "rb")
+    system, inner = FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def read_flat(spark: SparkSession, path: str, block: int = BLOCK, task_bytes: int = 64 << 20) -> DataFrame:
+    """Flat files of uint16 identifiers from storage, as blocks. `file` is a hash of the path.
+
+    Only names and lengths are listed; tasks of about `task_bytes` then read their own ranges, so a
+    file of any size is spread over all executors and none is ever held as a whole.
+    """
+    if block < 2 or block % 2:
+        raise ValueError("a block must hold whole identifiers of 2 bytes")
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    total = files.agg(F.sum("length")).first()[0] or 0
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))).alias("block")
+    pieces = files.select("path", F.xxhash64("path").alias("file"), start).repartition(max(1, min(100_000, -(-total // task_bytes))), "path", F.floor(F.col("block") * block / task_bytes)).sortWithinPartitions("path", "block")
+    schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary())])
+
+    def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f = None, None
+        for b in it:
+            for p, file, k in zip(*(b.column(c).to_pylist() for c in ("path", "file", "block")), strict=True):
+                if p != name:
+                    if f:
+                        f.close()
+                    name, f = p, _open(p)
+                f.seek(k * block)
+                yield pa.RecordBatch.from_pylist([{"file": file, "block": k, "tokens": f.read(block)}], schema=schema)
+        if f:
+            f.close()
+
+    return pieces.mapInArrow(ranges, "file long, block long, tokens binary")
 
 
 SCANNED = "file long, block long, seps long, head long, inner array<long>, tail long, ids array<long>"
@@ -111,7 +145,8 @@ def stitch(scanned: DataFrame) -> DataFrame:
     tokens left open since the last separator: those of the blocks after it. Tokens after a file's
     last separator are a document without an end and are counted as one.
     """
-    b = scanned.where("ids is null")
+    whole = scanned.where("ids is null")
+    b = whole.select("file", "block", "seps", "head", "tail")  # counts alone go through the windows
     w = W.partitionBy("file").orderBy("block")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     b = b.withColumn("done", F.coalesce(F.sum("seps").over(before), F.lit(0))).withColumn("part", F.coalesce(F.count(F.when(F.col("seps") > 0, 1)).over(before), F.lit(0)))
@@ -119,7 +154,8 @@ def stitch(scanned: DataFrame) -> DataFrame:
     inside = W.partitionBy("file", "part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     b = b.withColumn("tail_before", F.coalesce(F.max(F.when(F.col("seps") > 0, F.struct("block", "tail"))).over(before)["tail"], F.lit(0)))
     b = b.withColumn("open", F.col("tail_before") + F.coalesce(F.sum("head").over(inside), F.lit(0)))
-    ended = b.where("seps > 0").select("file", "done", F.explode(F.arrays_zip(F.concat(F.array(F.col("open") + F.col("head")), "inner").alias("n"), F.sequence(F.lit(0).cast("long"), F.col("seps") - 1).alias("k"))).alias("d"))
+    ended = whole.where("seps > 0").select("file", "block", "seps", "head", "inner").join(b.select("file", "block", "done", "open"), ["file", "block"])
+    ended = ended.select("file", "done", F.explode(F.arrays_zip(F.concat(F.array(F.col("open") + F.col("head")), "inner").alias("n"), F.sequence(F.lit(0).cast("long"), F.col("seps") - 1).alias("k"))).alias("d"))
     ended = ended.select("file", (F.col("done") + F.col("d.k")).alias("ordinal"), F.col("d.n").alias("n_tokens"))
     last = b.groupBy("file").agg(F.max(F.struct("block", (F.col("done") + F.col("seps")).alias("ordinal"), F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("open") + F.col("head")).alias("n"))).alias("x"))
     return ended.unionAll(last.where("x.n > 0").select("file", "x.ordinal", "x.n"))
@@ -135,6 +171,7 @@ def count_tokens(docs: DataFrame, vocab: str = VOCAB, eod: int = EOD, block: int
     scanned = staged(separator_scan(write_flat(docs, vocab, eod, block), eod), "op6")
     w = W.partitionBy("file").orderBy("block")
     ids = scanned.where("ids is not null").select("file", "block", "ids", F.size("ids").alias("n"))
-    ids = ids.withColumn("first", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    first = ids.select("file", "block", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    ids = ids.join(first, ["file", "block"])
     manifest = ids.select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return manifest.join(stitch(scanned), ["file", "ordinal"]).select("doc_id", "n_tokens")
