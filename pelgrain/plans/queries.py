@@ -517,3 +517,128 @@ def q49_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelgrain.plans import sheet as V
 
     return V.sheet_report(_spread(D.sheets(spark))).select("image_id", "segmentation", "n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling", milli(F.col("score"), "score_milli"))
+
+
+@query(f"WITH {D.EMB_SQL} SELECT image_id, idx, CAST(floor((r*0.299e0 + g*0.587e0 + b*0.114e0)*1000 + 0.5e0) AS BIGINT) AS luma601_milli, CAST(floor((r*0.2126e0 + g*0.7152e0 + b*0.0722e0)*1000 + 0.5e0) AS BIGINT) AS luma709_milli FROM emb")
+def q50_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.emb(spark, sf_dir).select("image_id", "idx", milli(C.luma601(*P.rgb()), "luma601_milli"), milli(C.luma709(*P.rgb()), "luma709_milli"))
+
+
+@query(f"WITH {D.EMB_SQL} SELECT image_id, idx, printf('#%02x%02x%02x', r, g, b) AS hex, r AS r6, r // 16 * 17 AS r3, g // 16 * 17 AS g3, b // 16 * 17 AS b3, true AS void FROM emb")
+def q51_hex_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.emb(spark, sf_dir).select("image_id", "idx", C.format_hex(*P.rgb()).alias("hex"))
+    digit = lambda i: F.substring("hex", i, 1)
+    short = C.parse_hex(F.concat(F.lit(" #"), digit(2), F.upper(digit(4)), digit(6)))
+    return p.select("image_id", "idx", "hex", C.parse_hex(F.substring("hex", 2, 6))["r"].alias("r6"), *[short[c].alias(f"{c}3") for c in "rgb"], C.parse_hex(F.concat("hex", F.lit("0"))).isNull().alias("void"))
+
+
+@query(f"WITH {D.EMB_SQL} SELECT image_id, (y - 3)*6 + x - 2 AS idx, x - 2 AS x, y - 3 AS y, v FROM emb WHERE x BETWEEN 2 AND 7 AND y BETWEEN 3 AND 6")
+def q52_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.crop(D.emb(spark, sf_dir).withColumn("width", F.lit(8)), 2, 3, 9, 4).select("image_id", "idx", "x", "y", "v")
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, (CAST(l_extendedprice AS DOUBLE) - 30000e0)/700e0 AS v FROM lineitem), w AS (SELECT *, CAST(floor(abs(v)*100 + 0.5e0) AS BIGINT) AS w FROM v)
+SELECT l_orderkey, l_linenumber, (CASE WHEN v < 0 AND w > 0 THEN '-' ELSE '' END) || (w // 100) || '.' || lpad((w % 100)::VARCHAR, 2, '0') AS coord FROM w""")
+def q53_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = (F.col("l_extendedprice").cast("double") - 30000.0) / 700.0
+    return D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.format_coord(v).alias("coord"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5,
+  substring(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS name FROM pages""")
+def q54_escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", F.md5(T.escape_html(F.col("html")).cast("binary")).alias("escaped_md5"), T.sanitize_name(F.col("url")).alias("name"))
+
+
+@query(f"WITH {D.EMB_SQL} SELECT image_id, " + ", ".join(f"CAST(floor(avg({c}) + 0.5e0) AS INT) AS {c}" for c in "rgb") + f" FROM emb WHERE {SAT} >= 150 GROUP BY image_id")
+def q55_dominant_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.dominant_colour(D.emb(spark, sf_dir))
+
+
+_KTH = ", ".join(f"max({c}) FILTER (k{c} = (n - 1)//2) AS {c}" for c in "rgb")
+_RANKS = ", ".join(f"row_number() OVER (PARTITION BY image_id ORDER BY {c}) - 1 AS k{c}" for c in "rgb")
+
+
+@query(f"WITH {D.EMB_SQL}, i AS (SELECT * FROM emb WHERE a >= 10 AND {SAT} >= 100), k AS (SELECT *, {_RANKS}, count(*) OVER (PARTITION BY image_id) AS n FROM i) SELECT image_id, {_KTH} FROM k GROUP BY image_id")
+def q56_dominant_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.dominant_ink(D.emb(spark, sf_dir).withColumn("coverage", P.ink_coverage(200))).select("image_id", "r", "g", "b")
+
+
+@query(f"WITH {D.EMB_SQL}, i AS (SELECT image_id, avg((a >= 10 AND {SAT} >= 90 AND greatest(r, g, b) <= 250)::INT) AS fraction FROM emb GROUP BY image_id) SELECT image_id, fraction, fraction BETWEEN 0.001e0 AND 0.3e0 AS usable FROM i")
+def q57_mask_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.mask_usable(D.emb(spark, sf_dir).withColumn("ink", P.chroma_ink()))
+
+
+@query(f"""WITH {D.EMB_SQL}, p AS (SELECT image_id, x//4 + y//4*2 AS cluster, {_L} AS l, {_A} AS a_, {_B} AS b_ FROM emb),
+m AS (SELECT image_id, cluster, avg(l) AS ml, avg(a_) AS ma, avg(b_) AS mb FROM p GROUP BY ALL)
+SELECT p.image_id, CAST(floor(sum((l-ml)*(l-ml) + (a_-ma)*(a_-ma) + (b_-mb)*(b_-mb))*1000 + 0.5e0) AS BIGINT) AS error_milli FROM p JOIN m ON m.image_id = p.image_id AND m.cluster = p.cluster GROUP BY p.image_id""")
+def q58_cluster_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarter = F.floor(F.col("x") / 4) + F.floor(F.col("y") / 4) * 2
+    return H.within_cluster_error(D.emb(spark, sf_dir).withColumn("cluster", quarter)).select("image_id", milli(F.col("error"), "error_milli"))
+
+
+@query(f"""WITH {D.CIRCLES_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0e0) AS d FROM proc WINDOW w AS (PARTITION BY shape_id ORDER BY k))
+SELECT shape_id, k, CAST(floor((sum(d) OVER (PARTITION BY shape_id ORDER BY k))/(sum(d) OVER (PARTITION BY shape_id))*1000 + 0.5e0) AS BIGINT) AS t_milli FROM d""")
+def q59_chord_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.chord_lengths(D.circles(spark)).select("shape_id", "k", milli(F.col("t"), "t_milli"))
+
+
+@query(f"""WITH {D.CIRCLES_SQL}, n AS (SELECT p.shape_id, p.x, p.y, q.x AS nx, q.y AS ny FROM proc p JOIN proc q ON q.shape_id = p.shape_id AND q.k = (p.k + 1) % 24)
+SELECT shape_id, CAST(floor(sum(x*ny - nx*y)/2*1000 + 0.5e0) AS BIGINT) AS area_milli FROM n GROUP BY shape_id""")
+def q60_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.shoelace(D.circles(spark)).select("shape_id", milli(F.col("area"), "area_milli"))
+
+
+@query(f"""WITH {D.BOXES_SQL}, p AS (SELECT a.image_id, a.box_id, b.box_id AS o_box_id, CAST(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))*greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS BIGINT) AS inter, a.area + b.area AS total
+FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id) SELECT image_id, box_id, o_box_id, inter, total - inter AS uni FROM p WHERE inter > 0""")
+def q61_box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.box_nms(D.boxes(spark, sf_dir))
+
+
+@query(f"WITH {D.EMB_SQL} SELECT image_id, idx, v < 128 AND NOT (image_id % 2 = 0 AND y BETWEEN image_id % 5 AND image_id % 5 + 1) AS ink FROM emb")
+def q62_strip_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.emb(spark, sf_dir).withColumn("ink", F.col("v") < 128)
+    start = (F.col("image_id") % 5).cast("int")
+    rows = p.select("image_id").distinct().select("image_id", start.alias("start"), (start + 2).alias("end"), F.when(F.col("image_id") % 2 == 0, "text").otherwise("icon").alias("kind"))
+    return B.strip_text_rows(p, rows).select("image_id", "idx", "ink")
+
+
+@query(f"WITH {D.EMB_SQL}, n AS (SELECT image_id, count(*) FILTER (v/64e0 - 2 > 1) AS high, count(*) FILTER (v/64e0 - 2 > -1) AS low FROM emb GROUP BY image_id) SELECT image_id, CASE WHEN low = 0 THEN 1e0 ELSE high/low::DOUBLE END AS score FROM n")
+def q63_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.stability(D.emb(spark, sf_dir).select("image_id", (F.col("v") / 64.0 - 2).alias("v")))
+
+
+@query("SELECT (range % 32 + 0.5e0)/32 AS x, (range // 32 + 0.5e0)/32 AS y FROM range(1024)")
+def q64_grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.grid_points(spark, 32)
+
+
+@query(f"""WITH {D.BOXES_SQL} SELECT a.image_id, a.box_id, max(b.box_id) AS parent_id FROM boxes a LEFT JOIN boxes b ON a.image_id = b.image_id AND a.box_id <> b.box_id
+AND a.x1 >= b.x1 AND a.x2 <= b.x2 AND a.y1 >= b.y1 AND a.y2 <= b.y2 AND a.area*100 < b.area*98 AND b.area < 4000*0.9e0 GROUP BY ALL""")
+def q65_last_painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.last_painted_container(D.boxes(spark, sf_dir), F.lit(4000))
+
+
+@query(f"""WITH {D.BOXES_SQL}, {_CELLS}, h AS (SELECT b.image_id, b.box_id, c.cell_id FROM boxes b JOIN cells c ON c.image_id = b.image_id
+  AND greatest(0, least(b.x2, c.x2) - greatest(b.x1, c.x1))*greatest(0, least(b.y2, c.y2) - greatest(b.y1, c.y1))*4 >= b.area),
+p AS (SELECT c.image_id, c.cell_id, count(h.box_id) AS n FROM cells c LEFT JOIN h ON h.image_id = c.image_id AND h.cell_id = c.cell_id GROUP BY ALL),
+o AS (SELECT image_id, count(*) FILTER (n = 1) AS matched, count(*) FILTER (n = 0) AS empty, count(*) FILTER (n > 1) AS multi, count(*) AS cells FROM p GROUP BY image_id),
+b AS (SELECT b.image_id, b.box_id, count(h.cell_id) AS n FROM boxes b LEFT JOIN h ON h.image_id = b.image_id AND h.box_id = b.box_id GROUP BY ALL),
+v AS (SELECT image_id, count(*) FILTER (n > 1) AS straddling, count(*) FILTER (n = 0) AS orphans FROM b GROUP BY image_id)
+SELECT o.image_id, matched, empty, multi, straddling, orphans, CAST(floor(greatest(0e0, least(1e0, matched/cells::DOUBLE - (straddling + orphans)*0.1e0))*1000 + 0.5e0) AS BIGINT) AS agreement_milli FROM o JOIN v ON v.image_id = o.image_id""")
+def q66_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = D.boxes(spark, sf_dir)
+    return S.agreement(b, _cells(b)).select("image_id", "matched", "empty", "multi", "straddling", "orphans", milli(F.col("agreement"), "agreement_milli"))
+
+
+@query(f"WITH {D.BOXES_SQL} SELECT image_id, box_id, CAST(x1 - 60 AS DOUBLE) AS x_min, CAST(y1 AS DOUBLE) AS y_min, CAST(x2 + 3 AS DOUBLE) AS x_max, CAST(y2 + 2 AS DOUBLE) AS y_max FROM boxes")
+def q67_path_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, top, right, low = F.col("x1") - 60, F.col("y1"), F.col("x2") + 3, F.col("y2") + 2
+    d = F.concat_ws(" ", F.lit("M"), left, top, F.lit("C"), "x2", top, right, "y2", left, low, F.lit("A 900 900 0 0 1"), "x2", "y2", F.lit("Z"))
+    return D.boxes(spark, sf_dir).select("image_id", "box_id", T.path_bbox(d).alias("b")).select("image_id", "box_id", "b.*")
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<path')) AS INT) AS n_paths, CAST(len(regexp_extract_all(html, '<g[ >]')) AS INT) AS n_groups,
+  CASE WHEN regexp_matches(html, 'viewBox="([^"]*)"') THEN regexp_extract(html, 'viewBox="([^"]*)"', 1) END AS view_box, CAST(strlen(html) AS INT) AS n_bytes FROM pages""")
+def q68_markup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.svg_summary(D.table(spark, sf_dir, "pages"), "html", "page_id")
