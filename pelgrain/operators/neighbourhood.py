@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pelgrain.kernels.raster import label
 from pelgrain.functions import color as C
 from pelgrain.operators.pixels import rgb
 
@@ -163,3 +169,24 @@ def marching_segments(pixels: DataFrame, value: str) -> DataFrame:
         .when(s.isin(3, 12), seg(("left", "right"))).when(s.isin(6, 9), seg(("top", "bottom"))).when(s == 5, F.when(low, cross).otherwise(flat)).when(s == 10, F.when(low, flat).otherwise(cross))
     )
     return p.where(~s.isin(0, 15)).select("image_id", "x", "y", F.inline(cases))
+
+
+def regions(pixels: DataFrame, ink: Column, width: int, eight: bool = True) -> DataFrame:
+    """image_id, idx, region: connected ink cells of each image, numbered from 1 by their first cell in scan order.
+
+    One packed mask and one kernel call for each image; every cell of its grid must be there.
+    """
+    schema = T.StructType([T.StructField("image_id", pixels.schema["image_id"].dataType), T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("region", T.ArrayType(T.IntegerType()))])
+
+    def label_all(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at, found = [], []
+            for bits in b.column("bits"):
+                marks = label(np.array(bits.as_py(), bool).reshape(-1, width), eight).ravel()
+                at.append(np.flatnonzero(marks).tolist())
+                found.append(marks[marks > 0].tolist())
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(at, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int32()))], ["image_id", "idx", "region"])
+
+    packed = pixels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce(ink, F.lit(False)).alias("on"))))["on"].alias("bits"))
+    out = packed.mapInArrow(label_all, schema).select("image_id", F.explode(F.arrays_zip("idx", "region")).alias("c"))
+    return out.select("image_id", "c.idx", "c.region")

@@ -642,3 +642,21 @@ def q67_path_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN regexp_matches(html, 'viewBox="([^"]*)"') THEN regexp_extract(html, 'viewBox="([^"]*)"', 1) END AS view_box, CAST(strlen(html) AS INT) AS n_bytes FROM pages""")
 def q68_markup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.svg_summary(D.table(spark, sf_dir, "pages"), "html", "page_id")
+
+
+@query(f"""WITH RECURSIVE {D.EMB_SQL}, ink AS (SELECT image_id, idx, x, y FROM emb WHERE v > 127),
+l AS (SELECT a.image_id, a.idx, b.idx AS other FROM ink a JOIN ink b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+c AS (SELECT image_id, idx, idx AS root FROM ink UNION SELECT l.image_id, l.other, c.root FROM c JOIN l ON l.image_id = c.image_id AND l.idx = c.idx),
+r AS (SELECT image_id, idx, min(root) AS root FROM c GROUP BY ALL)
+SELECT image_id, idx, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INT) AS region FROM r""")
+def q69_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.regions(D.emb(spark, sf_dir), F.col("v") > 127, 8)
+
+
+@query(f"""WITH {D.CIRCLES_SQL}, s AS (SELECT shape_id, avg(x) AS cx, avg(y) AS cy, (max(x) - min(x))/2 AS rx, (max(y) - min(y))/2 AS ry FROM proc GROUP BY shape_id),
+d AS (SELECT s.*, sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy)) AS d, x - cx AS dx, y - cy AS dy FROM proc JOIN s ON s.shape_id = proc.shape_id),
+f AS (SELECT shape_id, cx, cy, rx, ry, max(abs(d - rx*ry/sqrt(pow(rx*dy/d, 2) + pow(ry*dx/d, 2)))) AS residual FROM d GROUP BY ALL)
+SELECT shape_id, """ + ", ".join(f"CAST(floor({c}*1000 + 0.25e0) AS BIGINT) AS {c}_milli" for c in ("cx", "cy", "rx", "ry", "residual")) + ", residual <= least(greatest(0.5e0, least(rx, ry)*0.01e0), least(rx, ry)*0.05e0) AS accepted FROM f")
+def q70_ellipse_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [F.floor(F.col(c) * 1000 + 0.25).alias(f"{c}_milli") for c in ("cx", "cy", "rx", "ry", "residual")]
+    return G.ellipse_fit(D.circles(spark)).select("shape_id", *steps, "accepted")
