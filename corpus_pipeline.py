@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup; the least doc_id of each group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Near-dedup by SimHash and by five-word shingles of Jaccard 0.8; the least doc_id of each group stays."""
+    return simhash.drop_near_duplicates(docs, similar=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
+from pelgrain.llm import shingles
 from pelgrain.llm.common import staged
 from pelgrain.llm.graph import components
 from pelgrain.llm.sql_hash import of_text
@@ -45,15 +47,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(seen * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; then the columns to keep."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp), *[b.column(c) for c in keep]], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, fp long")
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *[docs.schema[c] for c in keep]])
+    return docs.select("doc_id", "text", *[c for c in keep if c != "text"]).mapInArrow(batches, schema)
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -118,13 +121,34 @@ def with_contract_columns(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, broadcast_up_to: int = 500_000) -> DataFrame:
+def near_or_similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) as near_duplicates, where a Jaccard similarity of 0.8 of the sets of five-word shingles links as well.
+
+    No radius of bits holds all such pairs: the fingerprint weighs repeats, and spreads. They are
+    found by their shingles, exactly; see `shingles.similar_sets`.
+    """
+    wide = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = staged(shingles.prefixes(fingerprints(wide, shingle, keep=("text", "th"))), "near")
+    same = staged(rows.where("sig is not null").groupBy("sig").agg(F.min("fp").alias("at")), "near-same")
+    pairs = shingles.similar_sets(rows, docs)
+    pairs = pairs.join(same.toDF("u", "a"), "u").join(same.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    alike = rows.select("fp", "sig").distinct().join(same, "sig").where("fp <> at").select(F.col("fp").alias("u"), F.col("at").alias("v"))
+    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("lo")), "near-own")
+    comps = own.join(components(links(own.select("fp")).unionAll(pairs).unionAll(alike), "near-all").withColumnRenamed("node", "fp"), "fp")
+    least = comps.groupBy("root").agg(F.min("lo").alias("component_id"))
+    linked = comps.join(least, "root").select("fp", "component_id")
+    labels = staged(own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "lo").alias("component_id")), "near-labels")
+    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, broadcast_up_to: int = 500_000, similar: bool = False) -> DataFrame:
     """One document of each component stays, the one with the least doc_id; docs' columns only.
 
     The ids to drop are broadcast if counted to be at most `broadcast_up_to`, else joined by
-    shuffle. Rows that repeat a doc_id give one row; rows without a doc_id stay.
+    shuffle. Rows that repeat a doc_id give one row; rows without a doc_id stay. With `similar`,
+    texts of Jaccard similarity 0.8 are linked too.
     """
-    found = staged(near_duplicates(docs, shingle), "op2-found")
+    found = staged((near_or_similar if similar else near_duplicates)(docs, shingle), "op2-found")
     gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
     gone = F.broadcast(gone) if gone.count() <= broadcast_up_to else gone
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
