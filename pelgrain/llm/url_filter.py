@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Longest host suffix looked up, in labels.
-LABELS = 6
 LAST_DAY = 2_932_896  # 9999-12-31, as days since 1970-01-01
 
 
@@ -18,11 +16,10 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains, up to LABELS labels long; none for an empty host."""
+    """The host and all its parent domains; none for an empty host."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
-    first = F.greatest(F.lit(1), n - (LABELS - 1))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(first, n), lambda i: F.array_join(F.slice(parts, i, n), ".")))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), ".")))
 
 
 def validity(entries: DataFrame) -> DataFrame:

@@ -188,6 +188,15 @@ def test_url_lists_equal_brute_force(spark):
     assert not any(r.blocked for r in url_filter.filter_captures(c, e.limit(0)).collect())
 
 
+def test_url_lists_know_hosts_of_many_labels(spark):
+    host = ".".join(f"l{k}" for k in range(12)) + ".example.org"
+    parent = host.split(".", 3)[3]
+    c = spark.createDataFrame([(1, host, 10), (2, "x." + host, 10), (3, "y" + parent, 10)], "page_id long, host string, day int")
+    e = spark.createDataFrame([(host, 5, "add", "ads"), (parent, 5, "add", "spam"), ("example.org", 5, "add", "all")], "domain string, day int, action string, category string")
+    got = {r.page_id: (r.n_active, r.domain, r.category) for r in url_filter.filter_captures(c, e).collect()}
+    assert got == {1: (3, host, "ads"), 2: (3, host, "ads"), 3: (1, "example.org", "all")}
+
+
 def test_hosts_and_capture_days(spark):
     urls = ["HTTPS://User:pw@WWW.Example.org.:8080/a?b#c", "http://a.b", "ftp://x.y/z", "no url", "", None, "http://[::1]/"]
     p = spark.createDataFrame([(k, u, "<p>", 3) for k, u in enumerate(urls)] + [(None, "http://a.b", "", 1)], "page_id long, url string, html string, day int")
