@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Tokens of a run: '=' only ends them, as padding at the end of the run. Where a token has symbols of both
+#: base64 alphabets, its parts without the one pair and those without the other are tested.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+PARTS = (re.compile(r"[A-Za-z0-9+/]{20,}=*"), re.compile(r"[A-Za-z0-9_-]{20,}=*"))
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Encodings, narrowest first: name and alphabet in the order of its values.
@@ -78,6 +84,18 @@ def battery(token: str) -> tuple[int, int, float, float] | None:
     return enc, n, chi, min(1.0, 3 * min(ps))
 
 
+def tokens_of(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of the tokens of a run, in order."""
+    out = []
+    for m in TOKEN.finditer(text, a, b):
+        t = m.group()
+        if ("+" in t or "/" in t) and ("-" in t or "_" in t):
+            out += sorted({x.span() for p in PARTS for x in p.finditer(text, *m.span())})
+        else:
+            out.append(m.span())
+    return out
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, float, float]]]:
     """Base spans (start, kind, end) in order, and tokens (start, end, encoding, length, chi-squared, p) that touch none.
 
@@ -89,12 +107,11 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     for a, b in found:
         base += [(m.start(), k, m.end()) for k, p in ((1, ACCESS), (2, HEX)) for m in p.finditer(text, a, b)]
     base.sort()
-    tokens, k, reach = [], 0, 0
-    for a, b in found:
-        while k < len(base) and base[k][0] < b:
-            reach, k = max(reach, base[k][2]), k + 1
-        if reach <= a and (t := battery(text[a:b])):
-            tokens.append((a, b, *t))
+    tokens, starts, reach = [], [x for x, *_ in base], [0, *accumulate((y for *_, y in base), max)]
+    for run in found:
+        for a, b in tokens_of(text, *run):
+            if reach[bisect_left(starts, b)] <= a and (t := battery(text[a:b])):
+                tokens.append((a, b, *t))
     return base, tokens
 
 
@@ -175,8 +192,9 @@ def _cuts(tokens: DataFrame) -> list[int]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (start, kind, end, name, base), in code points, end exclusive, by start and kind.
 
-    Base kinds are the fixed patterns. A run of 20 or more symbols of base64 alphabets that touches
-    no base span is `random` if its battery does not reject randomness at LEVEL, and if it is a
+    Base kinds are the fixed patterns. A token of 20 or more symbols of base64 alphabets (a run, or
+    its parts at '=' and, if it mixes both alphabets, at the symbols of either) that touches no
+    base span is `random` if its battery does not reject randomness at LEVEL, and if it is a
     discovery against ordinary text at rate FDR within its band of length. Symbol shares and the
     control cover all documents; the driver sees byte counts and bins of p-values alone.
 

@@ -175,6 +175,23 @@ def test_secrets_of_whole_documents(spark):
     assert secret_scan.find_secrets(d.limit(0)).count() == 0
 
 
+def test_runs_are_parted_into_tokens():
+    rng = random.Random(12)
+    plus, url = "".join(rng.choices("ABCDEFabcdef0123456789+/", k=38)) + "+/", "".join(rng.choices("GHIJKLghijkl0123456789-_", k=38)) + "-_"
+    for text, want in (
+        (f"AWS_SECRET_ACCESS_KEY={plus}", [plus]),
+        (f"https://a.b/?sig={url}==&x", [url + "=="]),
+        (f"FOO_KEY={plus}=BAR={url}", [plus, url]),
+        (f"my-{plus}", [plus]),
+        (f"a/{url}=", [url + "="]),
+        (f"AKIA{'Z' * 16}={plus}", [plus]),
+        (f"{plus}{'=' * 3}", [plus + "==="]),
+        (f"token={plus}", []),
+    ):
+        got = [text[a:b] for a, b, *_ in secret_scan.scan_text(text)[1]]
+        assert set(want) <= set(got) and (want or not got), text
+
+
 def test_battery_rejects_patterns_and_accepts_noise():
     rng = random.Random(7)
     noise = ["".join(rng.choices("0123456789ABCDEF", k=40)) for _ in range(400)]
