@@ -157,13 +157,21 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int = 16, seed: int = 42) -> DataFrame:
     """The mix itself, whole documents: each as often as its share of words rounds to; docs' columns only.
 
-    Texts are never shuffled: the plan is a small table, joined to the scan.
+    Each copy lies in its shard of the splitting tree, and by order_key within it: one shuffle of
+    the texts, by shard and the first digits of order_key, so that no shard is one task.
     """
     rows = staged(keyed(docs), "op5")
     wide = docs.select(*[F.col(c) for c in docs.columns], word_count(F.col("text")).alias("_m_size"), order_key(F.col("doc_id")).alias("_m_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_m_id"))
     out = _with_plan(wide, plan_mix(rows, weights, shards, seed), "source").withColumn("_m_taken", _taken("_m_size", "_m_key", "_m_id"))
     copies = F.when(F.col("_m_size") > 0, F.floor(F.col("_m_taken") / F.col("_m_size") + 0.5)).otherwise(0).cast("int")
-    return out.where(copies > 0).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    # a last copy that is less than half taken is left out; one taken in part has its place all the same
+    out = out.where(copies > 0).withColumn("_m_shard", F.explode(F.slice(_shards_of("_m_key", "_m_size", "_m_taken"), 1, copies)))
+    return out.repartitionByRange("_m_shard", "_m_key", "_m_id").sortWithinPartitions("_m_shard", "_m_key", "_m_id").select(*docs.columns)
+
+
+def layout(mixed: DataFrame) -> DataFrame:
+    """mix_sources' result -> doc_id, shards (of each copy, as text), order_key: where the copies lie."""
+    return mixed.select("doc_id", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"), "order_key")
 
 
 ORACLE = """

@@ -33,6 +33,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_source_mix_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.layout(mixing.mix_sources(table(spark, sf_dir, "documents")))
+
+
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
             op3_line_chunks,
             op4_importance_resampling,
             op5_source_mix,
+            op5_source_mix_layout,
             op6_separator_scan,
             op7_url_lists,
             op8_secret_battery,

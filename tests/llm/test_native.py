@@ -104,6 +104,21 @@ def test_mix_of_one_source_and_of_nothing(spark):
     assert [r.taken for r in mixing.mix_sources(docs(spark, [(1, None, None), (2, "", "q")])).collect()] == [0, 0]
 
 
+def test_mix_is_laid_out_by_shard_and_order(spark):
+    rng = random.Random(13)
+    d = docs(spark, [(k, "w " * rng.randint(1, 40), rng.choice("abc")) for k in range(300)])
+    at = {r.doc_id: r for r in mixing.layout(mixing.mix_sources(d)).collect()}
+    rows = [r.doc_id for r in mixing.mixed_documents(d).collect()]
+    seen, places = {}, []
+    for i in rows:  # copies of a document come in the order of their shards
+        seen.setdefault(i, []).append(len(seen.get(i, [])))
+    left = {i: sorted(map(int, at[i].shards.split(",")[: len(n)])) for i, n in seen.items()}
+    for i in rows:
+        places.append((left[i].pop(0), at[i].order_key, i))
+    assert places == sorted(places) and len({p[0] for p in places}) == 16
+    assert all(r.shards.count(",") + 1 >= len(seen.get(i, [])) for i, r in at.items() if r.shards)
+
+
 def test_quotas_are_exact_and_even():
     quotas = [100, 7, 0, 41]
     split = mixing.split_quotas(quotas, 6, 3)
