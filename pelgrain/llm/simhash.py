@@ -101,6 +101,17 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionAll(stars).distinct()
 
 
+def _groups(rows: DataFrame, tag: str, more: DataFrame | None = None) -> DataFrame:
+    """rows (doc_id, fp, ...) with component_id and root, the fingerprint that names the component; `more` are further links."""
+    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("lo")), f"{tag}-own")
+    pairs = links(own.select("fp")) if more is None else links(own.select("fp")).unionAll(more)
+    comps = own.join(components(pairs, f"{tag}-cc").withColumnRenamed("node", "fp"), "fp")
+    least = comps.groupBy("root").agg(F.min("lo").alias("component_id"))
+    linked = comps.join(least, "root").select("fp", "root", "component_id")
+    labels = staged(own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "lo").alias("component_id")), f"{tag}-labels")
+    return rows.join(labels, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): documents linked by fingerprints that differ in at most MAX_BITS bits.
 
@@ -108,55 +119,56 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     pair up. Null, empty or wordless texts have fingerprint 0, linked like any other. Repeated rows
     stay. A null doc_id gets its component's least other id, or null. Empty table: no rows.
     """
-    rows = staged(fingerprints(docs, shingle), "op2")
-    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("lo")), "op2-own")
-    comps = own.join(components(links(own.select("fp")), "op2-cc").withColumnRenamed("node", "fp"), "fp")
-    least = comps.groupBy("root").agg(F.min("lo").alias("component_id"))
-    linked = comps.join(least, "root").select("fp", "component_id")
-    labels = staged(own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "lo").alias("component_id")), "op2-labels")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return _groups(staged(fingerprints(docs, shingle), "op2"), "op2").select("doc_id", "fp", "component_id")
 
 
 def with_contract_columns(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_or_similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) as near_duplicates, where a Jaccard similarity of 0.8 of the sets of five-word shingles links as well.
-
-    No radius of bits holds all such pairs: the fingerprint weighs repeats, and spreads. They are
-    found by their shingles, exactly; see `shingles.similar_sets`.
-    """
+def _similar(docs: DataFrame, shingle: int) -> DataFrame:
     wide = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     rows = staged(shingles.prefixes(fingerprints(wide, shingle, keep=("text", "th"))), "near")
     same = staged(rows.where("sig is not null").groupBy("sig").agg(F.min("fp").alias("at")), "near-same")
     pairs = shingles.similar_sets(rows, docs)
     pairs = pairs.join(same.toDF("u", "a"), "u").join(same.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     alike = rows.select("fp", "sig").distinct().join(same, "sig").where("fp <> at").select(F.col("fp").alias("u"), F.col("at").alias("v"))
-    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("lo")), "near-own")
-    comps = own.join(components(links(own.select("fp")).unionAll(pairs).unionAll(alike), "near-all").withColumnRenamed("node", "fp"), "fp")
-    least = comps.groupBy("root").agg(F.min("lo").alias("component_id"))
-    linked = comps.join(least, "root").select("fp", "component_id")
-    labels = staged(own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "lo").alias("component_id")), "near-labels")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return _groups(rows.select("doc_id", "th", "fp"), "near", pairs.unionAll(alike))
+
+
+def near_or_similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) as near_duplicates, where a Jaccard similarity of 0.8 of the sets of five-word shingles links as well.
+
+    No radius of bits holds all such pairs: the fingerprint weighs repeats, and spreads. They are
+    found by their shingles, exactly; see `shingles.similar_sets`.
+    """
+    return _similar(docs, shingle).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, broadcast_up_to: int = 500_000, similar: bool = False) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; docs' columns only.
+    """One row of each component stays, the one with the least (doc_id, hash of the text), null ids last; docs' columns only.
 
-    The ids to drop are broadcast if counted to be at most `broadcast_up_to`, else joined by
-    shuffle. Rows that repeat a doc_id give one row; rows without a doc_id stay. With `similar`,
-    texts of Jaccard similarity 0.8 are linked too.
+    Rows are told apart by (doc_id, hash of the text): other texts under the same doc_id are
+    judged by themselves, and rows without a doc_id like any other. The rows to drop are broadcast
+    if counted to be at most `broadcast_up_to`, else joined by shuffle. With `similar`, texts of
+    Jaccard similarity 0.8 are linked too.
     """
-    found = staged((near_or_similar if similar else near_duplicates)(docs, shingle), "op2-found")
-    gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    wide = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = _similar(docs, shingle) if similar else _groups(staged(fingerprints(wide, shingle, keep=("th",)), "op2"), "op2")
+    found = staged(rows.select(F.col("doc_id").alias("_d_id"), F.col("th").alias("_d_th"), "root"), "op2-found")
+    row = F.struct(F.col("_d_id").isNull().alias("none"), "_d_id", "_d_th")
+    keep = found.groupBy("root").agg(F.min(row).alias("k"), F.count("*").alias("n")).where("n > 1").drop("n")
+    many = staged(found.join(keep, "root").select("_d_id", "_d_th", (F.col("_d_id").eqNullSafe(F.col("k._d_id")) & (F.col("_d_th") == F.col("k._d_th"))).alias("stays")), "op2-many")
+    marked = docs.withColumn("_d_h", F.xxhash64("text"))
+    same = lambda: marked["doc_id"].eqNullSafe(F.col("_d_id")) & (F.col("_d_h") == F.col("_d_th"))
+    gone = many.where("not stays").select("_d_id", "_d_th").distinct()
     gone = F.broadcast(gone) if gone.count() <= broadcast_up_to else gone
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    out = marked.join(gone, same(), "left_anti")
+    twice = many.where("stays").groupBy("_d_id", "_d_th").count().where("count > 1").drop("count")
     if twice.limit(1).count():
-        again = out.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        out = out.join(twice.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionAll(again)
-    return out
+        again = out.join(twice, same(), "left_semi").dropDuplicates(["doc_id", "_d_h"])
+        out = out.join(twice, same(), "left_anti").unionAll(again)
+    return out.select(*docs.columns)
 
 
 def _oracle(shingle: int = SHINGLE, bits: int = MAX_BITS) -> str:

@@ -83,3 +83,10 @@ def test_documents_equal_brute_force_and_edge_cases(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = ("".join(f" {x}{k}" for k in range(50)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, b), (3, c), (None, a), (None, "q"), (None, "q")]
+    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, "q")], key=str)
