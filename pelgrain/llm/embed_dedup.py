@@ -7,20 +7,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pelgrain.llm.common import staged
 from pelgrain.llm.graph import components
 
 COSINE = 0.93
-#: Leading principal dimensions of the grid.
+#: Leading principal dimensions of the grid, and the directions they are looked for in.
 DIMS = 6
-#: Vectors of a sequence interval that travels as one row, and of an interval not divided any more.
-INTERVAL = 1024
-LEAF = 128
-#: Slack of the distance tests, for rounding; pairs are decided by their cosine alone.
+DIRECTIONS = 128
+#: Components of a sequence interval that is joined as a whole by one task; vectors it has at most.
+COMPONENTS, CHUNK = 1 << 20, 1 << 14
+#: Vectors of an interval that is not divided any more.
+LEAF = 256
+#: Slack of the distance tests, for rounding; pairs are decided by their cosine in double precision alone.
 SLACK = 1e-6
+#: Pairs of vectors that make the work of a task.
+TASK_PAIRS = 1 << 26
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -42,26 +48,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def principal(classes: DataFrame, dim: int, keep: int) -> np.ndarray:
-    """The leading principal directions of all unit vectors, from sums of products taken in each partition."""
+    """The leading principal directions of all unit vectors, from sums of products taken in each partition.
+
+    Vectors of more than DIRECTIONS components are seen in as many fixed random directions, so the
+    driver's sums have a fixed size. Any orthonormal directions are right for the grid.
+    """
+    basis = np.eye(dim) if dim <= DIRECTIONS else np.linalg.qr(np.random.Generator(np.random.PCG64(dim)).standard_normal((dim, DIRECTIONS)))[0]
+    k = basis.shape[1]
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim + 1, dim))
+        total = np.zeros((k + 1, k))
         for b in it:
-            x = _unit(_matrix(b.column("embedding"), dim))
-            total[:dim] += x.T @ x
-            total[dim] += x.sum(axis=0)
-        i, j = np.nonzero(np.arange(dim + 1)[:, None] >= np.arange(dim)[None, :])
+            x = _unit(_matrix(b.column("embedding"), dim)) @ basis
+            total[:k] += x.T @ x
+            total[k] += x.sum(axis=0)
+        i, j = np.nonzero(np.arange(k + 1)[:, None] >= np.arange(k)[None, :])
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "s"])
 
-    m, mean = np.zeros((dim, dim)), np.zeros(dim)
-    for r in classes.select("embedding").mapInArrow(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toLocalIterator():
-        if r.i == dim:
+    m, mean = np.zeros((k, k)), np.zeros(k)
+    sums = classes.select("embedding").mapInArrow(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    for r in sums.toLocalIterator():
+        if r.i == k:
             mean[r.j] = r.s
         else:
             m[r.i, r.j] = m[r.j, r.i] = r.s
-    n = max(np.trace(m), 1.0)  # unit vectors: the trace counts them
+    n = max(np.trace(m), 1.0)  # about the number of vectors
     _, vectors = np.linalg.eigh(m / n - np.outer(mean / n, mean / n))
-    return vectors[:, ::-1][:, :keep]
+    return basis @ vectors[:, ::-1][:, :keep]
 
 
 def _near(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, eps: float) -> bool:
@@ -69,6 +82,15 @@ def _near(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, eps:
     return float((gap * gap).sum()) <= eps * eps
 
 
+def _close(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of a and b have the cosine: in single precision where that is certain, else in double."""
+    g = a.astype(np.float32) @ b.astype(np.float32).T
+    hit = g >= cosine
+    i, j = np.nonzero(np.abs(g - np.float32(cosine)) < 1e-4)
+    hit[i, j] = (a[i] * b[j]).sum(axis=1) >= cosine
+    return hit
+
+
 def join_intervals(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, same: bool, eps: float, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs with the cosine, from two sequence intervals: halve the longer until leaves, skip distant halves.
 
@@ -80,7 +102,7 @@ def join_intervals(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray
         if not diagonal and not _near(p.min(0), p.max(0), q.min(0), q.max(0), eps):
             return
         if max(i1 - i0, j1 - j0) <= LEAF:
-            hit = a[i0:i1] @ b[j0:j1].T >= cosine
+            hit = _close(a[i0:i1], b[j0:j1], cosine)
             i, j = np.nonzero(np.tril(hit, -1) if diagonal else hit)
             if len(i):
                 yield i + i0, j + j0
@@ -115,43 +137,39 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-BLOCK = "label int, dim int, block long, lo array<double>, hi array<double>, cids binary, mults binary, vectors binary"
-
+BLOCK = "label string, dim int, block long, size int, lo array<double>, hi array<double>, cids binary, mults binary, vectors binary"
 
-def _pack(directions: np.ndarray, eps: float, dim: int):
-    """Sorted vectors -> intervals of INTERVAL vectors, one row each, with the box of their projections."""
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+def _pack(directions: np.ndarray, dim: int, room: int, kind: str):
+    """Sorted vectors -> intervals of up to `room` vectors, one row each, with the box of their projections."""
+    names = [x.split()[0] for x in BLOCK.split(", ")]
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
 
-        def out(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            x = _matrix(t.column("embedding").chunk(0), dim)
-            p = _unit(x) @ directions
-            cids = np.asarray(t.column("cid"))
-            row = (t.column("label")[0].as_py(), t.column("dim")[0].as_py(), int(cids[0]), p.min(0).tolist(), p.max(0).tolist(), cids.astype(np.int64).tobytes(), np.asarray(t.column("mult")).astype(np.int64).tobytes(), x.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
+    def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        x = _matrix(t.column("embedding").chunk(0), dim)
+        p = _unit(x) @ directions
+        cids = np.asarray(t.column("cid")).astype(np.int64)
+        row = (t.column("label")[0].as_py(), t.column("dim")[0].as_py(), int(cids[0]), len(cids), p.min(0).tolist(), p.max(0).tolist(), cids.tobytes(), np.asarray(t.column("mult")).astype(np.int64).tobytes(), x.astype(kind).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, types, strict=True)], names)
 
-        group = None
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, group = [], 0, None
         for b in it:
-            k = 0
             keys = list(zip(b.column("label").to_pylist(), b.column("dim").to_pylist(), strict=True))
+            k = 0
             while k < b.num_rows:
-                if keys[k] != group:
-                    if held:
-                        yield out(pa.concat_tables(held))
-                    held, group = [], keys[k]
-                room = INTERVAL - sum(map(len, held))
-                stop = k
-                while stop < min(k + room, b.num_rows) and keys[stop] == group:
+                if held and (keys[k] != group or n == room):
+                    yield out(held)
+                    held, n = [], 0
+                group, stop = keys[k], k
+                while stop < min(k + room - n, b.num_rows) and keys[stop] == group:
                     stop += 1
-                held.append(pa.Table.from_batches([b.slice(k, stop - k)]))
-                if sum(map(len, held)) == INTERVAL:
-                    yield out(pa.concat_tables(held))
-                    held = []
+                held.append(b.slice(k, stop - k))
+                n += stop - k
                 k = stop
         if held:
-            yield out(pa.concat_tables(held))
+            yield out(held)
 
     return batches
 
@@ -166,84 +184,181 @@ def _project(directions: np.ndarray, eps: float, dim: int):
     return batches
 
 
-FOUND = "u long, v long, n long"
+def _gap(a: str, b: str) -> Column:
+    """Squared distance of two boxes."""
+    gaps = F.transform(F.arrays_zip(F.col(f"lo{a}").alias("a"), F.col(f"hi{a}").alias("b"), F.col(f"lo{b}").alias("c"), F.col(f"hi{b}").alias("d")), lambda z: F.greatest(F.lit(0.0), z["a"] - z["d"], z["c"] - z["b"]))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
 
 
-def _join_blocks(eps: float, cosine: float, dim: int, directions: np.ndarray):
-    """Rows of two packed intervals -> for each vector with links: their number (n), and the least vector it is joined to (v)."""
+def chunk_pairs(chunks: DataFrame, eps: float) -> DataFrame:
+    """Chunks (label, dim, chunk from 0, lo, hi) of each sequence -> (label, dim, a, b), a >= b: the pairs that may hold links.
 
-    def read(b: pa.RecordBatch, k: int, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        get = lambda name: b.column(f"{name}{side}")[k].as_py()
-        x = np.frombuffer(get("vectors"), np.float64).reshape(-1, dim)
-        return np.frombuffer(get("cids"), np.int64), np.frombuffer(get("mults"), np.int64), _unit(x)
+    A recursive join of the sequence with itself: nodes are intervals of 2**level chunks with their
+    boxes; pairs of nodes are halved level by level, and those whose boxes lie more than eps apart
+    are dropped with all pairs below them. One equi join a level; nothing is collected.
+    """
+    top = chunks.agg(F.max("chunk")).first()[0] or 0
+    levels = int(top).bit_length()
+    dims = chunks.select(F.size("lo").alias("k")).first()
+    if dims is None:
+        return chunks.select("label", "dim", F.col("chunk").alias("a"), F.col("chunk").alias("b"))
+    box = [f(F.col(c)[k]).alias(f"{c}{k}") for k in range(dims.k) for c, f in (("lo", F.min), ("hi", F.max))]
+
+    def nodes(level: int) -> DataFrame:
+        at = F.shiftright("chunk", level)
+        g = chunks.groupBy("label", "dim", at.alias("k")).agg(*box)
+        return g.select("label", "dim", "k", *[F.array(*[F.col(f"{c}{k}") for k in range(dims.k)]).alias(c) for c in ("lo", "hi")])
+
+    pairs = chunks.select("label", "dim").distinct().select("label", "dim", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    for level in range(levels - 1, -1, -1):
+        n = staged(nodes(level), "op1-nodes")
+        half = F.explode(F.array(*[F.struct((F.col("a") * 2 + i).alias("a"), (F.col("b") * 2 + j).alias("b")) for i in (0, 1) for j in (0, 1)]))
+        pairs = pairs.select("label", "dim", half.alias("p")).select("label", "dim", "p.a", "p.b").where("a >= b")
+        side = lambda s, n=n: n.select("label", "dim", F.col("k").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+        pairs = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
+        pairs = staged(pairs.where((F.col("a") == F.col("b")) | (_gap("_a", "_b") <= eps * eps)).select("label", "dim", "a", "b"), "op1-pairs")
+    return pairs
+
+
+FOUND = "u long, v long, n long"
+
+
+def _join_chunks(eps: float, cosine: float, dim: int, directions: np.ndarray, kind: str):
+    """Packed intervals sorted by (pair, side, place) -> for each vector of a pair with links: their number (n), and the least vector it is joined to (v)."""
+
+    def joined(sides: tuple[list, list], same: bool) -> pa.RecordBatch | None:
+        get = lambda s, k, t: np.concatenate([np.frombuffer(r[k], t) for r in s])
+        ca, ma, a = get(sides[0], 0, np.int64), get(sides[0], 1, np.int64), _unit(get(sides[0], 2, kind).astype(np.float64).reshape(-1, dim))
+        cb, mb, b = (ca, ma, a) if same else (get(sides[1], 0, np.int64), get(sides[1], 1, np.int64), _unit(get(sides[1], 2, kind).astype(np.float64).reshape(-1, dim)))
+        shift = 0 if same else len(a)
+        ids, mults = (ca, ma) if same else (np.concatenate([ca, cb]), np.concatenate([ma, mb]))
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        links: list[np.ndarray] = []
+        held = 0
+
+        def settle() -> None:
+            nonlocal root, held
+            if links:
+                x, y = np.concatenate(links, axis=1)
+                root = _forest(len(ids), np.concatenate([x, np.arange(len(ids))]), np.concatenate([y, root]))
+                links.clear()
+                held = 0
+
+        for i, j in join_intervals(a, a @ directions, b, b @ directions, same, eps, cosine):
+            j = j + shift
+            lo, hi = int(min(i.min(), j.min())), int(max(i.max(), j.max())) + 1
+            n[lo:hi] += np.bincount(i - lo, mults[j], hi - lo).astype(np.int64) + np.bincount(j - lo, mults[i], hi - lo).astype(np.int64)
+            new = np.flatnonzero(root[i] != root[j])
+            if len(new):
+                links.append(np.stack([root[i[new]], root[j[new]]]))
+                held += len(new)
+                if held > 8 * len(ids):
+                    settle()
+        settle()
+        some = np.flatnonzero(n)
+        if len(some):
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(n[some])], ["u", "v", "n"])
+        return None
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for k in range(batch.num_rows):
-                ca, ma, a = read(batch, k, "_a")
-                same = batch.column("block_a")[k].as_py() == batch.column("block_b")[k].as_py()
-                cb, mb, b = (ca, ma, a) if same else read(batch, k, "_b")
-                shift = 0 if same else len(a)
-                ids, mults = (ca, ma) if same else (np.concatenate([ca, cb]), np.concatenate([ma, mb]))
-                n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-                for i, j in join_intervals(a, a @ directions, b, b @ directions, same, eps, cosine):
-                    n += np.bincount(i, mults[j + shift], len(ids)).astype(np.int64) + np.bincount(j + shift, mults[i], len(ids)).astype(np.int64)
-                    root = _forest(len(ids), np.concatenate([i, np.arange(len(ids))]), np.concatenate([j + shift, root]))
-                some = np.flatnonzero(n)
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(n[some])], ["u", "v", "n"])
+        pair, same, sides = None, False, ([], [])
+        for b in it:
+            for k in range(b.num_rows):
+                now = (b.column("label")[k].as_py(), b.column("dim")[k].as_py(), b.column("a")[k].as_py(), b.column("b")[k].as_py())
+                if now != pair:
+                    if sides[0] and (out := joined(sides, same)) is not None:
+                        yield out
+                    pair, same, sides = now, now[2] == now[3], ([], [])
+                sides[b.column("side")[k].as_py()].append(tuple(b.column(c)[k].as_py() for c in ("cids", "mults", "vectors")))
+        if sides[0] and (out := joined(sides, same)) is not None:
+            yield out
 
     return batches
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def _label_text(vectors: DataFrame) -> Column:
+    """A label of any type as a text that is equal just where labels are."""
+    kind, c = vectors.schema["label"].dataType, F.col("label")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0).cast(kind)).cast("string")  # no negative zero
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    return F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType)) else c.cast("string")
+
+
+def _links(classes: DataFrame, dim: int, n: int, kind: str, cosine: float, room: int) -> DataFrame:
+    """Classes (label, dim, embedding, mult, cid) -> (u, v, n) of FOUND."""
+    eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
+    directions = principal(classes, dim, min(DIMS, dim))
+    keep = directions.shape[1]
+    cells = classes.select("label", "dim", "cid", "mult", "embedding").mapInArrow(_project(directions, eps, dim), "label string, dim int, cid long, mult long, embedding array<double>, " + ", ".join(f"g{k} int" for k in range(keep)))
+    order = ["label", "dim", *[f"g{k}" for k in range(keep)], "cid"]
+    grid = cells.repartitionByRange(*order).sortWithinPartitions(*order)
+    small = max(1, room // 16)
+    packed = staged(grid.mapInArrow(_pack(directions, dim, small, kind), BLOCK).withColumn("at", F.monotonically_increasing_id()), "op1-blocks")
+    # chunks of a sequence: intervals in a row until `room` vectors; the window sees a row for each interval
+    narrow = packed.select("label", "dim", "block", "at", "size", "lo", "hi")
+    before = F.sum("size").over(W.partitionBy("label", "dim").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    member = staged(narrow.withColumn("chunk", F.floor(F.coalesce(before, F.lit(0)) / room).cast("long")), "op1-chunks")
+    pairs = staged(chunk_pairs(member.select("label", "dim", "chunk", "lo", "hi"), eps), "op1-work")
+    sizes = member.groupBy("label", "dim", "chunk").agg(F.sum("size").alias("n"))
+    size = lambda s: sizes.select("label", "dim", F.col("chunk").alias(s), F.col("n").alias(f"n_{s}"))
+    total = pairs.join(size("a"), ["label", "dim", "a"]).join(size("b"), ["label", "dim", "b"]).agg(F.count("*").alias("pairs"), F.sum(F.col("n_a") * F.col("n_b")).alias("work")).first()
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(total.pairs, max(2 * cores, math.ceil((total.work or 0) / TASK_PAIRS))))
+    place = member.select("block", "chunk")
+    load = packed.select("label", "dim", "block", "at", "cids", "mults", "vectors").join(place, "block")
+    sides = pairs.select("label", "dim", "a", "b", F.col("a").alias("chunk"), F.lit(0).alias("side")).unionAll(pairs.where("a <> b").select("label", "dim", "a", "b", F.col("b").alias("chunk"), F.lit(1).alias("side")))
+    work = load.join(sides, ["label", "dim", "chunk"]).repartition(tasks, "label", "dim", "a", "b").sortWithinPartitions("label", "dim", "a", "b", "side", "at")
+    work = work.select("label", "dim", "a", "b", "side", "cids", "mults", "vectors")
+    return staged(work.mapInArrow(_join_chunks(eps, cosine, dim, directions, kind), FOUND), "op1-links")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors with a cosine of at least `cosine` within their label.
 
     Equal vectors of a label are one class with a count, so copies never pair up. Classes are sorted
     by grid cells (side epsilon, the distance of unit vectors at that cosine) on the leading
-    principal dimensions of all vectors. The sequence is cut in intervals. Pairs of intervals whose
-    boxes lie within epsilon travel together and are joined recursively, halves that are provably
-    distant are skipped. A pair of intervals returns a count and one link for each vector, never
-    pairs, so a hot group costs arithmetic but no rows.
-
-    Nothing links vectors that are null, empty, zero, of different length, with null or non-finite
-    components, or with a null label: n_links 0, component_id their own vec_id. A null vec_id counts
-    as a vector; its component has the least other id. Repeated rows link with each other. kept is
-    vec_id = component_id. Other columns are ignored. Empty table: no rows.
+    principal dimensions of all vectors. A label's sequence is cut into chunks of up to `chunk`
+    vectors and joined with itself recursively: pairs of intervals are halved down to chunks, then
+    within the task of a pair of chunks, and those whose boxes are provably distant are skipped at
+    every step. A pair of chunks returns a count and one link for each vector, never pairs, so a hot
+    group costs arithmetic but no rows.
+
+    Labels may be of any type that can be compared. Nothing links vectors that are null, empty,
+    zero, of different length, with null or non-finite components, or with a null label: n_links 0,
+    component_id their own vec_id. A null vec_id counts as a vector; its component has the least
+    other id. Repeated rows link with each other. kept is vec_id = component_id. Other columns are
+    ignored. Empty table: no rows.
     """
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    rows = vectors.select("vec_id", _label_text(vectors).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    valid = rows.where(ok)
-    classes = valid.groupBy("label", "embedding").agg(F.count("*").alias("mult"), F.min("vec_id").alias("lo"))
-    classes = staged(classes.select("label", F.size("embedding").alias("dim"), "embedding", "mult", "lo", F.monotonically_increasing_id().alias("cid")), "op1")
-    dim = classes.agg(F.max("dim")).first()[0] or 0
-    eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    linked = None
-    if dim:
-        directions = principal(classes, dim, min(DIMS, dim))
-        keep = directions.shape[1]
-        cells = classes.select("label", "dim", "cid", "mult", "embedding").mapInArrow(_project(directions, eps, dim), "label int, dim int, cid long, mult long, embedding array<double>, " + ", ".join(f"g{k} int" for k in range(keep)))
-        order = ["label", "dim", *[f"g{k}" for k in range(keep)], "cid"]
-        blocks = staged(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack(directions, eps, dim), BLOCK), "op1-blocks")
-        box = lambda s: blocks.select("label", "dim", F.col("block").alias(f"block{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}"))
-        gaps = F.transform(F.arrays_zip("lo_a", "hi_a", "lo_b", "hi_b"), lambda z: F.greatest(F.lit(0.0), z["lo_a"] - z["hi_b"], z["lo_b"] - z["hi_a"]))
-        pairs = box("_a").join(box("_b"), ["label", "dim"]).where("block_a >= block_b").where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps).select("block_a", "block_b")
-        side = lambda s: blocks.select(*[F.col(c).alias(f"{c}{s}") for c in ("block", "cids", "mults", "vectors")])
-        work = pairs.join(side("_a"), "block_a").join(side("_b"), "block_b")
-        n = blocks.count()
-        found = staged(work.repartition(max(8, min(2000, n * (n + 1) // 20)), F.xxhash64("block_a", "block_b")).mapInArrow(_join_blocks(eps, cosine, dim, directions), FOUND), "op1-links")
-        linked = found.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
-        comps = components(found.select("u", "v"), "op1-cc").withColumnRenamed("node", "cid")
-    if linked is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    # rows find their class again by 128 bits of hash, not by the vector
+    keys = [F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2")]
+    groups = rows.where(ok).groupBy("label", "embedding").agg(F.count("*").alias("mult"), F.min("vec_id").alias("lo"))
+    classes = staged(groups.select("label", F.size("embedding").alias("dim"), "embedding", "mult", "lo", *keys, F.monotonically_increasing_id().alias("cid")), "op1")
+    known = classes.agg(F.max("dim").alias("dim"), F.count("*").alias("n"), F.sum("mult").alias("rows")).first()
+    alone = lambda d: d.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if not known.n:
+        return alone(rows).withColumn("kept", F.col("vec_id").isNotNull())
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
+    found = _links(classes, known.dim, known.n, kind, cosine, chunk or max(256, min(CHUNK, COMPONENTS // known.dim)))
+    linked = found.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
+    comps = components(found.select("u", "v"), "op1-cc").withColumnRenamed("node", "cid")
     member = classes.select("cid", "lo").join(comps, "cid")
     least = member.groupBy("root").agg(F.min("lo").alias("component_id"))
     label = member.join(least, "root").select("cid", "component_id")
-    facts = classes.join(linked, "cid", "left").join(label, "cid", "left")
-    facts = facts.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "lo").alias("component_id"))
-    out = valid.join(facts, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    out = out.unionAll(rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    facts = classes.select("cid", "h1", "h2", "mult", "lo").join(linked, "cid", "left").join(label, "cid", "left")
+    facts = staged(facts.select("h1", "h2", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "lo").alias("component_id")), "op1-facts")
+    # at most 1000 classes have over a thousandth of the rows: those are broadcast, the rest is joined by key
+    often = F.col("mult") * 1000 > F.lit(known.rows)
+    named = rows.select("vec_id", ok.alias("ok"), F.when(ok, keys[0]).alias("h1"), F.when(ok, keys[1]).alias("h2"))
+    hot = F.broadcast(facts.where(often).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_links").alias("hot_n"), F.col("component_id").alias("hot_c"), F.lit(True).alias("hot")))
+    named = named.join(hot, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    rest = named.where("ok and hot is null").join(facts.where(~often), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    out = rest.unionAll(named.where("hot").select("vec_id", F.col("hot_n").alias("n_links"), F.col("hot_c").alias("component_id"))).unionAll(alone(named.where("not ok")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

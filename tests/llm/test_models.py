@@ -269,14 +269,37 @@ def test_embeddings_equal_brute_force(spark):
     root = roots(len(rows), linked)
     want = [(r[0], sum(linked[i]), rows[root[i]][0], root[i] == i) for i, r in enumerate(rows)]
     assert sum(w[1] > 0 for w in want) > 60
-    old = embed_dedup.INTERVAL, embed_dedup.LEAF
+    old = embed_dedup.LEAF
     try:
-        for interval, leaf in (old, (16, 4)):
-            embed_dedup.INTERVAL, embed_dedup.LEAF = interval, leaf
-            got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df).collect())
+        for chunk, embed_dedup.LEAF in ((None, old), (16, 4)):
+            got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df, chunk=chunk).collect())
             assert got == want
     finally:
-        embed_dedup.INTERVAL, embed_dedup.LEAF = old
+        embed_dedup.LEAF = old
+    # labels of other types: equal just where they were
+    for kind in ("string", "long", "double", "date"):
+        made = {"string": "concat('label ', label)", "long": "label + 5000000000", "double": "label * 0.25 * (case when vec_id % 2 = 0 then -1 else 1 end) * (case when label = 0 then 1 else (case when vec_id % 2 = 0 then -1 else 1 end) end)", "date": "date_add(date '2020-01-01', label)"}[kind]
+        assert sorted(tuple(r) for r in embed_dedup.near_duplicates(df.selectExpr("vec_id", "embedding", f"{made} as label"), chunk=64).collect()) == want, kind
+
+
+def test_embeddings_pairs_of_chunks(spark):
+    """The recursive join keeps every pair of chunks that lie within epsilon, and drops others."""
+    rng = random.Random(12)
+    boxes = []
+    for label, n in (("a", 13), ("b", 1), ("c", 8)):
+        at = sorted(rng.uniform(0, 6) for _ in range(2 * n))
+        boxes += [(label, 2, k, [at[2 * k], rng.uniform(0, 1)], [at[2 * k + 1], 1.0]) for k in range(n)]
+    df = spark.createDataFrame(boxes, "label string, dim int, chunk long, lo array<double>, hi array<double>")
+    got = sorted((r.label, r.a, r.b) for r in embed_dedup.chunk_pairs(df, 0.4).collect())
+    want = sorted((x[0], x[2], y[2]) for x in boxes for y in boxes if x[0] == y[0] and x[2] >= y[2] and sum(max(0, p - s, r - q) ** 2 for p, q, r, s in zip(x[3], x[4], y[3], y[4])) <= 0.16)
+    assert got == want and len(want) < sum(n * (n + 1) // 2 for n in (13, 1, 8))
+
+
+def test_embeddings_of_a_common_vector(spark):
+    """A vector in most rows, and labels of one vector each."""
+    df = spark.sql("select id as vec_id, if(id % 3 < 2, array(1d, 2d, 3d), array(cast(id as double), 1d, -5d)) as embedding, if(id % 3 < 2, 'x', concat('l', id)) as label from range(600)")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {i: (399, 0, i == 0) if i % 3 < 2 else (0, i, True) for i in range(600)}
 
 
 def test_embeddings_none_or_nothing(spark):
