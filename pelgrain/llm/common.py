@@ -39,6 +39,23 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined to facts, one fact for each key; facts' column n counts the rows of its key, `total` all of them.
+
+    Fewer than 1000 keys can have over a thousandth of the rows each: those are broadcast, so that no
+    hot key lands in one task. All others are joined by shuffle. Rows without a fact go.
+    """
+    hot = F.col(n) * 1000 > F.lit(total)
+    rest = [c for c in facts.columns if c not in on]
+    small = F.broadcast(facts.where(hot).select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.struct(*rest).alias("_hot")))
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_hot_{c}"))
+    marked = rows.join(small, same, "left").select(*rows.columns, "_hot")
+    found = marked.where("_hot is not null").select(*rows.columns, "_hot.*")
+    return found.unionByName(marked.where("_hot is null").drop("_hot").join(facts.where(~hot), on))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

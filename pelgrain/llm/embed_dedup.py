@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelgrain.llm.common import staged
+from pelgrain.llm.common import join_counted, staged
 from pelgrain.llm.graph import components
 
 COSINE = 0.93
@@ -347,18 +347,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int | Non
     found = _links(classes, known.dim, known.n, kind, cosine, chunk or max(256, min(CHUNK, COMPONENTS // known.dim)))
     linked = found.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
     comps = components(found.select("u", "v"), "op1-cc").withColumnRenamed("node", "cid")
-    member = classes.select("cid", "lo").join(comps, "cid")
-    least = member.groupBy("root").agg(F.min("lo").alias("component_id"))
-    label = member.join(least, "root").select("cid", "component_id")
+    member = staged(classes.select("cid", "lo").join(comps, "cid"), "op1-member")
+    least = member.groupBy("root").agg(F.min("lo").alias("component_id"), F.count("*").alias("n"))
+    label = join_counted(member, least, ["root"], "n", known.n).select("cid", "component_id")
     facts = classes.select("cid", "h1", "h2", "mult", "lo").join(linked, "cid", "left").join(label, "cid", "left")
     facts = staged(facts.select("h1", "h2", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "lo").alias("component_id")), "op1-facts")
-    # at most 1000 classes have over a thousandth of the rows: those are broadcast, the rest is joined by key
-    often = F.col("mult") * 1000 > F.lit(known.rows)
-    named = rows.select("vec_id", ok.alias("ok"), F.when(ok, keys[0]).alias("h1"), F.when(ok, keys[1]).alias("h2"))
-    hot = F.broadcast(facts.where(often).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n_links").alias("hot_n"), F.col("component_id").alias("hot_c"), F.lit(True).alias("hot")))
-    named = named.join(hot, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    rest = named.where("ok and hot is null").join(facts.where(~often), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    out = rest.unionAll(named.where("hot").select("vec_id", F.col("hot_n").alias("n_links"), F.col("hot_c").alias("component_id"))).unionAll(alone(named.where("not ok")))
+    named = rows.select("vec_id", ok.alias("ok"), keys[0], keys[1])
+    out = join_counted(named.where("ok").drop("ok"), facts, ["h1", "h2"], "mult", known.rows).select("vec_id", "n_links", "component_id").unionAll(alone(named.where("not ok")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
