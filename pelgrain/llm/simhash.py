@@ -7,13 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from pelgrain.llm import shingles
-from pelgrain.llm.common import staged
+from pelgrain.llm.common import join_counted, staged
 from pelgrain.llm.graph import components
 from pelgrain.llm.sql_hash import of_text
 
@@ -21,11 +22,9 @@ SHINGLE = 3
 MAX_BITS = 2
 #: Fingerprints differing in at most MAX_BITS bits share at least this many of their 8 positional bytes.
 LEAST_SHARED = 8 - MAX_BITS
-#: Lists of the index up to this length give pairs; longer ones are linked through midpoints.
-PAIRS_UP_TO = 16
-#: Positional bytes are looked up four at a time, as two of four blocks of two bytes: LEAST_SHARED
-#: shared bytes of 8 leave two blocks whole at least.
-BLOCKS = tuple(combinations(range(4), 2))
+#: The index posts a fingerprint's eight positional bytes in all sets of LEAST_SHARED positions, so that
+#: every pair that can pass the count filter meets in a list, and a list has 2**16 fingerprints at most.
+SETS = tuple(combinations(range(8), LEAST_SHARED))
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -59,57 +58,57 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     return docs.select("doc_id", "text", *[c for c in keep if c != "text"]).mapInArrow(batches, schema)
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """Tally of the positions at which two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    total = F.lit(0)
-    for i in range(8):
-        total = total + (F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int")
-    return total
+def postings(prints: DataFrame) -> DataFrame:
+    """fp -> (g, key, fp): the lists it stands in, g the set of positions and key its bytes there."""
+    fp = F.col("fp")
+    masks = [_signed(sum(0xFF << (8 * i) for i in at)) for at in SETS]
+    keys = F.array(*[F.struct(F.lit(g).alias("g"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for g, m in enumerate(masks)])
+    return prints.select("fp", F.inline(keys)).select("g", "key", "fp")
+
+
+def tallies(lists: DataFrame) -> DataFrame:
+    """Lists (g, key, fp) -> (u, v, shared): pairs that meet in lists, and at how many positions they were found to have the same byte.
+
+    A list leaves two bytes free. Each member is put at itself and at the 16 values one of the free
+    bits away; two members differ in at most two bits just if they share such a place. Pairing all
+    of a place with its least member joins the same fingerprints as all their pairs would, and costs
+    17 rows for a member, however many near copies a list holds.
+    """
+    flips = [[0, *[1 << (8 * i + b) for i in range(8) if i not in at for b in range(8)]] for at in SETS]
+    flip = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in row]) for row in flips]), F.col("g") + 1)
+    placed = lists.select("g", "fp", F.explode(flip).alias("flip")).select("g", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
+    met = placed.select("g", F.col("fp").alias("u"), F.min("fp").over(W.partitionBy("g", "place")).alias("v")).where("u <> v")
+    positions = F.element_at(F.array(*[F.lit(sum(1 << i for i in at)) for at in SETS]), F.col("g") + 1)
+    return met.groupBy("u", "v").agg(F.bit_count(F.bit_or(positions)).alias("shared"))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v) that connect just those joined by steps of at most MAX_BITS bits.
 
-    Inverted index on positional bytes. Short lists give their pairs, whose shared bytes are
-    tallied; pairs with LEAST_SHARED are verified by their differing bits. A long list (a hot group
-    of near copies, or a crowded index) would give pairs by the square of its length. There each
-    fingerprint is posted under itself and the 32 values one bit away outside the key. Two that
-    share such a midpoint differ in at most two bits, and two that differ in at most two share one,
-    so linking all to the least of a midpoint loses and adds nothing.
+    Inverted index on positional bytes, with a count filter: lists of fingerprints that agree in
+    LEAST_SHARED positions, the shared bytes of each pair tallied over all lists it meets in, pairs
+    that reach the least number kept and verified by their differing bits. Lists are parted by one
+    shuffle and hold 2**16 fingerprints at most, as 16 bits are free in them.
     """
-    fp = F.col("fp")
-    keys = F.array(*[F.struct(F.lit(g).alias("g"), F.shiftleft(_block(fp, i), 16).bitwiseOR(_block(fp, j)).alias("key")) for g, (i, j) in enumerate(BLOCKS)])
-    lists = staged(prints.select("fp", F.inline(keys)), "op2-index")
-    sizes = lists.groupBy("g", "key").agg(F.count("*").alias("n")).where("n > 1")
-    full = staged(lists.join(sizes, ["g", "key"]), "op2-lists")
-    short, long = full.where(F.col("n") <= PAIRS_UP_TO), full.where(F.col("n") > PAIRS_UP_TO)
-    a, b = short.select("g", "key", F.col("fp").alias("u")), short.select("g", "key", F.col("fp").alias("v"))
-    pairs = a.join(b, ["g", "key"]).where("u > v").where(shared_bytes(F.col("u"), F.col("v")) >= LEAST_SHARED)
-    pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
-    flips = []
-    for i, j in BLOCKS:
-        ones = [1 << (16 * k + n) for k in range(4) if k not in (i, j) for n in range(16)]
-        flips.append(F.array(F.lit(0).cast("long"), *[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in ones]))
-    mids = long.select("g", "fp", F.explode(F.element_at(F.array(*flips), F.col("g") + 1)).alias("flip")).select("g", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    least = mids.groupBy("g", "mid").agg(F.min("fp").alias("v"), F.max("fp").alias("top")).where("v < top")
-    stars = mids.join(least, ["g", "mid"]).where("fp > v").select(F.col("fp").alias("u"), "v")
-    return pairs.unionAll(stars).distinct()
+    own = W.partitionBy("g", "key")
+    full = postings(prints).select("g", "fp", (F.min("fp").over(own) < F.max("fp").over(own)).alias("many")).where("many").drop("many")
+    pairs = tallies(staged(full, "op2-lists")).where(F.col("shared") >= LEAST_SHARED)
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
 
 
 def _groups(rows: DataFrame, tag: str, more: DataFrame | None = None) -> DataFrame:
     """rows (doc_id, fp, ...) with component_id and root, the fingerprint that names the component; `more` are further links."""
-    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("lo")), f"{tag}-own")
+    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")), f"{tag}-own")
     pairs = links(own.select("fp")) if more is None else links(own.select("fp")).unionAll(more)
-    comps = own.join(components(pairs, f"{tag}-cc").withColumnRenamed("node", "fp"), "fp")
-    least = comps.groupBy("root").agg(F.min("lo").alias("component_id"))
-    linked = comps.join(least, "root").select("fp", "root", "component_id")
-    labels = staged(own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "lo").alias("component_id")), f"{tag}-labels")
-    return rows.join(labels, "fp")
+    comps = staged(own.select("fp", "lo").join(components(pairs, f"{tag}-cc").withColumnRenamed("node", "fp"), "fp"), f"{tag}-comps")
+    least = comps.groupBy("root").agg(F.min("lo").alias("component_id"), F.count("*").alias("n"))
+    linked = join_counted(comps, least, ["root"], "n", comps.count()).select("fp", "root", "component_id")
+    labels = staged(own.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "lo").alias("component_id")), f"{tag}-labels")
+    return join_counted(rows, labels, ["fp"], "n", labels.agg(F.sum("n")).first()[0] or 0).drop("n")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -157,8 +156,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, broadcast_up_t
     rows = _similar(docs, shingle) if similar else _groups(staged(fingerprints(wide, shingle, keep=("th",)), "op2"), "op2")
     found = staged(rows.select(F.col("doc_id").alias("_d_id"), F.col("th").alias("_d_th"), "root"), "op2-found")
     row = F.struct(F.col("_d_id").isNull().alias("none"), "_d_id", "_d_th")
-    keep = found.groupBy("root").agg(F.min(row).alias("k"), F.count("*").alias("n")).where("n > 1").drop("n")
-    many = staged(found.join(keep, "root").select("_d_id", "_d_th", (F.col("_d_id").eqNullSafe(F.col("k._d_id")) & (F.col("_d_th") == F.col("k._d_th"))).alias("stays")), "op2-many")
+    keep = found.groupBy("root").agg(F.min(row).alias("k"), F.count("*").alias("n")).where("n > 1")
+    many = staged(join_counted(found, keep, ["root"], "n", found.count()).select("_d_id", "_d_th", (F.col("_d_id").eqNullSafe(F.col("k._d_id")) & (F.col("_d_th") == F.col("k._d_th"))).alias("stays")), "op2-many")
     marked = docs.withColumn("_d_h", F.xxhash64("text"))
     same = lambda: marked["doc_id"].eqNullSafe(F.col("_d_id")) & (F.col("_d_h") == F.col("_d_th"))
     gone = many.where("not stays").select("_d_id", "_d_th").distinct()

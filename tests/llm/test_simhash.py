@@ -53,7 +53,7 @@ def test_links_connect_what_brute_force_does(spark):
     for b in list(prints)[:10]:
         prints |= {near(rng, b, rng.randint(1, 5)) for _ in range(8)}
     hot = rng.getrandbits(64)
-    prints |= {near(rng, hot, rng.randint(0, 4)) for _ in range(150)}  # lists longer than PAIRS_UP_TO
+    prints |= {near(rng, hot, rng.randint(0, 4)) for _ in range(150)}  # one hot group
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
     got = {r.node: r.root for r in components(S.links(df)).collect()}
@@ -62,6 +62,19 @@ def test_links_connect_what_brute_force_does(spark):
     assert len(set(want.values())) > 20
 
 
+def test_tallies_count_shared_positional_bytes(spark):
+    base = 0x1122334455667788
+    prints = {"one bit": base ^ 1, "two bits of a byte": base ^ 3 << 8, "two bytes": base ^ 1 << 16 ^ 1 << 60, "three bits": base ^ 7 << 24, "three bytes": base ^ 1 << 32 ^ 1 << 40 ^ 1 << 48}
+    for what, x in prints.items():
+        lists = S.postings(spark.createDataFrame([(base,), (x,)], "fp long"))
+        assert lists.count() == 2 * len(S.SETS) == 56
+        met = lists.groupBy("g", "key").count().where("count = 2").count()
+        same = sum(base >> 8 * i & 255 == x >> 8 * i & 255 for i in range(8))
+        assert met == {7: 7, 6: 1, 5: 0}[same], what
+        got = [tuple(r) for r in S.tallies(lists.join(lists.groupBy("g", "key").count().where("count = 2"), ["g", "key"])).collect()]
+        assert got == ([(max(base, x), min(base, x), same)] if (base ^ x).bit_count() <= 2 else []), what
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 180)] + [(0, i) for i in range(1, 50)] + [(7, 7), (300, 299), (299, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
