@@ -17,10 +17,8 @@ from pelgrain.llm.words import mix, spaced_table, split_words, text_buffer
 BUCKETS = 1 << 15
 #: Labelled rows that the target model and the threshold are fitted on, the least by a hash of the id.
 SAMPLE = 20_000
-#: Scores of short texts are drawn to 0 by so many n-grams without a preference.
-PRIOR = 4.0
-#: Scale of the Gumbel noise against a score, in nats per n-gram: low, so that it decides near the threshold alone.
-TEMPERATURE = 0.002
+#: Scale of the Gumbel noise against the log of the importance weight: 1 draws documents by their weights.
+TEMPERATURE = 1.0
 #: Text bytes of a batch that are handled at once.
 CHUNK = 1 << 20
 INSIDE = spaced_table()
@@ -111,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight): the importance weight of each document, in logs."""
+    """(doc_id, th, n_grams, log_weight): the importance weight of each document, in logs; th is a hash of the text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -120,15 +118,15 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 n[k:stop] = np.diff(at)
                 run = np.concatenate([[0.0], np.cumsum(ratio[grams])])
                 weight[k:stop] = run[at[1:]] - run[at[:-1]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(weight)], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("th"), pa.array(n), pa.array(weight)], ["doc_id", "th", "n_grams", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n_grams long, log_weight double")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(batches, "doc_id long, th long, n_grams long, log_weight double")
 
 
 def threshold(pairs: list[tuple[float, int]]) -> float:
-    """The mean score that parts good from bad: most correct labels, a lost good document counting double.
+    """The log weight that parts good from bad: most correct labels, a lost good document counting double.
 
-    Half-way between two scores; -inf where no bad ones are known, so that all are kept.
+    Half-way between two weights; -inf where no bad ones are known, so that all are kept.
     """
     if not any(q == 0 for _, q in pairs):
         return -math.inf
@@ -172,30 +170,41 @@ def kth_largest(keys: DataFrame, k: int, few: int = 10_000) -> float | None:
             return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, n_grams, log_weight, score, key, kept: documents drawn by importance, without replacement.
+def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE, share: float | None = None) -> DataFrame:
+    """doc_id, n_grams, log_weight, key, kept: documents drawn by importance, without replacement.
 
-    log_weight is the log of target over raw probability of all n-grams of the text, score its mean
-    with PRIOR neutral n-grams added, key = score / temperature + Gumbel noise. The k largest keys
-    are kept, k the number of documents that score over the threshold fitted on the labels; so the
-    noise swaps documents near the threshold and no others. Ties at the last key all stay.
+    log_weight is the log of target over raw probability of all n-grams of the text, and
+    key = log_weight + temperature * Gumbel noise: the k largest keys are a draw without replacement
+    by importance weights. k is `share` of the documents. Where no share is given, it is the share
+    of documents whose weight is over the threshold that parts the labelled good from bad, so that
+    what the draw leaves out is about as much as there is of bad text. Ties at the last key all stay.
 
-    Null, empty and blank texts have no n-grams and score 0, as texts with no preference do; if no
-    good or no bad labels are known, all stay. Repeated rows get the same key. Empty table: no rows.
+    Null, empty and blank texts have no n-grams and a log weight of 0, as texts with no preference
+    do; if no good or no bad labels are known and no share is given, all stay. Repeated rows get the
+    same key. Other columns are ignored. Empty table: no rows.
     """
+    return _drawn(docs, labels, sample, temperature, share).drop("th")
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE, share: float | None = None) -> DataFrame:
     ratio, known = fit(docs, labels, sample)
-    mean = F.col("log_weight") / (F.col("n_grams") + PRIOR)
-    rows = staged(score(docs, ratio).withColumn("score", mean).withColumn("key", mean / temperature + gumbel(F.col("doc_id"))), "op4")
-    ids = rows.sparkSession.createDataFrame([(k, q) for k, q in known.items()], "doc_id long, quality int")
-    pairs = [(r.score, r.quality) for r in rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("score").alias("score")).toLocalIterator()]
-    cut = threshold(pairs) if ratio.any() else -math.inf
-    k = rows.where(F.col("score") >= cut).count()
+    rows = staged(score(docs, ratio).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")) * temperature), "op4")
+    if share is None:
+        ids = rows.sparkSession.createDataFrame([(k, q) for k, q in known.items()], "doc_id long, quality int")
+        pairs = [(r.log_weight, r.quality) for r in rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("log_weight")).toLocalIterator()]
+        cut = threshold(pairs) if ratio.any() else -math.inf
+        k = rows.where(F.col("log_weight") >= cut).count()
+    else:
+        k = math.floor(rows.count() * share + 0.5)
     last = kth_largest(rows, k)
     return rows.withColumn("kept", F.col("key") >= last if last is not None else F.lit(False))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, broadcast_up_to: int = 500_000) -> DataFrame:
-    """docs without those the resampling leaves out; docs' columns only. Rows without a doc_id stay."""
-    gone = resample(docs, labels).where("not kept and doc_id is not null").select("doc_id").distinct()
+    """docs without the rows that the resampling leaves out; docs' columns only.
+
+    Rows are told apart by doc_id and a hash of the text. Rows without a doc_id stay.
+    """
+    gone = _drawn(docs, labels).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_q_id"), F.col("th").alias("_q_th")).distinct()
     gone = F.broadcast(gone) if gone.count() <= broadcast_up_to else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, (docs["doc_id"] == F.col("_q_id")) & (F.xxhash64(docs["text"]) == F.col("_q_th")), "left_anti").select(*docs.columns)

@@ -66,17 +66,16 @@ def plain_resample(docs, labels):
         w = float(sum(ratio[x] for x in g))
         h = xxh64(((-1 if i is None else i) & M).to_bytes(8, "little"), 42).intdigest()
         u = ((xxh64(b"gumbel", h).intdigest() >> 11) + 0.5) / (1 << 53)
-        s = w / (len(g) + quality.PRIOR)
-        rows.append((i, len(g), w, s, s / quality.TEMPERATURE - math.log(-math.log(u))))
+        rows.append((i, len(g), w, w - math.log(-math.log(u))))
     score = {}
-    for i, _, _, s, _ in rows:
+    for i, _, w, _ in rows:
         if i in known:
-            score[i] = min(s, score.get(i, s))
-    cut = quality.threshold([(s, known[i]) for i, s in score.items()]) if ratio.any() else -math.inf
-    k = sum(s >= cut for *_, s, _ in rows)
-    keys = sorted((r[4] for r in rows), reverse=True)
+            score[i] = min(w, score.get(i, w))
+    cut = quality.threshold([(w, known[i]) for i, w in score.items()]) if ratio.any() else -math.inf
+    k = sum(w >= cut for _, _, w, _ in rows)
+    keys = sorted((r[3] for r in rows), reverse=True)
     last = keys[k - 1] if k else math.inf
-    return [(i, n, w, key, key >= last) for i, n, w, _, key in rows]
+    return [(*r, r[3] >= last) for r in rows]
 
 
 def corpus(rng, n=120):
@@ -111,6 +110,28 @@ def test_resampling_equals_brute_force_and_tells_junk(spark):
     assert kept.columns == d.columns and kept.count() == sum(r[4] or r[0] is None for r in got)
 
 
+def test_resampling_draws_by_weight(spark):
+    """Documents without preference are drawn by the noise alone; weights decide where they differ by much."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=6))) for i in range(400)] + [(1000 + i, " ".join(["!!"] * 60)) for i in range(60)]
+    d, lab = frames(spark, docs, [(i, int(i < 1000)) for i, _ in docs[::3]])
+    rows = quality.resample(d, lab, share=0.5).collect()
+    kept = {r.doc_id for r in rows if r.kept}
+    assert len(kept) == 230 and max(kept) < 1000
+    plain = {r.doc_id for r in sorted(rows, key=lambda r: -r.log_weight)[:230]}
+    assert 20 < len(kept - plain) < 200
+    same = quality.resample(d, lab, share=0.5, temperature=1e-9).where("kept").collect()
+    assert {r.doc_id for r in same} == plain
+
+
+def test_rows_that_share_an_id_are_scored_by_their_texts(spark):
+    docs, labels = corpus(random.Random(4))
+    d, lab = frames(spark, docs + [(5, docs[1][1]), (1, docs[5][1])], labels)
+    kept = [tuple(r)[:2] for r in quality.keep_good(d, lab).where("doc_id in (1, 5)").collect()]
+    assert sorted(kept) == sorted([(1, docs[1][1]), (5, docs[1][1])])
+
+
 def test_resampling_without_labels_or_rows(spark):
     d, lab = frames(spark, corpus(random.Random(2), 20)[0], [])
     assert all(r.kept for r in quality.resample(d, lab).collect())
