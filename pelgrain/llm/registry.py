@@ -30,11 +30,7 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def op5_source_mix_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.layout(mixing.mix_sources(table(spark, sf_dir, "documents")))
+    return mixing.as_text(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
 
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +65,6 @@ def queries() -> dict[str, Query]:
             op3_line_chunks,
             op4_importance_resampling,
             op5_source_mix,
-            op5_source_mix_layout,
             op6_separator_scan,
             op7_url_lists,
             op8_secret_battery,

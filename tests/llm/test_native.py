@@ -69,31 +69,109 @@ def targets(sizes):
     return target
 
 
-def test_mix_equals_brute_force(spark):
-    rng = random.Random(2)
-    rows = [(k, " ".join("w" * rng.randint(1, 4) for _ in range(rng.choice((0, 3, 40, 900)))), rng.choice(["a", "b", "B", "ä", None, "big", "big", "big"])) for k in range(500)] + [(900, None, "a"), (901, " \n", "none"), (902, "x y", "tiny")]
-    d = docs(spark, rows)
-    got = {r.doc_id: r for r in mixing.mix_sources(d).collect()}
-    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+def mix_key(i, t):
+    return hashlib.md5(f"mix:{'' if i is None else i}:{'' if t is None else hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+
+
+def plain_mix(rows, shards=16, seed=42):
+    """rows (id, text, source) -> by source its target, and for each row (id, size, taken, shards of its copies, key)."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
     total = {}
-    for i, _, s in rows:
-        total[s] = total.get(s, 0) + size[i]
+    for (_, _, s), n in zip(rows, size):
+        total[s] = total.get(s, 0) + n
     want = targets(total)
-    key = lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()[:16]
+    out, balls = [], []
     for s in total:
         base = math.floor(want[s] / total[s]) if total[s] else 0
         rest = math.floor(want[s] - base * total[s] + 0.5)
-        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: (key(i), i)):
-            part = min(rest, size[i])
+        sk, passes = "n" if s is None else f"s{s}", {}
+        for key, i, n in sorted(((mix_key(i, t), i, n) for (i, t, x), n in zip(rows, size) if x == s), key=lambda r: r[0]):
+            part = min(rest, n)
             rest -= part
-            r = got[i]
-            assert (r["size"], r.source_size, r.taken) == (size[i], total[s], base * size[i] + part) and r.target == pytest.approx(want[s])
-            assert r.taken <= 3 * size[i] and len(r.shards) == (math.ceil(r.taken / size[i]) if size[i] else 0)
-    assert [r.asDict() for r in sorted(mixing.mix_sources(d.repartition(7)).collect(), key=lambda r: r.doc_id)] == [got[i].asDict() for i in sorted(got)]
+            out.append((i, n, base * n + part, sk, key))
+            if n:
+                passes[key[:3]] = max(passes.get(key[:3], 0), base + (part > 0))
+        balls += [(sk, block, e) for block, k in passes.items() for e in range(k)]
+    h = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    quota = {}
+
+    def split(lo, hi, mine, level):
+        if hi - lo == 1:
+            for sk, _, _ in mine:
+                quota.setdefault(sk, [0] * shards)[lo] += 1
+            return
+        mid = (lo + hi) // 2
+        mine = sorted(mine, key=lambda b: (h("split", seed, level, *b), b))
+        take = len(mine) * (mid - lo) // (hi - lo)
+        split(lo, mid, mine[:take], level + 1)
+        split(mid, hi, mine[take:], level + 1)
+
+    split(0, shards, balls, 0)
+    shard = {}
+    for sk, q in quota.items():
+        order = sorted((b for b in balls if b[0] == sk), key=lambda b: h("place", seed, *b))
+        shard |= dict(zip(order, [k for k, n in enumerate(q) for _ in range(n)], strict=True))
+    return want, [(i, n, taken, [shard[sk, key[:3], e] for e in range(math.ceil(taken / n) if n else 0)], key) for i, n, taken, sk, key in out]
+
+
+def test_mix_equals_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join("w" * rng.randint(1, 4) for _ in range(rng.choice((0, 3, 40, 900)))), rng.choice(["a", "b", "B", "ä", None, "big", "big", "big"])) for k in range(500)] + [(900, None, "a"), (901, " \n", "none"), (902, "x y", "tiny")]
+    d = docs(spark, rows)
+    want, plain = plain_mix(rows)
+    order = lambda r: str(r[0])
+    got = [(r.doc_id, r["size"], r.taken, r.shards, r.order_key) for r in mixing.mix_sources(d).collect()]
+    assert sorted(got, key=order) == sorted(plain, key=order)
+    assert {s for r in got for s in r[3]} == set(range(16)) and max(len(r[3]) for r in got) == 3
+    assert sorted(((r.doc_id, r["size"], r.taken, r.shards, r.order_key) for r in mixing.mix_sources(d.repartition(7)).collect()), key=order) == sorted(got, key=order)
+    source = {i: s for i, _, s in rows}
+    assert all(r.target == pytest.approx(want[source[r.doc_id]]) for r in mixing.mix_sources(d).collect())
     mixed = mixing.mixed_documents(d)
     assert mixed.columns == d.columns
     copies = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert copies == {i: n for i, r in got.items() if size[i] and (n := math.floor(r.taken / size[i] + 0.5))}
+    assert copies == {i: n for i, size, taken, *_ in plain if size and (n := math.floor(taken / size + 0.5))}
+
+
+def test_shards_of_the_mix_are_the_trees(spark):
+    """Shards hold as many blocks as whole numbers allow, and each source's quota of them follows the tree alone."""
+    rng = random.Random(3)
+    rows = [(k, "w " * 5, rng.choice("aab")) for k in range(3000)]
+    d = docs(spark, rows)
+    for shards in (1, 3, 16):
+        got = mixing.mix_sources(d, shards=shards).collect()
+        want = {i: s for i, _, _, s, _ in plain_mix(rows, shards)[1]}
+        assert {r.doc_id: r.shards for r in got} == want
+        blocks = {(rows[r.doc_id][2], r.order_key[:3], e, s) for r in got for e, s in enumerate(r.shards)}
+        n = [sum(b[3] == k for b in blocks) for k in range(shards)]
+        assert max(n) - min(n) <= 2
+    other = {r.doc_id: r.shards for r in mixing.mix_sources(d, seed=7).collect()}
+    assert other != want
+
+
+@pytest.mark.parametrize("case", ["no ids", "one id", "equal rows", "ids that repeat"])
+def test_mix_meets_its_target_whatever_the_ids(spark, case):
+    rng = random.Random(5)
+    text = lambda k: " ".join(rng.choices("abcdefgh", k=rng.randint(1, 30)))
+    rows = {
+        "no ids": [(None, text(k), "ab"[k % 2]) for k in range(200)],
+        "one id": [(7, text(k), "ab"[k % 2]) for k in range(200)],
+        "equal rows": [(1, "a b c d e f g", "a")] * 150 + [(k, text(k), "b") for k in range(10, 60)],
+        "ids that repeat": [(k % 5, text(k), "abc"[k % 3]) for k in range(200)] * 2,
+    }[case]
+    d = docs(spark, rows)
+    want, plain = plain_mix(rows)
+    seen = []
+    for parts in (1, 3, 7):
+        got = mixing.mix_sources(d.repartition(parts)).collect()
+        seen.append(sorted((str(r.doc_id), r["size"], r.taken, r.shards, r.order_key) for r in got))
+    assert seen[0] == seen[1] == seen[2] == sorted((str(r[0]), *r[1:]) for r in plain)
+    assert sum(r[2] for r in seen[0]) == sum(math.floor(t + 0.5) for t in want.values())
+    for s, t in want.items():
+        mine = [r for r in rows if r[2] == s]
+        assert sum(r[2] for r in seen[0] if (r[0], r[4]) in {(str(i), mix_key(i, x)) for i, x, _ in mine}) >= math.floor(t + 0.5)
+    whole = sorted(str(r.text) for r in mixing.mixed_documents(d).collect())
+    text_of = {mix_key(i, x): str(x) for i, x, _ in rows}
+    assert whole == sorted(t for _, n, taken, _, key in plain for t in [text_of[key]] * (math.floor(taken / n + 0.5) if n else 0))
 
 
 def test_mix_of_one_source_and_of_nothing(spark):
@@ -107,16 +185,11 @@ def test_mix_of_one_source_and_of_nothing(spark):
 def test_mix_is_laid_out_by_shard_and_order(spark):
     rng = random.Random(13)
     d = docs(spark, [(k, "w " * rng.randint(1, 40), rng.choice("abc")) for k in range(300)])
-    at = {r.doc_id: r for r in mixing.layout(mixing.mix_sources(d)).collect()}
+    at = {r.doc_id: r for r in mixing.mix_sources(d).collect()}
     rows = [r.doc_id for r in mixing.mixed_documents(d).collect()]
-    seen, places = {}, []
-    for i in rows:  # copies of a document come in the order of their shards
-        seen.setdefault(i, []).append(len(seen.get(i, [])))
-    left = {i: sorted(map(int, at[i].shards.split(",")[: len(n)])) for i, n in seen.items()}
-    for i in rows:
-        places.append((left[i].pop(0), at[i].order_key, i))
-    assert places == sorted(places) and len({p[0] for p in places}) == 16
-    assert all(r.shards.count(",") + 1 >= len(seen.get(i, [])) for i, r in at.items() if r.shards)
+    copies = {i: rows.count(i) for i in set(rows)}
+    places = [(s, hashlib.md5(f"{at[i].order_key}:{e}".encode()).hexdigest(), i) for i, n in copies.items() for e, s in enumerate(at[i].shards[:n])]
+    assert [p[2] for p in sorted(places)] == rows and len({p[0] for p in places}) == 16
 
 
 def test_quotas_are_exact_and_even():

@@ -1,13 +1,12 @@
 """The corpus pipeline against a brute-force version of its stages."""
 
-import hashlib
 import math
 import random
 
 import pytest
 from test_decontaminate import brute
 from test_models import plain_resample
-from test_native import WORD, bid, targets
+from test_native import bid, plain_mix
 from test_simhash import plain, roots
 
 import corpus_pipeline as P
@@ -48,19 +47,8 @@ def expected(docs, labels, items):
     yield sorted(single)
     clean = [r[0] for r in brute([(i, text[i]) for i in single], items) if not r[5]]
     yield sorted(clean)
-    size = {i: len(WORD.findall(text[i] or "")) for i in clean}
-    total = {}
-    for i in clean:
-        total[source[i]] = total.get(source[i], 0) + size[i]
-    want, copies = targets(total), []
-    key = lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()[:16]
-    for s in total:
-        base = math.floor(want[s] / total[s]) if total[s] else 0
-        rest = math.floor(want[s] - base * total[s] + 0.5)
-        for i in sorted((i for i in clean if source[i] == s), key=key):
-            part = min(rest, size[i])
-            rest -= part
-            copies += [i] * (math.floor((base * size[i] + part) / size[i] + 0.5) if size[i] else 0)
+    mixed = plain_mix([(i, text[i], source[i]) for i in clean])[1]
+    copies = [i for i, n, taken, *_ in mixed for _ in range(math.floor(taken / n + 0.5) if n else 0)]
     yield sorted(copies)
 
 
