@@ -22,7 +22,7 @@ def op2_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_words=line_dedup.LONG)
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,57 +192,91 @@ def test_mix_is_laid_out_by_shard_and_order(spark):
     assert [p[2] for p in sorted(places)] == rows and len({p[0] for p in places}) == 16
 
 
-def test_quotas_are_exact_and_even():
-    quotas = [100, 7, 0, 41]
-    split = mixing.split_quotas(quotas, 6, 3)
-    assert [sum(r) for r in split] == quotas
-    columns = [sum(r[k] for r in split) for k in range(6)]
-    assert max(columns) - min(columns) <= 2 and split == mixing.split_quotas(quotas, 6, 3)
-
-
-def chunked(text):
+def chunked(text, long_words):
+    """Lines, and the chunks as lists of line numbers, with whether each counts."""
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    big = [len(WORD.findall(x)) > 50 for x in lines]
-    out, cur = [], []
-    for i in range(len(lines)):
-        cur.append(i)
-        if i == len(lines) - 1 or big[i] or big[i + 1] or (h[max(i - 1, 0)] * 31 + h[i]) % 2 == 0:
-            out.append(cur)
-            cur = []
-    return lines, out, big
-
-
-def test_line_chunks_equal_brute_force(spark):
-    rng = random.Random(3)
-    line = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.choice((1, 4, 9, 60))))
-    shared = [[line() for _ in range(8)] for _ in range(3)] + [[line() + " end" * 55]]
-    rows = [(k, "\n".join([line() for _ in range(rng.randint(0, 5))] + rng.choice(shared) + [line() for _ in range(rng.randint(0, 5))]), "s") for k in range(60)]
-    rows += [(100, None, "s"), (101, "", "s"), (102, "\n\n\n", "s"), (103, rows[5][1], "s"), (104, rows[5][1], None), (105, "x\n" * 40_000, "s")]
+    big = [long_words is not None and len(WORD.findall(x)) > long_words for x in lines]
+    out, i = [], 0
+    while i < len(lines):
+        if big[i]:
+            out.append(([i], True))
+            i += 1
+            continue
+        j = i
+        while j < len(lines) and not big[j]:
+            j += 1
+        may = [((h[k - 1] if k > i else 12345) * 31 + h[k] * 17) % 1_000_003 % 2 == 0 for k in range(i, j)]
+        cur = []
+        for k in range(i, j):
+            cur.append(k)
+            if k == j - 1 or (k > i and may[k - i] and not may[k - i - 1] and k < j - 2):
+                out.append((cur, len(cur) > 1))
+                cur = []
+        i = j
+    return lines, out
+
+
+def plain_lines(rows, long_words):
     seen, want = set(), {}
-    for i, t, _ in sorted(rows):
+    for i, t, _ in sorted(rows, key=lambda r: r[0]):
         if t is None:
             want[i] = (None, 0, 0)
             continue
-        lines, parts, big = chunked(t)
+        lines, parts = chunked(t, long_words)
         gone = set()
-        for p in parts:
+        for p, counts in parts:
             piece = "\n".join(lines[k] for k in p)
-            if len(piece) >= 40 and (len(p) > 1 or big[p[-1]]):
+            if counts:
                 if piece in seen:
                     gone |= set(p)
                 seen.add(piece)
         want[i] = (t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    return want
+
+
+def line_rows():
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.choice((1, 4, 9, 60))))
+    shared = [[line() for _ in range(8)] for _ in range(3)] + [[line() + " end" * 55]]
+    rows = [(k, "\n".join([line() for _ in range(rng.randint(0, 5))] + rng.choice(shared) + [line() for _ in range(rng.randint(0, 5))]), "s") for k in range(60)]
+    return rows + [(100, None, "s"), (101, "", "s"), (102, "\n\n\n", "s"), (103, rows[5][1], "s"), (104, rows[5][1], None), (105, "x\n" * 40_000, "s"), *[(200 + k, "a\nb\nc", "s") for k in range(5)]]
+
+
+@pytest.mark.parametrize("long_words", [None, 50])
+def test_line_chunks_equal_brute_force(spark, long_words):
+    rows = line_rows()
+    want = plain_lines(rows, long_words)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, rows), long_words=long_words).collect()}
     assert got == want and sum(n for *_, n in want.values()) > 100
+    assert want[202] == ("", 3, 3) and (long_words or want[104][0] == "")
     assert line_dedup.dedup_lines(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_chunks_are_told_by_their_bytes(spark, monkeypatch):
+    """With a key that says nothing, the texts decide."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "_key", lambda piece: F.length(piece).cast("long") % 2)
+    rows = [r for r in line_rows() if r[0] != 105]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, rows), long_words=50).collect()}
+    assert got == plain_lines(rows, 50)
+
+
+def test_line_chunks_resist_shifts(spark):
+    """A line put in front moves no boundary but the first ones; a hot passage goes from all documents but one."""
+    rng = random.Random(6)
+    passage = [f"{k} {rng.random()}" for k in range(40)]
+    rows = [(k, "\n".join([f"own {k} {j}" for j in range(k % 7)] + passage), "s") for k in range(300)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got[0] == 0 and all(n >= 34 for i, n in got.items() if i)
+
+
 def test_line_chunks_of_repeated_rows_and_null_ids(spark):
     t = "\n".join(f"a line of some length number {k}" for k in range(12))
     got = line_dedup.dedup_lines(docs(spark, [(1, t, "s"), (1, t, "s"), (2, t, "s"), (None, "q", "s"), (None, "q", "s")])).collect()
     by = {i: [(r.text, r.n_removed) for r in got if r.doc_id == i] for i in (1, 2, None)}
-    assert len(got) == 5 and all(n == 0 for _, n in by[1] + by[None]) and by[2][0][1] > 0
+    assert len(got) == 5 and all(n == 0 for _, n in by[1] + by[None]) and by[2][0][1] == 12
 
 
 def test_url_lists_equal_brute_force(spark):
@@ -263,7 +297,7 @@ def test_url_lists_equal_brute_force(spark):
         live = []
         if when is not None and h:
             parts = h.split(".")
-            for k in range(max(0, len(parts) - 6), len(parts)):
+            for k in range(len(parts)):
                 for (d, cat), days in state.items():
                     before = [x for x in days if x <= when]
                     if d == ".".join(parts[k:]) and before and days[max(before)] == "add":
