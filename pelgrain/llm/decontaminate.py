@@ -6,46 +6,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelgrain.llm.common import utf8_bytes
+from pelgrain.llm.common import staged, utf8_bytes
 from pelgrain.llm.fm_index import FMIndex
 from pelgrain.llm.words import alnum_table, lower_table, runs, split_words, text_buffer
 
 WINDOW = 13
 #: Text bytes of a training shard, one index each; a longer text is a shard by itself.
-SHARD = 4 << 20
-#: Benchmark bytes searched in one pass over the corpus; a larger benchmark takes more passes.
-PHRASE_BLOCK = 32 << 20
+SHARD = 8 << 20
+#: Benchmark bytes searched in one pass over the corpus, and so the most windows there are of it; a larger
+#: benchmark takes more passes.
+PHRASE_BLOCK = 16 << 20
 INSIDE, FOLD = alnum_table(), lower_table()
 
 
 class Phrases:
-    """Windows of benchmark items as code sequences over the benchmark's own vocabulary."""
+    """Windows of benchmark items: the items as one sequence of codes over the benchmark's own vocabulary, and where windows start.
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW) -> None:
-        buf, offsets = text_buffer(pa.array([t for _, t in items], pa.string()))
+    No window is held by itself: what travels is 4 bytes for each word and 12 for each window.
+    """
+
+    def __init__(self, ids: list[int | None], texts: pa.Array, window: int = WINDOW) -> None:
+        buf, offsets = text_buffer(texts)
         w = split_words(buf, offsets, INSIDE, FOLD)
         self.vocab, one, code = np.unique(w.hash, return_index=True, return_inverse=True)
-        code = code + 1
-        self.start, self.bytes = w.start[one], FOLD[buf]
-        self.length = w.end[one] - w.start[one]
+        self.codes = (code + 1).astype(np.int32)
+        start, self.length = w.start[one], w.end[one] - w.start[one]
+        self.bytes = FOLD[buf[runs(start, self.length)]]
+        self.start = np.cumsum(self.length) - self.length
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.vocab & np.uint64((1 << 20) - 1)] = True
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for k, (item, _) in enumerate(items):
-            mine = code[w.first[k] : w.first[k + 1]].tolist()
-            for i in range(max(1, len(mine) - window + 1) if mine else 0):
-                owners.setdefault(tuple(mine[i : i + window]), set()).update([] if item is None else [item])
-        self.sizes = np.array([len(x) for x in owners], np.int64)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.codes = np.zeros((len(owners), window), np.int64)
-        for k, x in enumerate(owners):
-            self.codes[k, window - len(x) :] = x
+        n = np.diff(w.first)
+        count = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        self.first = runs(w.first[:-1], count).astype(np.int32)
+        self.sizes = np.repeat(np.minimum(n, window), count).astype(np.int32)
+        self.owner = np.repeat(np.arange(len(n)), count).astype(np.int32)
+        self.ids = ids
         self.shortest = int(self.sizes.min(initial=window))
 
+    def possible(self, present: np.ndarray) -> np.ndarray:
+        """Windows all of whose words are present; a flag for each code."""
+        missing = np.zeros(len(self.codes) + 1, np.int32)
+        np.cumsum(~present[self.codes], out=missing[1:])
+        return np.flatnonzero(missing[self.first + self.sizes] == missing[self.first])
+
     def encode(self, h: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Codes of words, 0 for those the benchmark has not, told by hash and then by their bytes."""
         code = np.zeros(len(h), np.int64)
@@ -90,11 +97,14 @@ def scan_shard(buf: np.ndarray, offsets: np.ndarray, p: Phrases) -> tuple[np.nda
     head, size = head[size >= p.shortest], size[size >= p.shortest]
     hits: dict[int, list[list[int]]] = {}
     items: dict[int, list[int]] = {}
-    if len(head) and len(p.codes):
+    if len(head) and len(p.first):
         word = runs(head, size + 1)
         t = np.where(np.isin(np.arange(len(word)), np.cumsum(size + 1) - 1), 0, code[np.minimum(word, len(code) - 1)])
-        phrase, place = FMIndex(t).find(p.codes)
-        first = word[place]
+        present = np.zeros(len(p.vocab) + 1, bool)
+        present[t] = True
+        windows = p.possible(present)
+        phrase, place = FMIndex(t).find(p.codes, p.first[windows], p.sizes[windows])
+        phrase, first = windows[phrase], word[place]
         mark = np.bincount(first, minlength=len(code) + 1) - np.bincount(first + p.sizes[phrase], minlength=len(code) + 1)
         hit = np.concatenate([[0], np.cumsum(mark)[:-1] > 0, [0]]).astype(np.int8)
         # runs end where texts do
@@ -105,9 +115,10 @@ def scan_shard(buf: np.ndarray, offsets: np.ndarray, p: Phrases) -> tuple[np.nda
                 e = min(b, int(w.first[d + 1]))
                 hits.setdefault(d, []).append([a - int(w.first[d]), e - int(w.first[d])])
                 a = e
-        pair = np.unique(np.stack([text[first], phrase]), axis=1)
-        for d, k in pair.T.tolist():
-            items.setdefault(d, []).extend(p.owners[k])
+        pair = np.unique(text[first] * np.int64(len(p.ids)) + p.owner[phrase])
+        for d, k in zip((pair // len(p.ids)).tolist(), (pair % len(p.ids)).tolist(), strict=True):
+            if p.ids[k] is not None:
+                items.setdefault(d, []).append(p.ids[k])
     return n_words, hits, items, w
 
 
@@ -166,13 +177,19 @@ def _pass(df: DataFrame, p: Phrases, column: str, shard: int) -> DataFrame:
     return df.mapInArrow(batches, schema)
 
 
+def _phrases(items: DataFrame, window: int) -> Phrases:
+    t = items.select("item_id", "text").toArrow()
+    return Phrases(t.column("item_id").to_pylist(), t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()), window)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, column: str = "contamination", window: int = WINDOW, shard: int = SHARD, block: int = PHRASE_BLOCK) -> DataFrame:
     """docs with a struct: n_words, hits (merged intervals of word numbers), items, spans (the hits in code points).
 
     A window is `window` consecutive words of an item, or the whole of a shorter one. Windows are
-    searched backwards through the wavelet ranks of each shard's index; their positions come from
-    sampled suffixes. Only the benchmark travels: its size is looked up first, and beyond `block`
-    bytes it is searched in several passes, whose intervals are merged.
+    searched backwards through the wavelet ranks of each shard's index, those with a word the shard
+    has not excepted; their positions come from sampled suffixes. Only the benchmark travels: its
+    size is looked up first, and beyond `block` bytes it is searched in several passes, whose
+    intervals are merged. All columns of docs pass through the workers; select few.
 
     Null or wordless texts: no words, no hits. Null or wordless items hold no window; an item
     without an id marks words but is not listed. Repeated items and rows count once and each.
@@ -184,25 +201,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, column: str = "con
     out = docs.drop(column)
     for k in range(parts):
         mine = b if parts == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        out = _pass(out, Phrases([(r.item_id, r.text) for r in mine.toLocalIterator()], window), column, shard)
+        out = _pass(out, _phrases(mine, window), column, shard)
     return out
 
 
+def _contaminated(c: Column) -> Column:
+    n_hit = F.aggregate(c["hits"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return (n_hit > 0) & (n_hit * 20 >= c["n_words"])
+
+
 def with_contract_columns(found: DataFrame, column: str = "contamination") -> DataFrame:
     c = F.col(column)
     n_hit = F.aggregate(c["hits"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     ids = F.array_join(F.array_sort(F.transform(c["items"], lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", c["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= c["n_words"])).alias("contaminated"), c["spans"].alias("spans"),
+        _contaminated(c).alias("contaminated"), c["spans"].alias("spans"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those of which a twentieth of the words or more stand in benchmark windows."""
-    c = F.col("_contamination")
-    n_hit = F.aggregate(c["hits"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return find_contamination(docs, benchmark, "_contamination").where(~((n_hit > 0) & (n_hit * 20 >= c["n_words"]))).select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_up_to: int = 500_000) -> DataFrame:
+    """docs without those of which a twentieth of the words or more stand in benchmark windows; docs' columns only.
+
+    Texts alone pass through the workers, with doc_id and a hash of the text to tell rows apart; the
+    rows to drop are broadcast if counted to be few, else joined by shuffle.
+    """
+    found = find_contamination(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), benchmark)
+    gone = found.where(_contaminated(F.col("contamination"))).select(F.col("doc_id").alias("_c_id"), F.col("th").alias("_c_th")).distinct()
+    gone = staged(gone, "op10-gone")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_up_to else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_c_id")) & (F.xxhash64(docs["text"]) == F.col("_c_th")), "left_anti").select(*docs.columns)
 
 
 ORACLE = """

@@ -114,18 +114,19 @@ class FMIndex:
             c = c * 2 + one
         return self.before[c] + i - self.base[c]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals of phrases, one in a row, aligned right and filled with 0 at the left."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        size = len(self.before) - 1
-        live = np.arange(len(phrases))
-        for k in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, k]
-            lo[live[c >= size]] = hi[live[c >= size]] = 0
-            live = live[(c < size) & (lo[live] < hi[live])]
-            step = live[phrases[live, k] > 0]
-            c = phrases[step, k]
+    def search(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row intervals of the phrases codes[start : start + size], searched backwards from their last symbols."""
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        sigma = len(self.before) - 1
+        live = np.arange(len(start))
+        for k in range(1, int(size.max(initial=0)) + 1):
+            step = live[size[live] >= k]
+            c = codes[start[step] + size[step] - k].astype(np.int64)
+            known = c < sigma
+            hi[step[~known]] = lo[step[~known]]
+            step, c = step[known], c[known]
             lo[step], hi[step] = self.before[c] + self.rank(c, lo[step]), self.before[c] + self.rank(c, hi[step])
+            live = live[lo[live] < hi[live]]
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -139,8 +140,8 @@ class FMIndex:
             steps += 1
         return out
 
-    def find(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, position) of every occurrence."""
-        lo, hi = self.search(phrases)
+        lo, hi = self.search(codes, start, size)
         n = np.maximum(hi - lo, 0)
-        return np.repeat(np.arange(len(phrases)), n), self.locate(runs(lo, n))
+        return np.repeat(np.arange(len(start)), n), self.locate(runs(lo, n))

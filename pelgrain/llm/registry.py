@@ -51,7 +51,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return decontaminate.with_contract_columns(found).withColumn("spans", spans)
 

@@ -59,12 +59,10 @@ def test_index_finds_every_occurrence(high):
     rng = np.random.default_rng(high)
     t = rng.integers(0, high, 3000)
     t[-1] = 0
-    phrases = np.zeros((40, 4), np.int64)
-    for k in range(40):
-        n = int(rng.integers(1, 5))
-        phrases[k, 4 - n :] = rng.integers(1, high + 1, n)
-    got = sorted(zip(*(x.tolist() for x in FMIndex(t, sample=7).find(phrases)), strict=True))
-    want = [(k, i) for k, p in enumerate(phrases) for i in range(len(t)) if (q := p[p > 0].tolist()) == t[i : i + len(q)].tolist()]
+    codes = rng.integers(1, high + 1, 60).astype(np.int32)
+    start, size = rng.integers(0, 56, 40), rng.integers(1, 5, 40)
+    got = sorted(zip(*(x.tolist() for x in FMIndex(t, sample=7).find(codes, start, size)), strict=True))
+    want = [(k, i) for k, (a, n) in enumerate(zip(start, size, strict=True)) for i in range(len(t)) if codes[a : a + n].tolist() == t[i : i + n].tolist()]
     assert got == sorted(want)
 
 
@@ -96,8 +94,27 @@ def test_empty_tables_and_filter(spark):
     assert D.decontaminate(docs, none).count() == 2
     assert D.decontaminate(docs.limit(0), none).count() == 0
     item = spark.createDataFrame([(1, "B! c")], "item_id long, text string")
-    kept = D.decontaminate(docs, item)
-    assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == docs.columns
+    more = docs.unionByName(spark.createDataFrame([(1, "q", "a column of that name stays"), (None, "b c", "s"), (None, "x", "t")], docs.schema))
+    kept = D.decontaminate(more, item)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, None, "s"), (1, "q", "a column of that name stays"), (None, "x", "t")], key=str)
+
+
+def test_windows_travel_as_arrays():
+    """A megabyte of benchmark text stays a few megabytes, and takes little to make."""
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = pa.array([" ".join(rng.choices([f"w{k}" for k in range(20_000)], k=60)) for _ in range(3000)])
+    tracemalloc.start()
+    p = D.Phrases(list(range(3000)), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = texts.nbytes
+    assert len(p.first) == 3000 * 48 and peak < 60 * size and len(pickle.dumps(p)) < 6 * size
 
 
 def test_very_long_text(spark):
