@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pelgrain.llm.words import lower_table, mix, runs, spaced_table, split_words
 
 WORDS = 5
 #: Buckets of the sketch that orders shingles from rare to common. Any order gives the same pairs.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 17
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 INSIDE, FOLD = spaced_table(), lower_table()
@@ -53,11 +53,13 @@ def _sets(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int | None]]:
     for _, h, at in _pieces(b):
         for i in range(len(at) - 1):
             s = np.unique(h[at[i] : at[i + 1]])
-            yield s, _signed(xxh64_intdigest(s.tobytes(), 42)) if len(s) else None
+            yield s, _name(s)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _name(s: np.ndarray) -> int | None:
+    """What a set of shingles goes by: a hash of it, None for the empty one."""
+    x = xxh64_intdigest(s.tobytes(), 42)
+    return None if not len(s) else x - (1 << 64) if x >> 63 else x
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
@@ -77,29 +79,35 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """docs (any columns, text) -> the other columns, sig, n, prefix.
+def prefixes(docs: DataFrame, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
+    """docs (any columns, text) -> the other columns, sig, n, prefix; and fp, where a fingerprint of the text is asked for.
 
     Sets with Jaccard 0.8 share four fifths of either, so at least one of the n - ceil(4n / 5) + 1
     rarest shingles of each: its prefix, rarest first.
     """
     often = sketch(docs)
     others = [c for c in docs.columns if c != "text"]
-    schema = StructType([*[docs.schema[c] for c in others], StructField("sig", LongType()), StructField("n", IntegerType()), StructField("prefix", ArrayType(LongType()))])
+    made = [("sig", LongType()), ("n", IntegerType()), ("prefix", ArrayType(LongType()))] + [("fp", LongType())] * bool(fingerprint)
+    schema = StructType([*[docs.schema[c] for c in others], *[StructField(*x) for x in made]])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sigs, sizes, found = [], [], []
-            for s, sig in _sets(b):
-                order = np.lexsort((s, often[(s % np.uint64(BUCKETS)).astype(np.int64)]))
-                n = len(s)
-                sigs.append(sig)
-                sizes.append(n)
-                found.append(s[order[: n - (4 * n + 4) // 5 + 1]])
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            made = [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made], [*others, "sig", "n", "prefix"])
+            for lo, h, at in _pieces(b):  # a piece at a time, so that little is held
+                sigs, sizes, found = [], [], []
+                for i in range(len(at) - 1):
+                    s = np.unique(h[at[i] : at[i + 1]])
+                    order = np.lexsort((s, often[(s % np.uint64(BUCKETS)).astype(np.int64)]))
+                    n = len(s)
+                    sigs.append(_name(s))
+                    sizes.append(n)
+                    found.append(s[order[: n - (4 * n + 4) // 5 + 1]])
+                part = b.slice(lo, len(sigs))
+                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                out = [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if fingerprint:
+                    out.append(pa.array(np.array([fingerprint(t.as_py()) for t in part.column("text")], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], *out], schema.names)
 
     return docs.mapInArrow(batches, schema)
 
@@ -117,8 +125,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for lo in range(0, b.num_rows, 1000):
-                found = [(sig, s.view(np.int64)) for s, sig in _sets(b.slice(lo, 1000)) if sig is not None]
+            for lo in range(0, b.num_rows, 200):
+                found = [(sig, s.view(np.int64)) for s, sig in _sets(b.slice(lo, 200)) if sig is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["sig", "s"])
 
     texts = key_filter(rows.join(names, "sig", "left_semi").select("th"), "th")

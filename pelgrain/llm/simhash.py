@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -127,7 +128,7 @@ def with_contract_columns(found: DataFrame) -> DataFrame:
 
 def _similar(docs: DataFrame, shingle: int) -> DataFrame:
     wide = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    rows = staged(shingles.prefixes(fingerprints(wide, shingle, keep=("text", "th"))), "near")
+    rows = staged(shingles.prefixes(wide, partial(fingerprint, shingle=shingle)), "near")
     same = staged(rows.where("sig is not null").groupBy("sig").agg(F.min("fp").alias("at")), "near-same")
     pairs = shingles.similar_sets(rows, docs)
     pairs = pairs.join(same.toDF("u", "a"), "u").join(same.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
