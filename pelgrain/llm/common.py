@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, on a local master alone (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="pelgrain-"))
+        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
     return f"file://{_own_root[0]}"
 
 
@@ -32,11 +37,21 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     Cuts the lineage (a lost executor costs no more than the tasks it ran) and computes df once,
-    which checkpoint() would do twice. The files live as long as the folder's own retention.
+    which checkpoint() would do twice. The files stay for what reads them later; tables that only
+    the next step needs are given back by `discard`.
     """
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    where = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    where.getFileSystem(conf).delete(where, True)
 
 
 def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelgrain.llm.common import staged
+from pelgrain.llm.common import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if row.n == 0 or (row.n, row.h) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = (row.n, row.h)
+        mark, before = (row.n, row.h), now
         now = staged(_small_star(_large_star(now)), tag)
+        discard(before)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pelgrain.llm.common import staged, word_count
+from pelgrain.llm.common import discard, staged, word_count
 
 #: Blocks of a source are the first three hex digits of the document's order key.
 BLOCK_DIGITS = 3
@@ -59,9 +59,12 @@ def split_quotas(balls: DataFrame, shards: int, seed: int) -> DataFrame:
     hash, so that no task sorts a whole node. Shards are as even as whole blocks allow; the
     sums by source are the quotas.
     """
-    now = balls.select("*", F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
+    now, spent = balls.select("*", F.lit(0).alias("lo"), F.lit(shards).alias("hi")), None
     for level in range((shards - 1).bit_length()):
         now = staged(now, "op5-tree")
+        if spent is not None:
+            discard(spent)
+        spent = now
         h = now.withColumn("h", _hash(F.lit("split"), F.lit(seed), F.lit(level), "sk", "block", "pass")).withColumn("bin", F.substring("h", 1, 3))
         bins = h.groupBy("lo", "bin").count()
         before = F.sum("count").over(W.partitionBy("lo").orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
