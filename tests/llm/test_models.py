@@ -196,6 +196,140 @@ def test_secrets_of_whole_documents(spark):
     assert secret_scan.find_secrets(d.limit(0)).count() == 0
 
 
+ALPHABETS = ["0-9a-f", "0-9A-F", "A-Z2-7", "0-9a-z", "0-9A-Z", "A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-"]
+
+
+def alphabet(k):
+    """Symbols in the order of their values."""
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return [digits + lower[:6], digits + upper[:6], upper + "234567", digits + lower, digits + upper, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_"][k]
+
+
+def plain_tokens(text):
+    out = []
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        for piece in re.finditer("[^=]+", run[0]):
+            a, b = run.start() + piece.start(), run.start() + piece.end()
+            if not text[b : run.end()].strip("="):
+                b = run.end()
+            if len(piece[0]) >= 20:
+                both = re.search("[+/]", piece[0]) and re.search("[_-]", piece[0])
+                parts = ["[A-Za-z0-9+/]{20,}=*", "[A-Za-z0-9_-]{20,}=*"] if both else [".*"]
+                out += sorted({(a + m.start(), a + m.end()) for p in parts for m in re.finditer(p, text[a:b]) if m[0]})
+    return out
+
+
+def plain_battery(token):
+    token = token.rstrip("=")
+    enc = next((k for k, a in enumerate(ALPHABETS) if re.fullmatch(f"[{a}]*", token)), None)
+    if enc is None or len(token) < 20 or token.isdigit():
+        return None
+    symbols, n = alphabet(enc), len(token)
+    v, size = [symbols.index(c) for c in token], len(symbols)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((v.count(k) - n / size) ** 2 for k in range(size)) * size / n
+    ps = [upper((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))]
+    high = [x >= size / 2 for x in v]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    if a and b:
+        mean = 1 + 2 * a * b / n
+        var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        ps.append(2 * upper(abs(runs - mean) / math.sqrt(var)) if var > 1e-12 else 1.0)
+    else:
+        ps.append(0.0)
+    m = sum(v) / n
+    spread = sum((x - m) ** 2 for x in v)
+    ps.append(2 * upper(abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0)
+    return enc, n, chi, min(1.0, 3 * min(ps))
+
+
+def plain_random(texts):
+    """Spans of kind random in each text: the battery, the null model of ordinary text, and the control by band of length."""
+    counts = [1.0] * 256
+    for t in texts:
+        for c in (t or "").encode():
+            counts[c] += 1
+    shares = []
+    for k in range(8):
+        c = [counts[ord(x)] for x in alphabet(k)]
+        shares.append([x / sum(c) for x in c])
+    tokens = []
+    for i, t in enumerate(texts):
+        base = plain_base(t or "")
+        for a, b in plain_tokens(t or ""):
+            if not any(x < b and a < y for x, _, y in base) and (f := plain_battery(t[a:b])):
+                enc, n, chi, p = f
+                q, size = shares[enc], len(shares[enc])
+                far = sum((x - 1 / size) ** 2 for x in q)
+                z = (size * (sum(x * (1 - x) for x in q) + n * far) - chi) / math.sqrt(2 * (size - 1 + 2 * size * n * far))
+                level = min(math.floor(z * z / 2 / math.log(10) * 20), 6000) if z > 0 else 0
+                tokens.append((i, a, b, sum(n >= x for x in (20, 28, 40, 64, 128)), level, p))
+    out = [[] for _ in texts]
+    for band in range(1, 6):
+        mine = sorted((t for t in tokens if t[3] == band), key=lambda t: -t[4])
+        last = max((k for k in range(len(mine)) if 10 ** (-mine[k][4] / 20) <= 0.01 * (k + 1) / len(mine)), default=-1)
+        for i, a, b, _, level, p in mine:
+            if last >= 0 and level >= mine[last][4] and p > 0.01:
+                out[i].append((a, b))
+    return [sorted(x) for x in out], len(tokens)
+
+
+def wordy(rng, n):
+    """Long tokens of ordinary text: identifiers, paths, joined words, numbers in names."""
+    words = "the response manager of content river mountain data config reader page index value number people garden stone token_ count item list".split()
+    make = [
+        lambda: "".join(w.capitalize() for w in rng.choices(words, k=rng.randint(4, 9))),
+        lambda: "/".join(rng.choices(words, k=rng.randint(4, 12))),
+        lambda: "-".join(rng.choices(words, k=rng.randint(4, 12))),
+        lambda: "_".join(rng.choices(words, k=rng.randint(4, 9))) + str(rng.randint(0, 99)),
+        lambda: "".join(rng.choices(words, k=rng.randint(5, 20))),
+        lambda: "".join(rng.choices(words, k=5)) + "=" + "".join(rng.choices(words, k=5)),
+    ]
+    return [rng.choice(make)() for _ in range(n)]
+
+
+def test_battery_equals_brute_force():
+    rng = random.Random(14)
+    tokens = wordy(rng, 300) + ["".join(rng.choices(alphabet(k), k=rng.randint(18, 200))) + "=" * rng.randint(0, 2) for k in range(8) for _ in range(40)] + ["a" * 40, "ab" * 30, "9" * 25, "Z" * 19 + "1", "ABCDEFGH" * 5]
+    for t in tokens:
+        want, got = plain_battery(t), secret_scan.battery(t)
+        assert (want is None) == (got is None), t
+        if want:
+            assert got[:2] == want[:2] and got[2] == pytest.approx(want[2], rel=1e-9) and got[3] == pytest.approx(want[3], rel=1e-6, abs=1e-12), t
+    old = secret_scan.CHUNK
+    try:
+        secret_scan.CHUNK = 7
+        for t in tokens[:50] + tokens[300:350]:
+            assert secret_scan.battery(t) == pytest.approx(plain_battery(t), rel=1e-6) if plain_battery(t) else secret_scan.battery(t) is None
+    finally:
+        secret_scan.CHUNK = old
+    assert secret_scan.battery("".join(rng.choices(alphabet(6), k=3_000_000)))[1] == 3_000_000
+
+
+def test_random_spans_equal_brute_force(spark):
+    rng = random.Random(15)
+    texts = [" ".join(wordy(rng, rng.randint(0, 12))) for _ in range(150)]
+    for k in range(0, 150, 6):
+        secret = "".join(rng.choices(alphabet(rng.choice((2, 4, 5, 6, 7))), k=rng.choice((24, 32, 44, 90, 150))))
+        texts[k] += rng.choice((" ", "?sig=", " x: ", "=")) + secret + rng.choice(("", "=", "==", ". token=abcdef12"))
+    texts += [None, "", "é " + texts[0]]
+    want, n = plain_random(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.name == "random"] for r in secret_scan.find_secrets(df.repartition(3)).collect()}
+    assert got == dict(enumerate(want)) and n > 500 and sum(map(len, want)) >= 10
+
+
+def test_false_discoveries_in_ordinary_text(spark):
+    """Tokens of words alone, and the same with their words shuffled: at most the stated rate passes for random."""
+    rng = random.Random(16)
+    tokens = wordy(rng, 6000)
+    rng.shuffle(tokens)
+    df = spark.createDataFrame([(k, " ".join(tokens[k * 10 : k * 10 + 10])) for k in range(600)], "doc_id long, text string")
+    n = sum(s.name == "random" for r in secret_scan.find_secrets(df).collect() for s in r.spans)
+    assert n <= secret_scan.FDR * len(tokens), n
+
+
 def test_runs_are_parted_into_tokens():
     rng = random.Random(12)
     plus, url = "".join(rng.choices("ABCDEFabcdef0123456789+/", k=38)) + "+/", "".join(rng.choices("GHIJKLghijkl0123456789-_", k=38)) + "-_"
