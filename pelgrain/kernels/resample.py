@@ -67,22 +67,22 @@ def bilateral(rgba: np.ndarray, colour: float = 20.0) -> np.ndarray:
     h, w = rgba.shape[:2]
     sigma = max(1.0, min(w, h) / 200)
     reach = math.ceil(2 * sigma)
-    out = rgba.astype(np.float64)
+    near = np.exp(-np.arange(3 * 255 * 255 + 1) / (2 * colour * colour))  # squared gaps are whole numbers
+    planes = [np.ascontiguousarray(rgba[..., c]).astype(np.int32) for c in range(3)]
     for axis in (1, 0):
-        px, total, norm = out[..., :3], np.zeros((h, w, 3)), np.zeros((h, w, 1))
-        for d in range(-reach, reach + 1):
-            moved = np.roll(px, -d, axis=axis)
-            ok = np.zeros((h, w, 1), bool)
-            n = px.shape[axis]
-            idx = np.arange(n) + d
-            good = (idx >= 0) & (idx < n)
-            ok[...] = good[None, :, None] if axis == 1 else good[:, None, None]
-            gap = ((moved - px) ** 2).sum(axis=2, keepdims=True)
-            weight = np.where(ok, math.exp(-d * d / (2 * sigma * sigma)) * np.exp(-gap / (2 * colour * colour)), 0)
-            total += moved * weight
-            norm += weight
-        out[..., :3] = np.clip(np.floor(total / norm + 0.5), 0, 255)
-    return out.astype(np.uint8)
+        n = (h, w)[axis]
+        total, norm = [p.astype(np.float64) for p in planes], np.ones((h, w))
+        for d in range(1, min(reach, n - 1) + 1):
+            a, b = (slice(None), slice(None, n - d)) if axis else (slice(None, n - d),), (slice(None), slice(d, None)) if axis else (slice(d, None),)
+            gap = sum((p[a] - p[b]) ** 2 for p in planes)
+            weight = near[gap] * math.exp(-d * d / (2 * sigma * sigma))
+            for p, t in zip(planes, total, strict=True):
+                t[a] += p[b] * weight
+                t[b] += p[a] * weight
+            norm[a] += weight
+            norm[b] += weight
+        planes = [np.clip(np.floor(t / norm + 0.5), 0, 255).astype(np.int32) for t in total]
+    return np.stack([*planes, rgba[..., 3]], axis=2).astype(np.uint8)
 
 
 def deblock(rgba: np.ndarray) -> np.ndarray:

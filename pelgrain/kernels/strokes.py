@@ -31,19 +31,29 @@ def distances(ink: np.ndarray) -> np.ndarray:
     if ink.all():
         y, x = np.mgrid[:h, :w]
         return np.minimum(np.minimum(y + 1, h - y), np.minimum(x + 1, w - x)).astype(np.float64)
-    out = np.full((h, w), np.inf)
-    out[~ink] = 0
-    queue: deque[tuple[int, int, int, int]] = deque((int(y), int(x), int(y), int(x)) for y, x in zip(*np.nonzero(~ink), strict=True))
+    # a rim of -1 that nothing comes under; paper away from ink has nothing to bring along
+    wide = w + 2
+    flat = np.full((h + 2, wide), -1.0)
+    flat[1:-1, 1:-1] = np.where(ink, np.inf, 0)
+    out = flat.ravel().tolist()
+    rim = np.pad(ink, 1)
+    beside = np.zeros((h, w), bool)
+    for dy, dx in EIGHT:
+        beside |= rim[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    queue = deque((int(y), int(x), int(y), int(x)) for y, x in zip(*np.nonzero(~ink & beside), strict=True))
+    steps = [(dy, dx, dy * wide + dx) for dy, dx in EIGHT]
+    hypot = math.hypot
     while queue:
         y, x, sy, sx = queue.popleft()
-        for dy, dx in EIGHT:
-            v, u = y + dy, x + dx
-            if 0 <= v < h and 0 <= u < w:
-                d = math.hypot(v - sy, u - sx)
-                if d < out[v, u] - 1e-9:
-                    out[v, u] = d
-                    queue.append((v, u, sy, sx))
-    return out
+        here, ry, rx = (y + 1) * wide + x + 1, y - sy, x - sx
+        for dy, dx, step in steps:
+            old = out[here + step]
+            if old > 0:
+                d = hypot(ry + dy, rx + dx)
+                if d < old - 1e-9:
+                    out[here + step] = d
+                    queue.append((y + dy, x + dx, sy, sx))
+    return np.array(out).reshape(h + 2, wide)[1:-1, 1:-1]
 
 
 def thin(ink: np.ndarray) -> np.ndarray:
