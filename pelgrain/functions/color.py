@@ -89,6 +89,14 @@ def luma709(r: Column, g: Column, b: Column) -> Column:
     return r * F.lit(0.2126) + g * F.lit(0.7152) + b * F.lit(0.0722)
 
 
+def catmull_rom(x: Column) -> Column:
+    """Weight of a sample at distance x."""
+    d = F.abs(x)
+    near = d * d * d * 1.5 - d * d * 2.5 + 1
+    far = d * d * d * -0.5 + d * d * 2.5 - d * 4 + 2
+    return F.when(d < 1, near).when(d < 2, far).otherwise(0.0)
+
+
 def saturation(r: Column, g: Column, b: Column) -> Column:
     return F.greatest(r, g, b) - F.least(r, g, b)
 

@@ -42,6 +42,27 @@ def box_sums(pixels: DataFrame, half: int, **values: Column) -> DataFrame:
     return p.drop("_rn", *[f"_{k}{n}" for n in names for k in "vr"])
 
 
+def box_sums_of(pixels: DataFrame, value: str, half: str) -> DataFrame:
+    """pixels (image_id, x, y, value, half) with `total` and `area` of the clipped box; each image has a half of its own.
+
+    One plan for all sizes: running sums along a row (then a column) are held as an array of at most
+    one side of the image, and a box is the value at its far end less that before its near end.
+    """
+
+    def along(p: DataFrame, a: str, b: str, sums: dict[str, str]) -> DataFrame:
+        w = W.partitionBy("image_id", b).orderBy(a)
+        run = p.withColumns({f"_s{n}": F.sum(c).over(w) for n, c in sums.items()})
+        line = run.groupBy("image_id", b, half).agg(F.array_sort(F.collect_list(F.struct(a, value, *[f"_s{n}" for n in sums]))).alias("_p"))
+        at = lambda n, i: F.coalesce(F.get(F.col(f"_p._s{n}"), i), F.lit(0))
+        last, k = F.size("_p") - 1, F.col("_k")
+        box = lambda n: at(n, F.least(k + F.col(half), last)) - at(n, k - F.col(half) - 1)
+        rows = line.select("image_id", b, half, "_p", F.posexplode("_p").alias("_k", "_c"))
+        return rows.select("image_id", F.col(f"_c.{a}").alias(a), b, half, F.col(f"_c.{value}").alias(value), *[box(n).alias(n) for n in sums])
+
+    p = along(by_image(pixels).withColumn("_one", F.lit(1).cast("long")), "x", "y", {"total": value, "area": "_one"})
+    return along(p, "y", "x", {"total": "total", "area": "area"})
+
+
 def adaptive_ink(pixels: DataFrame, value: str, half: int, offset: int = 10) -> DataFrame:
     """pixels with `ink`: darker than the local mean less an offset. value is an integer, so v n < sum - offset n is exact."""
     p = box_sums(by_image(pixels), half, total=F.col(value).cast("long"))
@@ -133,14 +154,11 @@ def classify(pixels: DataFrame) -> DataFrame:
     """image_id, mode: pixel-art, line-art, icon or photo, in that order."""
     from pelgrain.operators.colours import alpha_profile, colours_above_floor
 
-    luma = pixels.withColumn("_l", F.floor(C.luma601(*rgb()) * 1000 + 0.5).cast("long"))
+    luma = pixels.select("image_id", "x", "y", F.floor(C.luma601(*rgb()) * 1000 + 0.5).cast("long").alias("_l"))
     size = pixels.groupBy("image_id").agg(F.least(F.max("x") + 1, F.max("y") + 1).alias("side"))
-    half = F.floor(F.greatest(F.lit(3), F.floor(F.col("side") / 8)) / 2)
-    halves = [r.h for r in size.select(half.cast("int").alias("h")).distinct().collect()]
-    parts = [ink_ratio(adaptive_ink(luma.join(size.where(half == h), "image_id"), "_l", h, 10_000)) for h in halves]
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.unionByName(p)
+    half = F.floor(F.greatest(F.lit(3), F.floor(F.col("side") / 8)) / 2).cast("int")
+    boxed = box_sums_of(luma.join(size.select("image_id", half.alias("_h")), "image_id"), "_l", "_h")
+    lines = ink_ratio(boxed.withColumn("ink", F.col("_l") * F.col("area") < F.col("total") - F.col("area") * 10_000))
     flags = is_pixel_art(pixels, has_anti_aliasing(pixels)).join(lines.select("image_id", "line_art"), "image_id")
     flags = flags.join(alpha_profile(pixels).select("image_id", "flat_alpha"), "image_id").join(colours_above_floor(pixels).withColumnRenamed("n_colours", "n"), "image_id")
     mode = F.when(F.col("pixel_art"), "pixel-art").when(F.col("line_art"), "line-art").when(F.col("flat_alpha") | (F.col("n") <= 32), "icon").otherwise("photo")

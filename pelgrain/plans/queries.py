@@ -128,7 +128,7 @@ def q11_background_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.detect_background(D.posterised(D.posterised(D.emb(spark, sf_dir)), 128))
 
 
-_EDGE = "x < 2 OR y < 2 OR x > 21 OR y > 27"
+_EDGE = "x < 2 OR y < 2 OR x > 21 OR y > 28"
 
 
 @query(f"WITH {D.HEAT_SQL}, k AS (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM heat WHERE {_EDGE}) SELECT image_id, CAST(min(v) AS DOUBLE) AS background FROM k WHERE k = (n-1)//2 GROUP BY 1")
@@ -313,7 +313,7 @@ def _deblock_sql(source: str, along: str, across: str, most: int) -> str:
     return f"SELECT image_id, idx, x, y, CASE WHEN ({along} % 8 = 0 OR ({along}+1) % 8 = 0) AND {along} > 0 AND {along} < {most} THEN CAST(floor((lag(v) OVER {w} + 2*v + lead(v) OVER {w} + 2)/4) AS INT) ELSE v END AS v FROM {source}"
 
 
-@query(f"WITH {D.HEAT_SQL}, d1 AS ({_deblock_sql('heat', 'x', 'y', 23)}) SELECT image_id, idx, v FROM ({_deblock_sql('d1', 'y', 'x', 29)}) z")
+@query(f"WITH {D.HEAT_SQL}, d1 AS ({_deblock_sql('heat', 'x', 'y', 23)}) SELECT image_id, idx, v FROM ({_deblock_sql('d1', 'y', 'x', 30)}) z")
 def q30_deblock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.deblock(D.heat(spark, sf_dir), ["v"]).select("image_id", "idx", "v")
 
@@ -451,8 +451,9 @@ _CROSS, _FLAT = "['top-right','left-bottom']", "['top-left','right-bottom']"
 
 @query(f"""WITH {D.EMB_SQL}, i AS (SELECT DISTINCT image_id FROM emb), g AS (SELECT image_id, CAST(a.range AS INT) - 1 AS x, CAST(b.range AS INT) - 1 AS y FROM i, range(10) a, range(10) b),
 p AS (SELECT g.*, coalesce(v, 0) AS v FROM g LEFT JOIN emb ON emb.image_id = g.image_id AND emb.x = g.x AND emb.y = g.y),
-c AS (SELECT a.image_id, a.x, a.y, a.v + b.v + c.v + d.v AS t, CAST(a.v > 127 AS INT) + 2*CAST(b.v > 127 AS INT) + 4*CAST(c.v > 127 AS INT) + 8*CAST(d.v > 127 AS INT) AS s FROM p a
- JOIN p b ON b.image_id = a.image_id AND b.x = a.x + 1 AND b.y = a.y JOIN p c ON c.image_id = a.image_id AND c.x = a.x + 1 AND c.y = a.y + 1 JOIN p d ON d.image_id = a.image_id AND d.x = a.x AND d.y = a.y + 1),
+r AS (SELECT image_id, x, y, v, lead(v) OVER (PARTITION BY image_id, y ORDER BY x) AS b, lead(v) OVER (PARTITION BY image_id, x ORDER BY y) AS d FROM p),
+q AS (SELECT *, lead(b) OVER (PARTITION BY image_id, x ORDER BY y) AS c FROM r),
+c AS (SELECT image_id, x, y, v + b + c + d AS t, CAST(v > 127 AS INT) + 2*CAST(b > 127 AS INT) + 4*CAST(c > 127 AS INT) + 8*CAST(d > 127 AS INT) AS s FROM q WHERE b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL),
 u AS (SELECT image_id, x, y, unnest(CASE {" ".join(f"WHEN s IN {k} THEN ['{v}']" for k, v in _MS_CASES.items())} WHEN s = 5 THEN CASE WHEN t <= 510 THEN {_CROSS} ELSE {_FLAT} END WHEN s = 10 THEN CASE WHEN t <= 510 THEN {_FLAT} ELSE {_CROSS} END ELSE [] END) AS e FROM c)
 SELECT image_id, x, y, split_part(e, '-', 1) AS a, split_part(e, '-', 2) AS b FROM u""")
 def q43_marching_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,7 +593,7 @@ def q60_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {D.BOXES_SQL}, p AS (SELECT a.image_id, a.box_id, b.box_id AS o_box_id, CAST(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))*greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS BIGINT) AS inter, a.area + b.area AS total
 FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id) SELECT image_id, box_id, o_box_id, inter, total - inter AS uni FROM p WHERE inter > 0""")
 def q61_box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.box_nms(D.boxes(spark, sf_dir))
+    return S.box_overlaps(D.boxes(spark, sf_dir))
 
 
 @query(f"WITH {D.EMB_SQL} SELECT image_id, idx, v < 128 AND NOT (image_id % 2 = 0 AND y BETWEEN image_id % 5 AND image_id % 5 + 1) AS ink FROM emb")

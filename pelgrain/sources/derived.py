@@ -36,19 +36,19 @@ def posterised(pixels: DataFrame, step: int = 64) -> DataFrame:
 
 
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type: 24 hours across, 30 days down, grey 40 for each event; cells without events are 0."""
+    """Events by type: 24 hours across, the days of a month down, grey 40 for each event; cells without events are 0."""
     e = table(spark, sf_dir, "events").select("event_type", F.hour("ts").alias("x"), (F.dayofmonth("ts") - 1).alias("y"))
-    n = e.where("y < 30").groupBy("event_type", "x", "y").agg(F.count("*").alias("n"))
-    grid = e.select("event_type").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    n = e.groupBy("event_type", "x", "y").agg(F.count("*").alias("n"))
+    grid = e.select("event_type").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(30))))
     v = clamp(F.coalesce("n", F.lit(0)) * 40).cast("int").alias("v")
     return grid.join(n, ["event_type", "x", "y"], "left").select(F.col("event_type").alias("image_id"), (F.col("y") * 24 + F.col("x")).alias("idx"), "x", "y", v)
 
 
 def dens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items by flag and status: quantity across (50), discount down (11), grey 3 for each item."""
+    """Line items by flag and status: quantity across (50), discount down (11), grey 3 for each item; larger values count at the rim."""
     li = table(spark, sf_dir, "lineitem")
-    li = li.select(F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("image_id"), (F.col("l_quantity").cast("int") - 1).alias("x"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("y"))
-    n = li.where("x between 0 and 49 and y between 0 and 10").groupBy("image_id", "x", "y").agg(F.count("*").alias("n"))
+    li = li.select(F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("image_id"), clamp(F.col("l_quantity").cast("int") - 1, 0, 49).alias("x"), clamp(F.floor(F.col("l_discount") * 100 + 0.5).cast("int"), 0, 10).alias("y"))
+    n = li.groupBy("image_id", "x", "y").agg(F.count("*").alias("n"))
     grid = li.select("image_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(10))))
     v = clamp(F.coalesce("n", F.lit(0)) * 3).cast("int").alias("v")
     return grid.join(n, ["image_id", "x", "y"], "left").select("image_id", (F.col("y") * 50 + F.col("x")).alias("idx"), "x", "y", v)
@@ -81,6 +81,21 @@ def circles(spark: SparkSession, n: int = 40, points: int = 24) -> DataFrame:
     return s.select("shape_id", "k", (F.lit(20.0) + F.col("shape_id") + (rx + wobble) * F.cos(t)).alias("x"), (F.lit(30.0) + (ry + wobble) * F.sin(t)).alias("y"))
 
 
+def outlines(spark: SparkSession, sf_dir: str, points: int = 24) -> DataFrame:
+    """Closed outlines of the boxes: (shape_id, k, x, y). By turns the box itself, an ellipse in it, a circle; every fifth is dented."""
+    b = boxes(spark, sf_dir).select("box_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    side, f, t = F.floor(F.col("k") * 4 / points), F.col("k") % (points // 4) / (points / 4), F.col("k") * F.lit(6.283185307179586 / points)
+    rx, ry = F.when(F.col("box_id") % 3 == 1, w / 2).otherwise(F.least(w, h) / 2), F.when(F.col("box_id") % 3 == 1, h / 2).otherwise(F.least(w, h) / 2)
+    box_x = F.when(side == 0, F.col("x1") + f * w).when(side == 1, F.col("x2")).when(side == 2, F.col("x2") - f * w).otherwise(F.col("x1"))
+    box_y = F.when(side == 0, F.col("y1")).when(side == 1, F.col("y1") + f * h).when(side == 2, F.col("y2")).otherwise(F.col("y2") - f * h)
+    own = F.col("box_id") % 3 == 0
+    dent = F.when((F.col("box_id") % 5 == 4) & (F.col("k") < 4), 2.7182).otherwise(0.0)
+    x = F.when(own, box_x).otherwise(F.col("x1") + w / 2 + rx * F.cos(t)) + dent
+    y = F.when(own, box_y).otherwise(F.col("y1") + h / 2 + ry * F.sin(t))
+    return b.select(F.col("box_id").alias("shape_id"), "k", x.alias("x"), y.alias("y"))
+
+
 # The same rasters in DuckDB's SQL.
 EMB_SQL = """emb AS (
   SELECT image_id, i AS idx, i % 8 AS x, i // 8 AS y, vs[i + 1] AS v, vs[i + 1] AS r, vs[(i + 21) % 64 + 1] AS g, vs[(i + 42) % 64 + 1] AS b, vs[(i + 11) % 64 + 1] AS a
@@ -88,12 +103,12 @@ EMB_SQL = """emb AS (
        (SELECT CAST(range AS INT) AS i FROM range(64)) s)"""
 POST_SQL = EMB_SQL + ", post AS (SELECT * REPLACE (r // 64 * 64 AS r, g // 64 * 64 AS g, b // 64 * 64 AS b) FROM emb)"
 HEAT_SQL = """he AS (SELECT event_type, CAST(hour(ts) AS INT) AS x, CAST(day(ts) - 1 AS INT) AS y FROM events),
-hn AS (SELECT event_type, x, y, count(*) AS n FROM he WHERE y < 30 GROUP BY ALL),
+hn AS (SELECT event_type, x, y, count(*) AS n FROM he GROUP BY ALL),
 heat AS (SELECT g.event_type AS image_id, g.y * 24 + g.x AS idx, g.x, g.y, CAST(greatest(0, least(255, coalesce(n, 0) * 40)) AS INT) AS v
-  FROM (SELECT event_type, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y FROM (SELECT DISTINCT event_type FROM he) t, range(24) a, range(30) b) g
+  FROM (SELECT event_type, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y FROM (SELECT DISTINCT event_type FROM he) t, range(24) a, range(31) b) g
   LEFT JOIN hn ON hn.event_type = g.event_type AND hn.x = g.x AND hn.y = g.y)"""
-DENS_SQL = """dl AS (SELECT l_returnflag || '-' || l_linestatus AS image_id, CAST(l_quantity AS INT) - 1 AS x, CAST(floor(l_discount * 100 + 0.5e0) AS INT) AS y FROM lineitem),
-dn AS (SELECT image_id, x, y, count(*) AS n FROM dl WHERE x BETWEEN 0 AND 49 AND y BETWEEN 0 AND 10 GROUP BY ALL),
+DENS_SQL = """dl AS (SELECT l_returnflag || '-' || l_linestatus AS image_id, greatest(0, least(49, CAST(l_quantity AS INT) - 1)) AS x, greatest(0, least(10, CAST(floor(l_discount * 100 + 0.5e0) AS INT))) AS y FROM lineitem),
+dn AS (SELECT image_id, x, y, count(*) AS n FROM dl GROUP BY ALL),
 dens AS (SELECT g.image_id, g.y * 50 + g.x AS idx, g.x, g.y, CAST(greatest(0, least(255, coalesce(n, 0) * 3)) AS INT) AS v
   FROM (SELECT image_id, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y FROM (SELECT DISTINCT image_id FROM dl) t, range(50) a, range(11) b) g
   LEFT JOIN dn ON dn.image_id = g.image_id AND dn.x = g.x AND dn.y = g.y)"""
@@ -106,6 +121,12 @@ CIRCLES_SQL = """proc AS (SELECT shape_id, k, 20e0 + shape_id + (rx + w) * cos(k
   FROM range(40) s, range(24) t) q)"""
 
 
+OUTLINES_SQL = BOXES_SQL + """, proc AS (SELECT box_id AS shape_id, k,
+  CASE WHEN box_id % 3 = 0 THEN CASE k // 6 WHEN 0 THEN x1 + (k % 6)/6e0*w WHEN 1 THEN x2::DOUBLE WHEN 2 THEN x2 - (k % 6)/6e0*w ELSE x1::DOUBLE END ELSE x1 + w/2 + rx*cos(k*(6.283185307179586e0/24)) END + CASE WHEN box_id % 5 = 4 AND k < 4 THEN 2.7182e0 ELSE 0e0 END AS x,
+  CASE WHEN box_id % 3 = 0 THEN CASE k // 6 WHEN 0 THEN y1::DOUBLE WHEN 1 THEN y1 + (k % 6)/6e0*h WHEN 2 THEN y2::DOUBLE ELSE y2 - (k % 6)/6e0*h END ELSE y1 + h/2 + ry*sin(k*(6.283185307179586e0/24)) END AS y
+  FROM (SELECT *, CASE WHEN box_id % 3 = 1 THEN w/2 ELSE least(w, h)/2 END AS rx, CASE WHEN box_id % 3 = 1 THEN h/2 ELSE least(w, h)/2 END AS ry FROM (SELECT *, (x2 - x1)::DOUBLE AS w, (y2 - y1)::DOUBLE AS h FROM boxes) z) z, (SELECT CAST(range AS INT) AS k FROM range(24)) q)"""
+
+
 def packed(pixels: DataFrame, width: int, height: int, channels: tuple[str, str, str] = ("r", "g", "b"), alpha: str | None = None) -> DataFrame:
     """Pixel rows -> packed images: image_id, width, height, rgba. One group for each image."""
     px = [F.col(c).cast("int") for c in channels] + [F.col(alpha).cast("int") if alpha else F.lit(255)]
