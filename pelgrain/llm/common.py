@@ -54,13 +54,13 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int, parts: int = 1000) -> DataFrame:
     """rows joined to facts, one fact for each key; facts' column n counts the rows of its key, `total` all of them.
 
-    Fewer than 1000 keys can have over a thousandth of the rows each: those are broadcast, so that no
+    Fewer than `parts` keys can have over that part of the rows each: those are broadcast, so that no
     hot key lands in one task. All others are joined by shuffle. Rows without a fact go.
     """
-    hot = F.col(n) * 1000 > F.lit(total)
+    hot = F.col(n) * parts > F.lit(total)
     rest = [c for c in facts.columns if c not in on]
     small = F.broadcast(facts.where(hot).select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.struct(*rest).alias("_hot")))
     same = F.lit(True)

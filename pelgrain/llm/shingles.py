@@ -1,4 +1,4 @@
-"""Pairs of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more: an exact prefix-filter join."""
+"""Links between documents whose sets of word shingles have a Jaccard similarity of 0.8 or more: bands of minima, then the sets themselves."""
 
 from __future__ import annotations
 
@@ -6,19 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from pelgrain.llm.common import key_filter, may_have, staged
+from pelgrain.llm.common import discard, join_counted, key_filter, may_have, staged
 from pelgrain.llm.graph import components
 from pelgrain.llm.words import lower_table, mix, runs, spaced_table, split_words, text_buffer
 
 WORDS = 5
-#: Buckets of the sketch that orders shingles from rare to common. Any order gives the same pairs.
-BUCKETS = 1 << 17
+#: Sets with Jaccard 0.8 share a band of five minima with probability 0.8**5, and none of forty with 1.2e-7.
+BANDS, ROWS = 40, 5
+#: Multipliers of the minima: odd numbers from a fixed generator.
+ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 INSIDE, FOLD = spaced_table(), lower_table()
@@ -62,49 +63,34 @@ def _name(s: np.ndarray) -> int | None:
     return None if not len(s) else x - (1 << 64) if x >> 63 else x
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """How often shingles occur, by bucket of their hash."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS, np.int64)
-        for b in it:
-            for _, h, _ in _pieces(b):
-                sums += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of all bands, a row for each text that has shingles: the minima of fixed permutations of its hashes, five to a key."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    starts = at[:-1][np.diff(at) > 0]
+    out = np.empty((len(starts), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS if len(starts) else 0):
+            key = np.full(len(starts), band + 1, np.uint64)
+            for odd in ODD[band * ROWS : (band + 1) * ROWS]:
+                key = mix(key * np.uint64(3) + np.minimum.reduceat(x * odd, starts))
+            out[:, band] = key
     return out
 
 
-def prefixes(docs: DataFrame, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
-    """docs (any columns, text) -> the other columns, sig, n, prefix; and fp, where a fingerprint of the text is asked for.
-
-    Sets with Jaccard 0.8 share four fifths of either, so at least one of the n - ceil(4n / 5) + 1
-    rarest shingles of each: its prefix, rarest first.
-    """
-    often = sketch(docs)
+def signatures(docs: DataFrame, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
+    """docs (any columns, text) -> the other columns, sig (name of the set), n (its size), keys (of its bands); and fp, where a fingerprint of the text is asked for."""
     others = [c for c in docs.columns if c != "text"]
-    made = [("sig", LongType()), ("n", IntegerType()), ("prefix", ArrayType(LongType()))] + [("fp", LongType())] * bool(fingerprint)
+    made = [("sig", LongType()), ("n", IntegerType()), ("keys", ArrayType(LongType()))] + [("fp", LongType())] * bool(fingerprint)
     schema = StructType([*[docs.schema[c] for c in others], *[StructField(*x) for x in made]])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for lo, h, at in _pieces(b):  # a piece at a time, so that little is held
-                sigs, sizes, found = [], [], []
-                for i in range(len(at) - 1):
-                    s = np.unique(h[at[i] : at[i + 1]])
-                    order = np.lexsort((s, often[(s % np.uint64(BUCKETS)).astype(np.int64)]))
-                    n = len(s)
-                    sigs.append(_name(s))
-                    sizes.append(n)
-                    found.append(s[order[: n - (4 * n + 4) // 5 + 1]])
-                part = b.slice(lo, len(sigs))
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                out = [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+                part = b.slice(lo, len(sets))
+                some = np.diff(at) > 0
+                ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+                out = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(h, at).ravel().view(np.int64)))]
                 if fingerprint:
                     out.append(pa.array(np.array([fingerprint(t.as_py()) for t in part.column("text")], np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], *out], schema.names)
@@ -112,16 +98,10 @@ def prefixes(docs: DataFrame, fingerprint: Callable[[str | None], int] | None =
     return docs.mapInArrow(batches, schema)
 
 
-def _admissible(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Sets of n and m whose first common shingle is at pos and at may have an overlap of 4/9 (n + m), that is Jaccard 0.8."""
-    return F.least(n - pos, m - at) * 9 >= (n + m) * 4
-
-
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of set names that have a Jaccard similarity of 0.8, by their whole sets."""
+    """Those of the pairs (u, v) of set names that have a Jaccard similarity of 0.8, by their whole sets (of 64-bit hashes); a staged table."""
     pairs = staged(pairs, "near-pairs")
-    names = pairs.select(F.col("u").alias("sig")).unionAll(pairs.select("v")).distinct()
-    names = staged(names, "near-names")
+    names = staged(pairs.select(F.col("u").alias("sig")).unionAll(pairs.select("v")).distinct(), "near-names")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -129,34 +109,58 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
                 found = [(sig, s.view(np.int64)) for s, sig in _sets(b.slice(lo, 200)) if sig is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["sig", "s"])
 
-    texts = key_filter(rows.join(names, "sig", "left_semi").select("th"), "th")
-    some = may_have(docs.select("text", F.xxhash64("text").alias("th")), F.col("th"), texts, "may").where("may")
-    sets = some.select("text").mapInArrow(batches, "sig long, s array<long>").join(names, "sig", "left_semi").dropDuplicates(["sig"])
-    sets = staged(sets, "near-sets")
-    both = pairs.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
+    # one text for each name is read again
+    texts = rows.join(names, "sig", "left_semi").groupBy("sig").agg(F.min("th").alias("th")).select("th").distinct()
+    some = may_have(docs.select("text", F.xxhash64("text").alias("th")), F.col("th"), key_filter(texts, "th"), "may").where("may")
+    sets = staged(some.select("text").mapInArrow(batches, "sig long, s array<long>").join(names, "sig", "left_semi").dropDuplicates(["sig"]), "near-sets")
+    # a set that many are compared with is broadcast: under a hundred can be in over a hundredth of the pairs
+    total, often = pairs.count(), pairs.groupBy("u").agg(F.count("*").alias("c"))
+    centres = sets.join(often, sets["sig"] == often["u"]).select("u", F.col("s").alias("a"), "c")
+    both = join_counted(pairs.join(sets.toDF("v", "b"), "v"), centres, ["u"], "c", total, 100)
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v")
+    out = staged(both.where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"), "near-found")
+    for spent in (pairs, names, sets):
+        discard(spent)
+    return out
+
+
+def _rooted(lists: DataFrame, links: DataFrame, on: str) -> DataFrame:
+    """lists with `root`, the component of the set named in column `on`."""
+    known = components(links, "near-cc").select(F.col("node").alias(on), "root")
+    return lists.join(known, on, "left").withColumn("root", F.coalesce("root", F.col(on)))
 
 
 def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (sig, n, prefix, th: xxhash64 of the text) of docs -> (u, v): names of sets that connect just those joined by steps of Jaccard 0.8.
+    """rows (sig, n, keys, th: xxhash64 of the text) of docs -> (u, v): names of sets that connect just those joined by steps of Jaccard 0.8.
 
-    Sets that share a shingle of their prefixes meet in its list. All are compared with the least
-    of the list first; after that only pairs of one list that no chain of links has joined. A group
-    of near copies so costs about its size, while every admissible pair is verified or joined.
+    Sets that share a band meet in its list. A set's weight is the length of all its lists: what a
+    group of near copies was made from shares more bands with each than they do among themselves.
+    Each set is compared with the weightiest of its lists that it meets most often, then with those
+    of its other lists, then with what else is in its lists; every time only sets that no chain of
+    links has joined yet. A group of near copies so costs about its size. All links are verified.
     """
-    nodes = rows.where("sig is not null").select("sig", "n", "prefix").dropDuplicates(["sig"])
-    posts = nodes.select("sig", "n", F.posexplode("prefix").alias("pos", "key"))
-    own = W.partitionBy("key")
-    posts = posts.select("*", F.count("*").over(own).alias("c"), F.min(F.struct("sig", "n", "pos")).over(own).alias("f")).where("c > 1")
-    lists = staged(posts.select("key", "sig", "n", "pos", F.col("f.sig").alias("u"), F.col("f.n").alias("m"), F.col("f.pos").alias("at")), "near-lists")
-    stars = lists.where(F.col("sig") != F.col("u")).where(_admissible(*map(F.col, ("n", "pos", "m", "at")))).select("u", F.col("sig").alias("v")).distinct()
-    first = staged(_verified(stars, rows, docs), "near-stars")
-    known = components(first, "near-cc").withColumnRenamed("node", "sig")
-    named = lists.select("key", "sig", "n", "pos", "u").join(known, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    posts = staged(rows.where("sig is not null").select("sig", "keys").dropDuplicates(["sig"]).select("sig", F.explode("keys").alias("key")), "near-posts")
+    sizes = staged(posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-sizes")
+    total = sizes.agg(F.sum("c")).first()[0] or 0
+    shared = may_have(posts, F.col("key"), key_filter(sizes, "key"), "may").where("may").drop("may")
+    lists = staged(join_counted(shared, sizes, ["key"], "c", total), "near-lists")
+    weights = staged(lists.groupBy("sig").agg(F.sum("c").alias("w")), "near-weights")
+    centres = lists.join(weights, "sig").groupBy("key", "c").agg(F.max(F.struct("w", "sig")).alias("f")).select("key", "c", F.col("f.sig").alias("u"))
+    stars = join_counted(lists.drop("c"), centres, ["key"], "c", total).where("sig <> u").groupBy("u", F.col("sig").alias("v")).agg(F.count("*").alias("m"))
+    stars = staged(stars, "near-stars")
+    best = stars.groupBy("v").agg(F.max(F.struct("m", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
+    links = _verified(best, rows, docs)
+    # the other centres
+    apart = _rooted(_rooted(stars.join(best, ["u", "v"], "left_anti"), links, "u").withColumnRenamed("root", "ru"), links, "v").where("ru <> root").select("u", "v")
+    links = links.unionAll(_verified(apart, rows, docs))
+    # what is left in lists of several components
+    named = staged(_rooted(lists, links, "sig"), "near-named")
     parts = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(named.join(parts, "key", "left_semi"), "near-open")
-    a, b = open_.select("key", *[F.col(c).alias(f"a_{c}") for c in ("sig", "n", "pos", "root", "u")]), open_.select("key", *[F.col(c).alias(f"b_{c}") for c in ("sig", "n", "pos", "root")])
-    rest = a.join(b, "key").where("a_sig < b_sig and a_sig <> a_u and a_root <> b_root").where(_admissible(*map(F.col, ("a_n", "a_pos", "b_n", "b_pos"))))
-    second = _verified(rest.select(F.col("a_sig").alias("u"), F.col("b_sig").alias("v")).distinct(), rows, docs)
-    return first.unionAll(second)
+    open_ = staged(named.join(parts, "key", "left_semi").select("key", "sig", "root"), "near-open")
+    a, b = open_.toDF("key", "u", "ru"), open_.toDF("key", "v", "rv")
+    rest = a.join(b, "key").where("u < v and ru <> rv").select("u", "v").distinct()
+    seen = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    links = links.unionAll(_verified(rest.join(seen, ["u", "v"], "left_anti"), rows, docs))
+    for spent in (posts, sizes, lists, weights, stars, named, open_):
+        discard(spent)
+    return links

@@ -128,7 +128,7 @@ def with_contract_columns(found: DataFrame) -> DataFrame:
 
 def _similar(docs: DataFrame, shingle: int) -> DataFrame:
     wide = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    rows = staged(shingles.prefixes(wide, partial(fingerprint, shingle=shingle)), "near")
+    rows = staged(shingles.signatures(wide, partial(fingerprint, shingle=shingle)), "near")
     same = staged(rows.where("sig is not null").groupBy("sig").agg(F.min("fp").alias("at")), "near-same")
     pairs = shingles.similar_sets(rows, docs)
     pairs = pairs.join(same.toDF("u", "a"), "u").join(same.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -140,7 +140,7 @@ def near_or_similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) as near_duplicates, where a Jaccard similarity of 0.8 of the sets of five-word shingles links as well.
 
     No radius of bits holds all such pairs: the fingerprint weighs repeats, and spreads. They are
-    found by their shingles, exactly; see `shingles.similar_sets`.
+    found by bands of minima and verified by their sets; see `shingles.similar_sets`.
     """
     return _similar(docs, shingle).select("doc_id", "fp", "component_id")
 
