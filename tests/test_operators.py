@@ -184,7 +184,7 @@ def test_boxes(spark):
     cells = spark.createDataFrame([("i", 0, 0, 0, 5, 10), ("i", 1, 5, 0, 10, 10)], "image_id string, cell_id int, x1 int, y1 int, x2 int, y2 int")
     assert {r.box_id: r.verdict for r in S.reconcile(b, cells).collect()} == {1: "straddling", 2: "straddling", 3: "match", 4: "match", 5: "orphan"}
     assert one(S.agreement(b.where("box_id in (3)"), cells), "matched", "empty", "agreement") == (1, 1, 0.5)
-    assert {(r.box_id, r.o_box_id): r.inter for r in S.box_nms(b).collect()}[1, 2] == 64
+    assert {(r.box_id, r.o_box_id): r.inter for r in S.box_overlaps(b).collect()}[1, 2] == 64
 
 
 def test_fits(spark):
