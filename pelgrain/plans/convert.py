@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pelgrain.kernels import curves, quant, raster, resample, scene, strokes
+from pelgrain.kernels import curves, masks, quant, raster, resample, scene, strokes
 from pelgrain.options import OptionError, Options, patch, validate
 from pelgrain.schema import CONTOUR, ERROR, NODE, RGB, SEGMENT
 
@@ -180,8 +180,8 @@ def stroke_shapes(rgba: np.ndarray, o: Options) -> list[dict]:
     return out + [b | {"component": len(found) + b["component"]} for b in blobs]
 
 
-def convert_one(rgba: np.ndarray, o: Options, was_jpeg: bool = False) -> tuple[str, list[dict]]:
-    """Markup and nodes of one image."""
+def convert_one(rgba: np.ndarray, o: Options, was_jpeg: bool = False, given: list[tuple[str, np.ndarray]] = ()) -> tuple[str, list[dict]]:
+    """Markup and nodes of one image. Masks that are `given`, by name, group the layers that lie mostly in one."""
     check = _deadline(o)
     check()
     if o.stroke:
@@ -197,6 +197,8 @@ def convert_one(rgba: np.ndarray, o: Options, was_jpeg: bool = False) -> tuple[s
     check()
     h, w = rgba.shape[:2]
     nodes = scene.build(shapes, w, h, o.id_style)
+    if given and not o.stroke:
+        nodes = regroup(nodes, [(name, masks.upsample(m, w, h)) for name, m in given], layers)
     svg = scene.emit(nodes, w, h, precision=o.precision, output=o.output, origin="none" if o.stroke else o.transform_origin, current_color=o.current_color, rect=rect, css=o.css, grouping=o.grouping)
     return svg, nodes
 
@@ -220,15 +222,29 @@ def _rows(images: DataFrame, schema: T.StructType, one: Callable[[dict], list[di
 RESULT = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("svg", T.StringType()), T.StructField("meta_json", T.StringType()), T.StructField("error", ERROR)])
 
 
-def convert(images: DataFrame, options: Options | str | dict | None = None) -> DataFrame:
+def _packed_masks(given: DataFrame) -> DataFrame:
+    """Mask pixels (image_id, mask_idx, mask_id, width, height, idx, cov) -> image_id, masks: an array of whole masks in order."""
+    from pyspark.sql import functions as F
+
+    keys = ["image_id", "mask_idx", "mask_id", "width", "height"]
+    whole = given.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", F.col("cov").cast("int").alias("cov"))))["cov"].alias("pixels"))
+    return whole.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*keys[1:], "pixels"))).alias("masks"))
+
+
+def convert(images: DataFrame, options: Options | str | dict | None = None, mask_pixels: DataFrame | None = None) -> DataFrame:
     """images (image_id, width, height, rgba[, was_jpeg, error, options_json]) -> image_id, svg, meta_json, error.
 
     options_json, where the table has it, is a patch of each row over the options. An image that
     fails is a row with an error; it never fails the job. Rows that come with an error keep it.
+    mask_pixels (as read_masks gives them, by the same image_id) name groups: a layer of which 0.6
+    or more lies in a mask is put into that mask's group, the first of equal ones. Masks of another
+    size are drawn to the image's.
     """
+    if mask_pixels is not None:
+        images = images.join(_packed_masks(mask_pixels), "image_id", "left")
     base = options if isinstance(options, Options) else patch(Options(), options)
     validate(base)
-    extra = tuple(c for c in ("was_jpeg", "error", "options_json") if c in images.columns)
+    extra = tuple(c for c in ("was_jpeg", "error", "options_json", "masks") if c in images.columns)
 
     def one(r: dict) -> list[dict]:
         out = {"image_id": str(r["image_id"]), "svg": None, "meta_json": None, "error": None}
@@ -237,7 +253,9 @@ def convert(images: DataFrame, options: Options | str | dict | None = None) -> D
             return [out | {"error": e if isinstance(e, dict) else e.asDict()}]
         try:
             o = validate(patch(base, r["options_json"])) if r.get("options_json") else base
-            svg, nodes = convert_one(unpack(r["width"], r["height"], r["rgba"]), o, bool(r.get("was_jpeg")))
+            given = r.get("masks")
+            given = [(m["mask_id"], np.array(m["pixels"], np.uint8).reshape(m["height"], m["width"])) for m in given] if given is not None else []
+            svg, nodes = convert_one(unpack(r["width"], r["height"], r["rgba"]), o, bool(r.get("was_jpeg")), given)
             return [out | {"svg": svg, "meta_json": scene.dumps(nodes, svg)}]
         except Exception as e:
             return [out | {"error": fault(e)}]

@@ -501,3 +501,62 @@ l AS (SELECT image_id, arg_max(kept, k) AS kept FROM g GROUP BY 1)
 SELECT image_id, unnest(list_transform(kept, lambda b: b.box_id)) AS box_id FROM l""")
 def q105_greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nms(D.boxes(spark, sf_dir), 0.3).select("image_id", "box_id")
+
+
+@query(f"""WITH RECURSIVE {D.EMB_SQL}, ink AS (SELECT image_id, idx, x, y FROM emb WHERE v > 127), paper AS (SELECT image_id, idx, x, y FROM emb WHERE v <= 127),
+{_components("f", "ink", _EIGHT)}, {_components("b", "paper", _FOUR)},
+n AS (SELECT image_id, count(DISTINCT root) AS n FROM f GROUP BY 1), h AS (SELECT image_id, count(*) AS n FROM (SELECT b.image_id, b.root FROM b JOIN paper p ON p.image_id = b.image_id AND p.idx = b.idx GROUP BY ALL HAVING count(*) FILTER (x IN (0, 7) OR y IN (0, 7)) = 0) z GROUP BY 1)
+SELECT n.image_id, n.n AS n_outer, coalesce(h.n, 0) AS n_holes FROM n LEFT JOIN h ON h.image_id = n.image_id""")
+def q106_contour_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At full coverage ink joins over corners and paper over edges, so contours of even depth are regions of ink and the others holes."""
+    from pelgrain.kernels.raster import contours
+
+    c = _kernel(spark, sf_dir, "depth int", lambda px: [(k["depth"],) for k in contours(np.where(px[..., 0] > 127, 255, 0))])
+    return c.groupBy("image_id").agg(F.count(F.when(F.col("depth") % 2 == 0, 1)).alias("n_outer"), F.count(F.when(F.col("depth") % 2 == 1, 1)).alias("n_holes"))
+
+
+_CUBE = tuple((r, g, b) for r in (0, 128) for g in (0, 128) for b in (0, 128))
+
+
+@query(f"""WITH RECURSIVE {D.EMB_SQL}, cube AS (SELECT image_id, idx, x, y, r // 128 * 4 + g // 128 * 2 + b // 128 AS colour FROM emb),
+{_components("f", "cube", f"{_EIGHT} AND a.colour = b.colour")},
+n AS (SELECT f.image_id, count(DISTINCT root) AS n, count(DISTINCT colour) AS k FROM f JOIN cube ON cube.image_id = f.image_id AND cube.idx = f.idx GROUP BY 1)
+SELECT image_id, n AS n_nodes, n AS n_shapes, k AS n_fills, n AS n_ids, true AS ok FROM n""")
+def q107_convert_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a palette and cut-out layers, every region of a colour is one shape of the document, with an id of its own.
+
+    Pixels are drawn three wide: a region that is one pixel thin may have no area once it is fitted.
+    """
+    from pelgrain.plans import convert as V
+
+    images = _spread(D.packed(D.enlarged(D.posterised(D.emb(spark, sf_dir), 128), 8, 3), 24, 24))
+    r = V.convert(images, {"mode": "icon", "colors": [f"#{r:02x}{g:02x}{b:02x}" for r, g, b in _CUBE], "layering": "cutout", "turdsize": 1})
+    m = I.read_sidecar(r)
+    shapes = F.regexp_count("svg", F.lit("<(path|circle|ellipse|rect)[ >]")).cast("long")
+    nodes = F.col("meta.nodes")
+    n = lambda c: F.size(F.array_distinct(c)).cast("long")
+    return m.select(F.col("image_id").cast("long").alias("image_id"), F.col("meta.stats.node_count").alias("n_nodes"), shapes.alias("n_shapes"), n(F.transform(nodes, lambda x: x["fill"])).alias("n_fills"), n(F.transform(nodes, lambda x: x["id"])).alias("n_ids"), F.col("error").isNull().alias("ok"))
+
+
+@query(f"""WITH RECURSIVE sp AS (SELECT s.range AS image_id, CAST(i.range AS INT) AS idx, CAST(i.range % 120 AS INT) AS x, CAST(i.range // 120 AS INT) AS y FROM range(2) s, range(14400) i),
+so AS (SELECT *, x % 40 - 19.5e0 AS u, y % 40 - 19.5e0 AS v FROM sp),
+emb AS (SELECT image_id, idx, x, y FROM so WHERE CASE WHEN (x // 40 + y // 40 + image_id) % 2 = 1 THEN abs(sqrt(u*u + v*v) - 10) <= 2 ELSE (abs(u) <= 12 AND abs(v) <= 2) OR (abs(v) <= 12 AND abs(u) <= 2) END),
+p AS (SELECT image_id, 'x' AS axis, x AS pos, count(*) AS n FROM emb GROUP BY ALL UNION ALL SELECT image_id, 'y', y, count(*) FROM emb GROUP BY ALL),
+f AS (SELECT image_id, axis, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT *, sum(f) OVER (PARTITION BY image_id, axis ORDER BY pos) AS g FROM (SELECT image_id, axis, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY image_id, axis ORDER BY pos) - 1 >= 4 THEN 1 ELSE 0 END AS f FROM p WHERE n >= 2) a) b GROUP BY image_id, axis, g HAVING max(pos) + 1 - min(pos) >= 10),
+w AS (SELECT *, e - s AS h, row_number() OVER (PARTITION BY image_id, axis ORDER BY e - s) - 1 AS k, count(*) OVER (PARTITION BY image_id, axis) AS n FROM f),
+m AS (SELECT image_id, axis, max(h) FILTER (k = n // 2) AS m, max(h) FILTER (k = 0) AS lo, max(h) FILTER (k = n - 1) AS hi, max(n) AS n FROM w GROUP BY ALL),
+g AS (SELECT f.* FROM f JOIN m ON m.image_id = f.image_id AND m.axis = f.axis WHERE m.n < 2 OR f.e - f.s >= greatest(m.m // 4, 10)),
+c AS (SELECT a.image_id, a.s AS x1, a.e AS x2, b.s AS y1, b.e AS y2, (SELECT count(*) FROM emb WHERE emb.image_id = a.image_id AND x >= a.s AND x < a.e AND y >= b.s AND y < b.e) AS n FROM g a JOIN g b ON a.image_id = b.image_id AND a.axis = 'x' AND b.axis = 'y'),
+cm AS (SELECT image_id, greatest(max(n) FILTER (k = t // 2) // 10, 1) AS floor FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS t FROM c) z GROUP BY 1),
+{_components("r", "emb", _EIGHT)},
+bx AS (SELECT r.image_id, root, min(x) AS x1, max(x) + 1 AS x2, min(y) AS y1, max(y) + 1 AS y2 FROM r JOIN emb ON emb.image_id = r.image_id AND emb.idx = r.idx GROUP BY ALL HAVING count(*) >= 12),
+ov AS (SELECT bx.image_id, root, count(c.x1) AS n FROM bx LEFT JOIN c ON c.image_id = bx.image_id AND greatest(0, least(bx.x2, c.x2) - greatest(bx.x1, c.x1))*greatest(0, least(bx.y2, c.y2) - greatest(bx.y1, c.y1))*4 >= (bx.x2 - bx.x1)*(bx.y2 - bx.y1) GROUP BY ALL)
+SELECT c.image_id, 'chroma' AS segmentation, (SELECT count(*) FROM g WHERE g.image_id = c.image_id AND axis = 'x') AS n_cols, (SELECT count(*) FROM g WHERE g.image_id = c.image_id AND axis = 'y') AS n_rows, count(*) FILTER (n >= 12) AS n_icons,
+ (SELECT count(*) FROM ov WHERE ov.image_id = c.image_id AND ov.n = 0) AS n_orphans, (SELECT count(*) FROM ov WHERE ov.image_id = c.image_id AND ov.n > 1) AS n_straddling,
+ CAST(floor(least(count(*) FILTER (n >= least_ink)/count(*)::DOUBLE, (SELECT min(greatest(0e0, least(1e0, 1 - (hi - lo)/m::DOUBLE))) FROM m WHERE m.image_id = c.image_id))*1000 + 0.5e0) AS BIGINT) AS score_milli
+FROM (SELECT c.*, cm.floor AS least_ink FROM c JOIN cm ON cm.image_id = c.image_id) c GROUP BY c.image_id""")
+def q108_sheet_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelgrain.plans import sheet as V
+
+    n = [F.col(c).cast("long").alias(c) for c in ("n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling")]
+    return V.sheet_report(_spread(D.sheets(spark))).select(F.col("image_id").cast("long").alias("image_id"), "segmentation", *n, F.floor(F.col("score") * 1000 + 0.5).alias("score_milli"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelgrain.kernels import png
+from pelgrain.kernels import formats, png
 from pelgrain.options import Options
 from pelgrain.schema import ERROR, IMAGE, META
 
@@ -18,9 +18,13 @@ from pelgrain.schema import ERROR, IMAGE, META
 MAX_SIDE = 8192
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """image_id (the path), content: files as bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), "content")
+def read_files(spark: SparkSession, path: str, options: Options | None = None) -> DataFrame:
+    """image_id (the path), length, content: files as bytes. With options, files over their limit are told by length and never read."""
+    f = spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), "length", "content")
+    if options is None:
+        return f
+    large = F.col("length") > options.max_input_bytes
+    return f.where(~large).unionAll(f.where(large).select("image_id", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def read_base64(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -33,9 +37,9 @@ def is_jpeg(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 3)) == "FFD8FF"
 
 
-def limit_error(content: Column, options: Options) -> Column:
-    """The error of inputs that are too large, before anything is decoded."""
-    n = F.octet_length(content).cast("long")
+def limit_error(content: Column, options: Options, length: Column | None = None) -> Column:
+    """The error of inputs that are too large, before anything is decoded; by their length where that is known."""
+    n = F.octet_length(content).cast("long") if length is None else length
     err = F.struct(
         F.lit("LimitExceeded").alias("code"), F.concat(F.lit("input has "), n.cast("string"), F.lit(f" bytes, the limit is {options.max_input_bytes}")).alias("message"),
         F.lit("input-bytes").alias("kind"), n.alias("value"), F.lit(options.max_input_bytes).cast("long").alias("max"),
@@ -55,13 +59,14 @@ def decode_one(data: bytes | None, options: Options) -> dict:
     none = {"width": None, "height": None, "rgba": None}
     if data is None:
         return none | {"error": _fault("InvalidInput", "no bytes")}
-    size = png.dimensions(bytes(data[:32]))
+    data = bytes(data)
+    size = formats.dimensions(data)
     if size and max(size) > MAX_SIDE:
         return none | {"error": _fault("LimitExceeded", f"side of {max(size)} pixels", "dimension", max(size), MAX_SIDE)}
     if size and size[0] * size[1] > options.max_pixels:
         return none | {"error": _fault("LimitExceeded", f"{size[0] * size[1]} pixels", "pixels", size[0] * size[1], options.max_pixels)}
     try:
-        px = png.decode(bytes(data))
+        px = formats.decode(data)
     except png.ImageError as e:
         return none | {"error": _fault("InvalidInput", str(e))}
     except Exception as e:  # a broken image is a row with an error, never a failed job
@@ -72,10 +77,11 @@ def decode_one(data: bytes | None, options: Options) -> dict:
 def decode(files: DataFrame, options: Options = Options()) -> DataFrame:
     """image_id, content -> images with an error column. Too large inputs are told by native expressions and never reach the decoder.
 
-    PNG and BMP are decoded here. JPEG and GIF go through Spark's own image source (read_images);
-    WebP has no decoder and gives InvalidInput.
+    PNG, JPEG, GIF and BMP are decoded, turned by their Exif orientation and converted from their
+    colour profile; WebP has no decoder and gives InvalidInput.
     """
-    f = files.select("image_id", "content", limit_error(F.col("content"), options).alias("error"), is_jpeg(F.col("content")).alias("was_jpeg"))
+    length = F.col("length") if "length" in files.columns else None
+    f = files.select("image_id", "content", limit_error(F.col("content"), options, length).alias("error"), is_jpeg(F.col("content")).alias("was_jpeg"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("rgba", "binary"))]
     large = f.where("error is not null").select("image_id", *none, F.coalesce("was_jpeg", F.lit(False)).alias("was_jpeg"), "error")
 
@@ -115,12 +121,13 @@ def pixels(images: DataFrame) -> DataFrame:
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of {id, width, height, pixels} -> image_id (file), mask_idx, mask_id, width, height, idx, cov.
+    """JSON arrays of {id, width, height, pixels} -> image_id (file), mask_idx (place in its file), mask_id, width, height, idx, cov.
 
     Masks whose number of pixels is not width x height are dropped.
     """
-    schema = "id string, width int, height int, pixels array<int>"
-    m = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("image_id"), F.monotonically_increasing_id().alias("mask_idx"), F.col("id").alias("mask_id"), "width", "height", "pixels")
+    one = "array<struct<id:string,width:int,height:int,pixels:array<int>>>"
+    f = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("image_id"), F.from_json("value", one).alias("masks"))
+    m = f.select("image_id", F.posexplode("masks").alias("mask_idx", "m")).select("image_id", F.col("mask_idx").cast("long").alias("mask_idx"), F.col("m.id").alias("mask_id"), "m.width", "m.height", "m.pixels")
     m = m.where(F.size("pixels") == F.col("width") * F.col("height"))
     return m.select("image_id", "mask_idx", "mask_id", "width", "height", F.posexplode("pixels").alias("idx", "cov"))
 
@@ -142,8 +149,22 @@ def export_text(results: DataFrame, path: str) -> None:
 
 
 def json_schema() -> dict:
-    """Schema of the sidecar."""
-    return json.loads(META.json())
+    """JSON Schema (draft 2020-12) of the sidecar."""
+    names = {T.StringType: "string", T.BooleanType: "boolean", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer"}
+
+    def of(t: T.DataType) -> dict:
+        if isinstance(t, T.StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in t.fields}, "required": [f.name for f in t.fields if f.name != "fill"]}
+        if isinstance(t, T.ArrayType):
+            return {"type": "array", "items": of(t.elementType)}
+        return {"type": names.get(type(t), "number")}
+
+    out = of(META)
+    fill = out["properties"]["nodes"]["items"]["properties"]["fill"]
+    fill["type"] = ["object", "null"]
+    for c in fill["properties"].values():
+        c |= {"minimum": 0, "maximum": 255}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "Meta", **out}
 
 
 def typescript() -> str:

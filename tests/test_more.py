@@ -110,3 +110,18 @@ def test_reports(spark):
     m = read_sidecar(V.convert(df, {"mode": "icon"}))
     r = m.select(T.meta_report(F.col("meta")).alias("a"), T.markdown_report(F.col("meta")).alias("b"), F.size("meta.nodes").alias("n")).first()
     assert r.a.startswith("schema=1 nodes=") and r.a.count("draw_order=") == r.n and r.b.count("| `s-") == r.n
+
+
+def test_masks_group_the_layers_of_a_conversion(spark):
+    px = np.full((24, 24, 4), 255, np.uint8)
+    px[3:9, 3:9, :3], px[14:21, 14:21, :3] = (200, 0, 0), (0, 0, 200)
+    images = spark.createDataFrame([("a", 24, 24, bytearray(px.tobytes())), ("b", 24, 24, bytearray(px.tobytes()))], "image_id string, width int, height int, rgba binary")
+    left = np.zeros((12, 12), int)  # half the size: drawn to the image's
+    left[:6, :6] = 255
+    rows = [("a", k, n, 12, 12, i, int(v)) for k, (n, m) in enumerate((("far", left[::-1, ::-1] * 0), ("corner", left), ("same", left))) for i, v in enumerate(m.ravel())]
+    given = spark.createDataFrame(rows, "image_id string, mask_idx long, mask_id string, width int, height int, idx int, cov int")
+    out = V.convert(images, {"mode": "icon", "colors": 3, "layering": "cutout"}, given)
+    groups = {(r.image_id, (r.fill.r, r.fill.b)): r.group for r in V.inspect(out).collect()}
+    assert groups["a", (200, 0)] == "corner" and groups["a", (0, 200)] != "corner"
+    assert 'id="corner"' in {r.image_id: r.svg for r in out.collect()}["a"]
+    assert groups["b", (200, 0)].startswith("g-")

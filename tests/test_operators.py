@@ -310,7 +310,7 @@ def test_other_sources(spark, tmp_path):
     assert [(r.mask_id, r.idx, r.cov) for r in I.read_masks(spark, f"file://{tmp_path}/m.json").collect()] == [("x", 0, 0), ("x", 1, 255)]
     old = spark.createDataFrame([('{"nodes": [{"id": "n"}]}',)], "meta_json string")
     assert one(I.read_sidecar(old), "meta.schema_version") == 0
-    assert "schema_version: number" in I.typescript() and I.json_schema()["type"] == "struct"
+    assert "schema_version: number" in I.typescript() and I.json_schema()["type"] == "object" and I.json_schema()["properties"]["nodes"]["items"]["properties"]["fill"]["type"] == ["object", "null"]
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "z.png").write_bytes(data)
     r = I.read_images(spark, f"file://{tmp_path}/p").first()
