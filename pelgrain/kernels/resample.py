@@ -31,6 +31,17 @@ def weights(source: int, target: int, name: str) -> np.ndarray:
     return m / m.sum(axis=1, keepdims=True)
 
 
+def _along(p: np.ndarray, target: int, name: str) -> np.ndarray:
+    """The first axis resampled: for each target the few sources that weigh anything."""
+    m = weights(len(p), target, name)
+    taps = int((m != 0).sum(axis=1).max())
+    first = np.minimum((m != 0).argmax(axis=1), len(p) - taps)
+    out = np.zeros((target, *p.shape[1:]))
+    for k in range(taps):
+        out += m[np.arange(target), first + k][:, None, None] * p[first + k]
+    return out
+
+
 def resize(rgba: np.ndarray, width: int, height: int, name: str) -> np.ndarray:
     """Resampled with colour weighted by alpha, so that hidden colour does not bleed."""
     h, w = rgba.shape[:2]
@@ -40,8 +51,8 @@ def resize(rgba: np.ndarray, width: int, height: int, name: str) -> np.ndarray:
         return rgba[y][:, x]
     a = rgba[..., 3:] / 255.0
     p = np.concatenate([rgba[..., :3] * a, rgba[..., 3:]], axis=2)
-    p = np.einsum("ij,jkc->ikc", weights(h, height, name), p)
-    p = np.einsum("ij,kjc->kic", weights(w, width, name), p)
+    p = _along(p, height, name)
+    p = _along(p.transpose(1, 0, 2), width, name).transpose(1, 0, 2)
     alpha = np.clip(p[..., 3:], 0, 255)
     rgb = np.where(alpha > 0, p[..., :3] / np.maximum(alpha / 255, 1e-9), 0)
     return np.clip(np.floor(np.concatenate([rgb, alpha], axis=2) + 0.5), 0, 255).astype(np.uint8)
