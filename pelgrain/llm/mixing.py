@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pelgrain.llm.common import discard, staged, word_count
+from pelgrain.llm.common import discard, number_copies, staged, word_count
 
 #: Blocks of a source are the first three hex digits of the document's order key.
 BLOCK_DIGITS = 3
@@ -120,16 +120,6 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("sk")
 
 
-def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows, with rid (a stored monotonic id), and rn: 1, 2, ... among the rows of a key, in two steps, so that a hot key is spread."""
-    part = rows.withColumn("_n_part", F.shiftright("rid", 33))
-    counts = part.groupBy(*by, "_n_part").count()
-    before = F.sum("count").over(W.partitionBy(*by).orderBy("_n_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(*by, "_n_part", F.coalesce(before, F.lit(0)).alias("_n_off"))
-    within = F.row_number().over(W.partitionBy(*by, "_n_part").orderBy("rid"))
-    return part.withColumn("_n_in", within).join(offsets, [*by, "_n_part"]).withColumn("rn", F.col("_n_in") + F.col("_n_off")).drop("_n_part", "_n_in", "_n_off")
-
-
 def _taken(size: str, key: str, rn: Column) -> Column:
     """Words that a document gives: whole passes, and in the last one those before the cut; equal rows at the cut share its part in turn."""
     s = F.col(size)
@@ -158,7 +148,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards: int
     ties = _ties(sources)
     numbered = rows.withColumn("rn", F.lit(1).cast("long"))
     if ties is not None:
-        equal = _numbered(_joined(rows, ties, ["sk", "key"]), ["sk", "key"]).select("rid", "rn")
+        equal = number_copies(_joined(rows, ties, ["sk", "key"]), ["sk", "key"]).select("rid", "rn")
         numbered = _joined(rows, staged(equal, "op5-ties"), ["rid"], "left").withColumn("rn", F.coalesce("rn", F.lit(1)))
     out = _joined(numbered, sources, ["sk"]).withColumn("taken", _taken("size", "key", F.col("rn"))).withColumn("block", _block("key"))
     out = _joined(out, layout, ["sk", "block"], "left")
@@ -182,7 +172,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), shards:
     if ties is not None:
         equal = staged(_joined(wide, ties, ["sk", "key"]).withColumn("rid", F.monotonically_increasing_id()), "op5-ties")
         rest = wide.join(F.broadcast(ties) if ties.limit(FEW + 1).count() <= FEW else ties, ["sk", "key"], "left_anti")
-        numbered = rest.withColumn("rn", F.lit(1).cast("long")).unionByName(_numbered(equal, ["sk", "key"]).drop("rid"))
+        numbered = rest.withColumn("rn", F.lit(1).cast("long")).unionByName(number_copies(equal, ["sk", "key"]).drop("rid"))
     out = _joined(numbered, sources, ["sk"]).withColumn("taken", _taken("size", "key", F.col("rn"))).withColumn("block", _block("key"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     # a last copy that is less than half taken is left out; one taken in part has its place all the same

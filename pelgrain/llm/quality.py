@@ -126,7 +126,8 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 def threshold(pairs: list[tuple[float, int]]) -> float:
     """The log weight that parts good from bad: most correct labels, a lost good document counting double.
 
-    Half-way between two weights; -inf where no bad ones are known, so that all are kept.
+    It lies a tenth of the way from the bad weight below it to the good one above: what is unlike all
+    that is known to be bad stays. -inf where no bad ones are known, so that all are kept.
     """
     if not any(q == 0 for _, q in pairs):
         return -math.inf
@@ -135,7 +136,7 @@ def threshold(pairs: list[tuple[float, int]]) -> float:
     s, q = s[order], q[order]
     cost = np.concatenate([[0], np.cumsum(2 * (q == 1))]) + np.concatenate([np.cumsum((q == 0)[::-1])[::-1], [0]])
     k = int(np.argmin(cost))
-    return float(s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2)
+    return float(s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else s[k - 1] + (s[k] - s[k - 1]) / 10)
 
 
 def gumbel(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pelgrain.llm.common import staged, utf8_bytes
+from pelgrain.llm.common import number_copies, staged, utf8_bytes
 from pelgrain.llm.sql_hash import of_number
 
 #: Numbering blocks of a shard; a fixed number, so the table of their counts is bounded.
@@ -42,7 +42,8 @@ def shard_manifest(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Law `key`: doc_id and the number of shards alone decide. Slots count from 0 without gaps:
     rows are numbered within small hash blocks of a shard, and blocks are offset by a prefix sum
-    over a table of shards x BLOCKS rows, so no task ever sorts a whole shard.
+    over a table of shards x BLOCKS rows, so no task ever sorts a whole shard. A row that is copied
+    very often holds one wide place in its block, and its copies are numbered where they were read.
 
     Null text: size 8, checksum 0. Null doc_id: a key of its own. Repeated rows: each gets a slot,
     in the same shard. Empty table: no rows. Other columns are ignored.
@@ -53,14 +54,27 @@ def shard_manifest(docs: DataFrame, shards: int = 24) -> DataFrame:
         id_, (utf8_bytes(text) + 8).alias("size"), crc.alias("text_crc32"),
         rendezvous(id_, [1.0] * shards).alias("shard"), rendezvous(id_, [1.0] * (shards + 1)).alias("grown_shard"),
     )
-    rows = staged(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(BLOCKS)).cast("int")), "op9")
+    block = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(BLOCKS)).cast("int")
+    rows = staged(rows.select("*", block.alias("block"), F.monotonically_increasing_id().alias("rid")), "op9")
     counts = rows.groupBy("shard", "block").count()
     before = F.sum("count").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("shard", "block", F.coalesce(before, F.lit(0)).alias("offset"))
-    within = F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
-    return rows.join(offsets, ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + within - 1).alias("slot"), "grown_shard"
-    )
+    # rows with over a thousandth of all copies each stand for themselves in their block, as one place of that width
+    one = ["shard", "block", "doc_id", "text_crc32", "size", "grown_shard"]
+    many = staged(rows.groupBy(*one).agg(F.count("*").alias("width")).where(F.col("width") * 1000 > F.lit(rows.count())), "op9-many")
+    same = [rows[c].eqNullSafe(many[c]) if c == "doc_id" else rows[c] == many[c] for c in one[:5]]
+    single = rows.join(F.broadcast(many), same, "left_anti").select(*one, F.lit(1).cast("long").alias("width"))
+    place = F.sum("width").over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0))
+    placed = single.unionByName(many).withColumn("start", place - F.col("width")).join(offsets, ["shard", "block"]).withColumn("slot", F.col("offset") + F.col("start"))
+    out = placed
+    if many.limit(1).count():
+        hot = placed.join(F.broadcast(many.select(*[F.col(c).alias(f"_{c}") for c in one[:5]])), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in one[:5]], "left_semi").select(*one, F.col("slot").alias("first"))
+        hot = staged(hot, "op9-first")
+        copies = rows.select("rid", *one).join(F.broadcast(hot.select(*[F.col(c).alias(f"_{c}") for c in one[:5]], "first")), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in one[:5]])
+        numbered = number_copies(copies.select("rid", "first", *one), ["first", "shard"])
+        kept = placed.join(F.broadcast(hot.select("shard", F.col("first").alias("slot"))), ["shard", "slot"], "left_anti")
+        out = kept.select(*one, "slot").unionByName(numbered.select(*one, (F.col("first") + F.col("rn") - 1).alias("slot")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def _crc_table() -> list[int]:

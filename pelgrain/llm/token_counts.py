@@ -28,13 +28,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _encoders: dict[str, object] = {}
 
 
-def encoder(vocab: str):
-    """The tokenizer of a rank file, one for each worker."""
+def rank_file(vocab: str) -> bytes:
+    """The rank file's bytes, read by the driver; executors get them with their tasks and need no file of their own."""
+    with open(vocab, "rb") as f:
+        return f.read()
+
+
+def encoder(vocab: str, raw: bytes | None = None):
+    """The tokenizer of a rank file (or its bytes), one for each worker."""
     if vocab not in _encoders:
         import tiktoken
 
-        with open(vocab, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        lines = (raw if raw is not None else rank_file(vocab)).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         _encoders[vocab] = tiktoken.Encoding(os.path.basename(vocab), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[vocab]
 
@@ -50,8 +56,10 @@ def write_flat(docs: DataFrame, vocab: str = VOCAB, eod: int = EOD, block: int =
     manifest: doc_ids in the order of the stream, no lengths or places; their `block` counts its pieces.
     """
 
+    raw = rank_file(vocab)
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file, k, piece, rest = encoder(vocab), TaskContext.get().partitionId(), 0, 0, bytearray()
+        enc, file, k, piece, rest = encoder(vocab, raw), TaskContext.get().partitionId(), 0, 0, bytearray()
         for b in it:
             for lo in range(0, b.num_rows, 1000):
                 part, out = b.slice(lo, 1000), []

@@ -44,6 +44,19 @@ def test_shards_of_nulls_and_of_nothing(spark):
     assert sharding.shard_manifest(d.limit(0), 3).count() == 0
 
 
+def test_shards_of_rows_copied_very_often(spark):
+    """A third of all rows are one row, another tenth one without an id: slots stay without gaps, in any partitioning."""
+    rows = [(7, "hot", "s")] * 400 + [(None, None, "s")] * 120 + [(k, f"t{k}", "s") for k in range(700)] + [(5, "t5", "s")]
+    seen = []
+    for parts in (1, 5):
+        got = sharding.shard_manifest(docs(spark, rows).repartition(parts), 24).collect()
+        assert len(got) == len(rows)
+        for s in range(24):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        seen.append(sorted(tuple(str(v) for v in r) for r in got))
+    assert seen[0] == seen[1]
+
+
 def test_weights_are_followed(spark):
     n = spark.range(20_000).withColumnRenamed("id", "doc_id")
     got = {r.shard: r["count"] for r in sharding.assign_shards(n, [1.0, 2.0, 5.0]).groupBy("shard").count().collect()}

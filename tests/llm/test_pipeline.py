@@ -68,3 +68,32 @@ def test_stages_of_nothing(spark, sf):
     none = spark.read.parquet(f"{sf[0]}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, none, sf[0]).count() == 0
+
+
+def test_stages_with_nulls_repeated_ids_and_clashing_names(spark, tmp_path):
+    """Documents without an id, several of one id, copies, and columns named like the stages' own."""
+    rng = random.Random(31)
+    vocab = [a + b for a in "ka lo mi ne po ru".split() for b in "ra se ti vo na".split()]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = prose(20)
+    texts = [prose(rng.randint(60, 120)) for _ in range(40)]
+    rows = [(None if k % 5 == 0 else k % 7, t) for k, t in enumerate(texts)] + [(90, texts[1]), (None, texts[2]), (91, prose(30) + " " + item), (92, junk(rng)), (None, None), (93, ""), (94, texts[3]), (94, texts[3])]
+    named = ("size", "shard", "grown_shard", "th", "fp", "sig", "key", "root", "rn", "taken", "block", "contamination", "_contamination", "kept", "sk", "rid", "pass", "order")
+    d = str(tmp_path)
+    spark.createDataFrame([(i, t, "s" if k % 3 else None, *[f"{c}{k}" for c in named]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in named)).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(92, 0, 0), *[(k, 1, 0) for k in (1, 2, 3, 90)]], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    columns, left = now.columns, []
+    for _, stage in P.STAGES[:3]:
+        now = P.staged(stage(spark, now, d), "test")
+        assert now.columns == columns
+        left.append(sorted(str(r.text) for r in now.collect()))
+        assert all(r[c][: len(c)] == c for r in now.collect() for c in named)
+    every = sorted(str(t) for _, t in rows)
+    assert left[0] == sorted(str(t) for i, t in rows if i != 92)  # the junk alone goes
+    clean = sorted({*texts, rows[42][1], ""})  # one of each text; null and empty are one to the prints, the one with an id stays
+    assert left[1] == clean and set(left[1]) <= set(every)
+    assert left[2] == sorted(set(clean) - {rows[42][1]})
+    out = P.run(spark, d)
+    assert out.where("text is not null").count() > 30 and {"shard", "grown_shard", "size"} <= set(out.columns) and len(out.columns) == len(columns)
