@@ -34,7 +34,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, the shard of each row, and its shard if there were one more."""
+    """All columns, the shard of each row, its shard if there were one more, and its size.
+
+    These three, `shard`, `grown_shard` and `size`, take the place of columns of their names.
+    """
     out = sharding.assign_shards(docs, [1.0] * SHARDS)
     out = sharding.assign_shards(out, [1.0] * (SHARDS + 1), column="grown_shard")
     return out.withColumn("size", utf8_bytes(F.col("text")) + 8)
