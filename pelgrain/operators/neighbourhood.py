@@ -208,3 +208,16 @@ def regions(pixels: DataFrame, ink: Column, width: int, eight: bool = True) -> D
     packed = pixels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce(ink, F.lit(False)).alias("on"))))["on"].alias("bits"))
     out = packed.mapInArrow(label_all, schema).select("image_id", F.explode(F.arrays_zip("idx", "region")).alias("c"))
     return out.select("image_id", "c.idx", "c.region")
+
+
+def find_clusters(masked: DataFrame, width: int, radius: int = 3, least: int = 12) -> DataFrame:
+    """image_id, cluster, x1, y1, x2, y2 (half open), n: ink (image_id, idx, x, y, ink) that hangs together once it is grown by a radius.
+
+    Boxes and counts are those of the ink itself; clusters of under `least` pixels are noise. Numbered
+    from 1 by (y1, x1, y2, x2).
+    """
+    grown = dilate(masked.select("image_id", "idx", "x", "y", "ink"), radius)
+    named = regions(grown, F.col("ink"), width).join(masked.where("ink").select("image_id", "idx", "x", "y"), ["image_id", "idx"])
+    box = named.groupBy("image_id", "region").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n")).where(F.col("n") >= least)
+    order = W.partitionBy("image_id").orderBy("y1", "x1", "y2", "x2", "region")
+    return box.select("image_id", F.row_number().over(order).alias("cluster"), "x1", "y1", "x2", "y2", "n")

@@ -16,7 +16,7 @@ from pelgrain.operators import fit as G
 from pelgrain.operators import neighbourhood as N
 from pelgrain.operators import pixels as P
 from pelgrain.operators import shapes as S
-from pelgrain.plans.queries import _A, _B, _EDGE, _L, PALETTE, _blend_sql, _box_sql, _lab_sql, _otsu_sql, _PAL, _solve_sql, _spread, LUMA, query
+from pelgrain.plans.queries import _A, _B, _EDGE, _L, PALETTE, _blend_sql, _box_sql, _lab_sql, _otsu_sql, _PAL, SAT, _solve_sql, _spread, LUMA, query
 from pelgrain.sources import derived as D
 from pelgrain.sources import images as I
 
@@ -560,3 +560,31 @@ def q108_sheet_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = [F.col(c).cast("long").alias(c) for c in ("n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling")]
     return V.sheet_report(_spread(D.sheets(spark))).select(F.col("image_id").cast("long").alias("image_id"), "segmentation", *n, F.floor(F.col("score") * 1000 + 0.5).alias("score_milli"))
+
+
+def _gradient_sql() -> str:
+    dot = lambda a, b: " + ".join(f"{a}{k}*{b}{k}" for k in "rgb")
+    off = " + ".join(f"pow({k} - (m{k} + bx{k}*(x - mx) + by{k}*(y - my)), 2)" for k in "rgb")
+    paint = lambda t, n: ", ".join(f"CAST(floor(least(255e0, greatest(0e0, m{k} + (bx{k}*dx + by{k}*dy)*{t})) + 0.5e0) AS INT) AS {n}_{k}" for k in "rgb")
+    return f"""smp AS (SELECT image_id, x, y, r, g, b FROM emb WHERE {SAT} >= 60),
+s1 AS (SELECT image_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, {", ".join(f"avg({k}) AS m{k}, covar_pop(x, {k}) AS cx{k}, covar_pop(y, {k}) AS cy{k}" for k in "rgb")} FROM smp GROUP BY 1 HAVING count(*) >= 30),
+s2 AS (SELECT *, {", ".join(f"(yy*cx{k} - xy*cy{k})/(xx*yy - xy*xy) AS bx{k}, (xx*cy{k} - xy*cx{k})/(xx*yy - xy*xy) AS by{k}" for k in "rgb")} FROM s1 WHERE xx*yy - xy*xy > 1e-9),
+s3 AS (SELECT *, {dot("bx", "bx")} AS e_, {dot("bx", "by")} AS f_, {dot("by", "by")} AS g_ FROM s2),
+s4 AS (SELECT *, (e_ + g_ + sqrt((e_ - g_)*(e_ - g_) + f_*f_*4))/2 AS top FROM s3), s5 AS (SELECT *, f_ AS vx, top - e_ AS vy FROM s4 WHERE top >= 1e-9),
+s6 AS (SELECT *, vx*CASE WHEN vx + vy < 0 THEN -1 ELSE 1 END/sqrt(vx*vx + vy*vy) AS dx, vy*CASE WHEN vx + vy < 0 THEN -1 ELSE 1 END/sqrt(vx*vx + vy*vy) AS dy FROM s5),
+s7 AS (SELECT image_id, quantile_cont((x - mx)*dx + (y - my)*dy, 0.05) AS t0, quantile_cont((x - mx)*dx + (y - my)*dy, 0.95) AS t1, sqrt(avg({off})) AS residual FROM smp JOIN s6 USING (image_id) GROUP BY 1)
+SELECT image_id, n, {", ".join(quarter_sql(f"m{c} + d{c}*t{k}", f"{c}{k + 1}_milli") for k in (0, 1) for c in "xy")}, {paint("t0", "start")}, {paint("t1", "end")}, {quarter_sql("residual", "residual_milli")} FROM s6 JOIN s7 USING (image_id) WHERE residual <= 110"""
+
+
+@query(f"WITH {D.EMB_SQL}, {_gradient_sql()}")
+def q109_ink_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = G.ink_gradient(D.emb(spark, sf_dir).where(C.saturation(*P.rgb()) >= 60).select("image_id", "x", "y", "r", "g", "b"), most=110.0)
+    return g.select("image_id", "n", *[quarter(F.col(c), f"{c}_milli") for c in ("x1", "y1", "x2", "y2", "residual")], *[F.col(f"{e}.{k}").alias(f"{e}_{k}") for e in ("start", "end") for k in "rgb"])
+
+
+@query(f"""WITH RECURSIVE {D.EMB_SQL}, raw AS (SELECT image_id, idx, x, y FROM emb WHERE v > 170),
+ink AS (SELECT DISTINCT e.image_id, e.idx, e.x, e.y FROM emb e JOIN raw r ON r.image_id = e.image_id AND abs(r.x - e.x) <= 1 AND abs(r.y - e.y) <= 1), {_components("f", "ink", _EIGHT)},
+b AS (SELECT f.image_id, root, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS n FROM f JOIN raw ON raw.image_id = f.image_id AND raw.idx = f.idx GROUP BY ALL HAVING count(*) >= 2)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, y2, x2, root) AS INT) AS cluster, x1, y1, x2, y2, n FROM b""")
+def q110_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.find_clusters(D.emb(spark, sf_dir).withColumn("ink", F.col("v") > 170), 8, 1, 2)

@@ -12,9 +12,12 @@ from pelgrain.kernels.resample import upscale
 from pelgrain.operators.pixels import ALPHA_MIN, USABLE, VALUE_MAX
 from pelgrain.plans.convert import _rows, fault, stroke_shapes, unpack
 from pelgrain.options import Options
+from pelgrain.schema import RGB
 
 #: Ink of a cell and of a cluster at least; share of a cluster inside a cell; canonical box (fixed values).
-LEAST_INK, OVERLAP, BOX = 12, 0.25, 24.0
+LEAST_INK, OVERLAP, BOX, DILATE = 12, 0.25, 24.0, 3
+#: Saturation of an icon's core, samples of a gradient at least, and its residual at most (fixed values).
+CORE, SAMPLES, POOR = 150, 30, 36.0
 
 
 def chroma_ink(rgba: np.ndarray) -> np.ndarray:
@@ -66,6 +69,42 @@ def refined(profile: np.ndarray, min_run: int = 10) -> list[tuple[int, int]]:
     return found
 
 
+def grown(ink: np.ndarray, radius: int) -> np.ndarray:
+    """Ink grown by a Chebyshev radius."""
+    for axis in (0, 1):
+        wide = np.pad(ink, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)])
+        ink = np.logical_or.reduce([np.roll(wide, d, axis) for d in range(-radius, radius + 1)])
+        ink = ink[radius:-radius] if axis == 0 else ink[:, radius:-radius]
+    return ink
+
+
+def ink_paint(rgba: np.ndarray, ink: np.ndarray, x: int, y: int) -> tuple[tuple[int, int, int] | None, dict | None]:
+    """Mean colour of an icon's saturated ink, and its gradient in sheet coordinates where a plane describes it; x, y: the icon's corner."""
+    rgb = rgba[..., :3].astype(np.float64)
+    on = ink & (rgb.max(axis=2) - rgb.min(axis=2) >= CORE)
+    if not on.any():
+        return None, None
+    v = rgb[on]
+    flat = tuple(int(c) for c in np.floor(v.mean(axis=0) + 0.5))
+    if len(v) < SAMPLES:
+        return flat, None
+    at = np.argwhere(on)[:, ::-1].astype(np.float64) + (x, y)
+    mid = at.mean(axis=0)
+    slope, _, rank, _ = np.linalg.lstsq(at - mid, v - v.mean(axis=0), rcond=1e-9)
+    left = v - v.mean(axis=0) - (at - mid) @ slope
+    values, vectors = np.linalg.eigh(slope @ slope.T)
+    residual = float(np.sqrt((left**2).sum(axis=1).mean()))
+    if rank < 2 or values[1] < 1e-9 or residual > POOR:
+        return flat, None
+    d = vectors[:, 1] * (-1 if vectors[:, 1].sum() < 0 else 1)
+    ends = np.percentile((at - mid) @ d, (5, 95))
+    if ends[1] - ends[0] < 1e-6:
+        return flat, None
+    (x1, y1), (x2, y2) = (mid + t * d for t in ends)
+    stops = [dict(zip("rgb", (int(c) for c in np.floor(np.clip(v.mean(axis=0) + t * (d @ slope), 0, 255) + 0.5)), strict=True)) for t in ends]
+    return flat, {"x1": float(x1), "y1": float(y1), "x2": float(x2), "y2": float(y2), "start": stops[0], "end": stops[1], "residual": residual}
+
+
 def uniformity(found: list[tuple[int, int]]) -> float:
     w = sorted(b - a for a, b in found)
     n = len(w)
@@ -84,7 +123,8 @@ def sheet_one(rgba: np.ndarray, options: Options) -> tuple[dict, list[dict]]:
     if counts and len(counts) > 1:
         floor = max(counts[len(counts) // 2] // 10, 1)
         score = min(sum(n >= floor for n in counts) / len(counts), uniformity(cols), uniformity(rows))
-    regions = label(ink, True)
+    # strokes of one icon hang together once they are grown; boxes and counts are those of the ink
+    regions = np.where(ink, label(grown(ink, DILATE), True), 0)
     orphans = straddling = 0
     for k in range(1, int(regions.max(initial=0)) + 1):
         y, x = np.nonzero(regions == k)
@@ -107,7 +147,8 @@ def sheet_one(rgba: np.ndarray, options: Options) -> tuple[dict, list[dict]]:
                 shapes = stroke_shapes(big, options)
                 if not shapes:
                     raise ValueError("no strokes")
-                icons.append({"row": r, "col": c, "x": int(x0), "y": int(y0), "w": int(x1 - x0), "h": int(y1 - y0), "shapes": shapes, "size": big.shape[1::-1]})
+                paint, ramp = ink_paint(rgba[y0:y1, x0:x1], ink[y0:y1, x0:x1], int(x0), int(y0))
+                icons.append({"name": f"icon-{r}-{c}", "color": paint and dict(zip("rgb", paint, strict=True)), "gradient": ramp, "row": r, "col": c, "x": int(x0), "y": int(y0), "w": int(x1 - x0), "h": int(y1 - y0), "shapes": shapes, "size": big.shape[1::-1]})
             except Exception as e:  # one icon that fails is a warning, not the sheet's failure
                 warnings.append(f"{c},{r}: {e}")
     for i in icons:
@@ -130,6 +171,7 @@ def sheet_one(rgba: np.ndarray, options: Options) -> tuple[dict, list[dict]]:
                 x["primitive"] = {k: v * s if isinstance(v, float) and k != "rotation" else v for k, v in x["primitive"].items()}
             if x.get("stroke_width"):
                 x["stroke_width"] = mid if near else x["stroke_width"] * s
+                x["stroke_color"] = i["color"] and tuple(i["color"].values())
         nodes = scene.build(i["shapes"], int(BOX), int(BOX), options.id_style)
         i["svg"] = scene.emit(nodes, int(BOX), int(BOX), precision=options.precision, origin="none")
         i["n_paths"] = len(nodes)
@@ -137,18 +179,19 @@ def sheet_one(rgba: np.ndarray, options: Options) -> tuple[dict, list[dict]]:
     return report, icons
 
 
-ICON = T.StructType([T.StructField("image_id", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("row", "col", "x", "y", "w", "h", "n_paths")], T.StructField("stroke_width", T.DoubleType()), T.StructField("width_unified", T.DoubleType()), T.StructField("svg", T.StringType())])
+RAMP = T.StructType([*[T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")], T.StructField("start", RGB), T.StructField("end", RGB), T.StructField("residual", T.DoubleType())])
+ICON = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("color", RGB), T.StructField("gradient", RAMP), *[T.StructField(c, T.IntegerType()) for c in ("row", "col", "x", "y", "w", "h", "n_paths")], T.StructField("stroke_width", T.DoubleType()), T.StructField("width_unified", T.DoubleType()), T.StructField("svg", T.StringType())])
 REPORT = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("segmentation", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("n_cols", "n_rows", "n_icons", "n_orphans", "n_straddling")], T.StructField("score", T.DoubleType()), T.StructField("stroke_width", T.DoubleType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 
 def sheet_icons(images: DataFrame, options: Options = Options(stroke=True)) -> DataFrame:
-    """One row for each icon found: its cell, crop, stroke width and markup."""
+    """One row for each icon found: its name, colours, cell, crop, stroke width and markup."""
     def one(r: dict) -> list[dict]:
         try:
             _, icons = sheet_one(unpack(r["width"], r["height"], r["rgba"]), options)
         except ValueError:
             return []
-        return [{"image_id": str(r["image_id"]), **{k: i[k] for k in ("row", "col", "x", "y", "w", "h", "n_paths", "stroke_width", "svg")}, "width_unified": i["unified"]} for i in icons]
+        return [{"image_id": str(r["image_id"]), **{k: i[k] for k in ("name", "color", "gradient", "row", "col", "x", "y", "w", "h", "n_paths", "stroke_width", "svg")}, "width_unified": i["unified"]} for i in icons]
 
     return _rows(images, ICON, one)
 
@@ -165,3 +208,16 @@ def sheet_report(images: DataFrame, options: Options = Options(stroke=True)) ->
     return _rows(images, REPORT, one)
 
 
+
+
+def write_sheets(images: DataFrame, path: str, options: Options = Options(stroke=True), dry_run: bool = False) -> DataFrame:
+    """Icons and reports of sheets, written as `icons` and `manifest` under path (the manifest as JSON lines); returns the manifest.
+
+    A dry run writes nothing.
+    """
+    manifest = sheet_report(images, options)
+    if dry_run:
+        return manifest
+    sheet_icons(images, options).write.mode("overwrite").parquet(f"{path}/icons")
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    return images.sparkSession.read.schema(REPORT).json(f"{path}/manifest")

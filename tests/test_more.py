@@ -109,7 +109,7 @@ def test_reports(spark):
     df = spark.createDataFrame([("i", 32, 32, bytearray(px.tobytes()))], "image_id string, width int, height int, rgba binary")
     m = read_sidecar(V.convert(df, {"mode": "icon"}))
     r = m.select(T.meta_report(F.col("meta")).alias("a"), T.markdown_report(F.col("meta")).alias("b"), F.size("meta.nodes").alias("n")).first()
-    assert r.a.startswith("schema=1 nodes=") and r.a.count("draw_order=") == r.n and r.b.count("| `s-") == r.n
+    assert r.a.startswith(f"{r.n} nodes, ") and r.a.count("    painted ") == r.n and r.b.count("| `s-") == r.n
 
 
 def test_masks_group_the_layers_of_a_conversion(spark):
@@ -125,3 +125,32 @@ def test_masks_group_the_layers_of_a_conversion(spark):
     assert groups["a", (200, 0)] == "corner" and groups["a", (0, 200)] != "corner"
     assert 'id="corner"' in {r.image_id: r.svg for r in out.collect()}["a"]
     assert groups["b", (200, 0)].startswith("g-")
+
+
+def test_sheets_name_paint_and_write_their_icons(spark, tmp_path):
+    from pelgrain.plans import sheet
+    from pelgrain.sources import derived as D
+
+    images = D.sheets(spark)
+    icons = sheet.sheet_icons(images).collect()
+    assert {(r.name, tuple(r.color)) for r in icons if r.image_id == "0"} == {(f"icon-{r}-{c}", (210, 30, 50)) for r in range(3) for c in range(3)}
+    assert all(r.gradient is None and 'stroke="#d21e32"' in r.svg for r in icons)
+    assert sheet.write_sheets(images, str(tmp_path / "none"), dry_run=True).count() == 2 and not (tmp_path / "none").exists()
+    manifest = sheet.write_sheets(images, f"file://{tmp_path}/out")
+    assert sorted((r.image_id, r.n_icons) for r in manifest.collect()) == [("0", 9), ("1", 9)]
+    assert spark.read.parquet(f"file://{tmp_path}/out/icons").count() == 18
+
+
+def test_ink_paint_finds_a_ramp():
+    from pelgrain.plans.sheet import grown, ink_paint
+
+    y, x = np.mgrid[:40, :60]
+    px = np.full((40, 60, 4), 255, np.uint8)
+    px[..., 0], px[..., 1], px[..., 2] = 180 + x, 10, 20 + y // 2
+    ink = (abs(y - 20) < 12) & (abs(x - 30) < 25)
+    flat, ramp = ink_paint(px, ink, 100, 7)
+    assert flat == (210, 10, 30) and ramp["residual"] < 1 and ramp["x2"] > ramp["x1"] > 100 and ramp["end"]["r"] > ramp["start"]["r"]
+    assert ink_paint(px, ink & False, 0, 0) == (None, None)
+    one = np.zeros((9, 9), bool)
+    one[4, 4] = True
+    assert (grown(one, 3) == ((abs(np.mgrid[:9, :9] - 4)).max(axis=0) <= 3)).all()
