@@ -427,16 +427,16 @@ g AS (SELECT shape_id, -c1/2 AS cx, -c2/2 AS cy, sqrt(c1*c1/4 + c2*c2/4 - c0) AS
 d AS (SELECT g.*, (SELECT max(abs(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) - r)) FROM proc WHERE proc.shape_id = g.shape_id) AS e FROM g)"""
 
 
-@query(f"WITH {D.CIRCLES_SQL}, {_circle_sql()} SELECT shape_id, " + ", ".join(f"CAST(floor({c}*1000 + 0.5e0) AS BIGINT) AS {c}_milli" for c in ("cx", "cy", "r")) + ", e <= least(greatest(0.5e0, 0.01e0*r), 0.05e0*r) AS accepted FROM d")
+@query(f"WITH {D.OUTLINES_SQL}, {_circle_sql()} SELECT shape_id, " + ", ".join(f"CAST(floor({c}*1000 + 0.5e0) AS BIGINT) AS {c}_milli" for c in ("cx", "cy", "r")) + ", e <= least(greatest(0.5e0, 0.01e0*r), 0.05e0*r) AS accepted FROM d")
 def q41_circle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = G.circle_fit(D.circles(spark))
+    f = G.circle_fit(D.outlines(spark, sf_dir))
     return f.select("shape_id", *[milli(F.col(c) + 0.0000001, f"{c}_milli") for c in ("cx", "cy", "r")], "accepted")
 
 
-@query(f"""WITH {D.CIRCLES_SQL}, e AS (SELECT shape_id, k, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, lag(x) OVER w AS px, lag(y) OVER w AS py FROM proc WINDOW w AS (PARTITION BY shape_id ORDER BY k))
+@query(f"""WITH {D.OUTLINES_SQL}, e AS (SELECT shape_id, k, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, lag(x) OVER w AS px, lag(y) OVER w AS py FROM proc WINDOW w AS (PARTITION BY shape_id ORDER BY k))
 SELECT shape_id, CAST(floor(sum(x*ny - nx*y)/2*100 + 0.5e0) AS BIGINT) AS area_centi, CAST(floor(sum(coalesce(sqrt((x-px)*(x-px)+(y-py)*(y-py)), 0))*100 + 0.5e0) AS BIGINT) AS length_centi, CAST(floor(min(x)*100 + 0.5e0) AS BIGINT) AS x_min_centi, CAST(floor(max(y)*100 + 0.5e0) AS BIGINT) AS y_max_centi FROM e GROUP BY 1""")
 def q42_path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.circles(spark)
+    p = D.outlines(spark, sf_dir)
     w = W.partitionBy("shape_id").orderBy("k")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     d = p.select("shape_id", "x", "y", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)).alias("d"))
@@ -578,16 +578,16 @@ def q58_cluster_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.within_cluster_error(D.emb(spark, sf_dir).withColumn("cluster", quarter)).select("image_id", milli(F.col("error"), "error_milli"))
 
 
-@query(f"""WITH {D.CIRCLES_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0e0) AS d FROM proc WINDOW w AS (PARTITION BY shape_id ORDER BY k))
+@query(f"""WITH {D.OUTLINES_SQL}, d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0e0) AS d FROM proc WINDOW w AS (PARTITION BY shape_id ORDER BY k))
 SELECT shape_id, k, CAST(floor((sum(d) OVER (PARTITION BY shape_id ORDER BY k))/(sum(d) OVER (PARTITION BY shape_id))*1000 + 0.5e0) AS BIGINT) AS t_milli FROM d""")
 def q59_chord_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.chord_lengths(D.circles(spark)).select("shape_id", "k", milli(F.col("t"), "t_milli"))
+    return G.chord_lengths(D.outlines(spark, sf_dir)).select("shape_id", "k", milli(F.col("t"), "t_milli"))
 
 
-@query(f"""WITH {D.CIRCLES_SQL}, n AS (SELECT p.shape_id, p.x, p.y, q.x AS nx, q.y AS ny FROM proc p JOIN proc q ON q.shape_id = p.shape_id AND q.k = (p.k + 1) % 24)
-SELECT shape_id, CAST(floor(sum(x*ny - nx*y)/2*1000 + 0.5e0) AS BIGINT) AS area_milli FROM n GROUP BY shape_id""")
+@query(f"""WITH {D.OUTLINES_SQL}, n AS (SELECT p.shape_id, p.x, p.y, q.x AS nx, q.y AS ny FROM proc p JOIN proc q ON q.shape_id = p.shape_id AND q.k = (p.k + 1) % 24)
+SELECT shape_id, CAST(floor(sum(x*ny - nx*y)/2*1000 + 0.25e0) AS BIGINT) AS area_milli FROM n GROUP BY shape_id""")
 def q60_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shoelace(D.circles(spark)).select("shape_id", milli(F.col("area"), "area_milli"))
+    return G.shoelace(D.outlines(spark, sf_dir)).select("shape_id", F.floor(F.col("area") * 1000 + 0.25).alias("area_milli"))
 
 
 @query(f"""WITH {D.BOXES_SQL}, p AS (SELECT a.image_id, a.box_id, b.box_id AS o_box_id, CAST(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))*greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS BIGINT) AS inter, a.area + b.area AS total
@@ -654,10 +654,10 @@ def q69_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.regions(D.emb(spark, sf_dir), F.col("v") > 127, 8)
 
 
-@query(f"""WITH {D.CIRCLES_SQL}, s AS (SELECT shape_id, avg(x) AS cx, avg(y) AS cy, (max(x) - min(x))/2 AS rx, (max(y) - min(y))/2 AS ry FROM proc GROUP BY shape_id),
+@query(f"""WITH {D.OUTLINES_SQL}, s AS (SELECT shape_id, avg(x) AS cx, avg(y) AS cy, (max(x) - min(x))/2 AS rx, (max(y) - min(y))/2 AS ry FROM proc GROUP BY shape_id),
 d AS (SELECT s.*, sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy)) AS d, x - cx AS dx, y - cy AS dy FROM proc JOIN s ON s.shape_id = proc.shape_id),
 f AS (SELECT shape_id, cx, cy, rx, ry, max(abs(d - rx*ry/sqrt(pow(rx*dy/d, 2) + pow(ry*dx/d, 2)))) AS residual FROM d GROUP BY ALL)
 SELECT shape_id, """ + ", ".join(f"CAST(floor({c}*1000 + 0.25e0) AS BIGINT) AS {c}_milli" for c in ("cx", "cy", "rx", "ry", "residual")) + ", residual <= least(greatest(0.5e0, least(rx, ry)*0.01e0), least(rx, ry)*0.05e0) AS accepted FROM f")
 def q70_ellipse_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [F.floor(F.col(c) * 1000 + 0.25).alias(f"{c}_milli") for c in ("cx", "cy", "rx", "ry", "residual")]
-    return G.ellipse_fit(D.circles(spark)).select("shape_id", *steps, "accepted")
+    return G.ellipse_fit(D.outlines(spark, sf_dir)).select("shape_id", *steps, "accepted")

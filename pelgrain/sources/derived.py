@@ -71,16 +71,6 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("image_id", "box_id", "x1", "y1", "x2", "y2", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long").alias("area"))
 
 
-def circles(spark: SparkSession, n: int = 40, points: int = 24) -> DataFrame:
-    """Point sets near circles, ellipses and boxes: (shape_id, k, x, y), from formulas."""
-    s = spark.range(n).select(F.col("id").alias("shape_id"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    t = F.col("k") * F.lit(6.283185307179586 / points)
-    rx = F.lit(5.0) + F.col("shape_id") % 7
-    ry = rx + F.when(F.col("shape_id") % 3 == 1, 4.0).otherwise(0.0)
-    wobble = F.when(F.col("shape_id") % 3 == 2, (F.col("k") % 2) * 1.5).otherwise(0.0)
-    return s.select("shape_id", "k", (F.lit(20.0) + F.col("shape_id") + (rx + wobble) * F.cos(t)).alias("x"), (F.lit(30.0) + (ry + wobble) * F.sin(t)).alias("y"))
-
-
 def outlines(spark: SparkSession, sf_dir: str, points: int = 24) -> DataFrame:
     """Closed outlines of the boxes: (shape_id, k, x, y). By turns the box itself, an ellipse in it, a circle; every fifth is dented."""
     b = boxes(spark, sf_dir).select("box_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
@@ -116,11 +106,6 @@ ROWS_SQL = """rows AS (SELECT doc_id AS image_id, CAST(unnest(range(len(l))) AS
 BOXES_SQL = """boxes AS (SELECT o_custkey AS image_id, o_orderkey AS box_id, x1, y1, x2, y2, CAST((x2 - x1) * (y2 - y1) AS BIGINT) AS area FROM orders JOIN (
   SELECT l_orderkey, CAST(min(l_quantity) AS INT) AS x1, min(CAST(floor(l_extendedprice / 1000) AS INT)) AS y1, CAST(max(l_quantity) AS INT) + 1 AS x2, max(CAST(floor(l_extendedprice / 1000) AS INT)) + 1 AS y2
   FROM lineitem GROUP BY 1) q ON l_orderkey = o_orderkey)"""
-CIRCLES_SQL = """proc AS (SELECT shape_id, k, 20e0 + shape_id + (rx + w) * cos(k * (6.283185307179586e0 / 24)) AS x, 30e0 + (ry + w) * sin(k * (6.283185307179586e0 / 24)) AS y FROM (
-  SELECT s.range AS shape_id, CAST(t.range AS INT) AS k, 5e0 + s.range % 7 AS rx, 5e0 + s.range % 7 + CASE WHEN s.range % 3 = 1 THEN 4e0 ELSE 0e0 END AS ry, CASE WHEN s.range % 3 = 2 THEN (t.range % 2) * 1.5e0 ELSE 0e0 END AS w
-  FROM range(40) s, range(24) t) q)"""
-
-
 OUTLINES_SQL = BOXES_SQL + """, proc AS (SELECT box_id AS shape_id, k,
   CASE WHEN box_id % 3 = 0 THEN CASE k // 6 WHEN 0 THEN x1 + (k % 6)/6e0*w WHEN 1 THEN x2::DOUBLE WHEN 2 THEN x2 - (k % 6)/6e0*w ELSE x1::DOUBLE END ELSE x1 + w/2 + rx*cos(k*(6.283185307179586e0/24)) END + CASE WHEN box_id % 5 = 4 AND k < 4 THEN 2.7182e0 ELSE 0e0 END AS x,
   CASE WHEN box_id % 3 = 0 THEN CASE k // 6 WHEN 0 THEN y1::DOUBLE WHEN 1 THEN y1 + (k % 6)/6e0*h WHEN 2 THEN y2::DOUBLE ELSE y2 - (k % 6)/6e0*h END ELSE y1 + h/2 + ry*sin(k*(6.283185307179586e0/24)) END AS y
