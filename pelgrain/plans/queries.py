@@ -427,10 +427,10 @@ g AS (SELECT shape_id, -c1/2 AS cx, -c2/2 AS cy, sqrt(c1*c1/4 + c2*c2/4 - c0) AS
 d AS (SELECT g.*, (SELECT max(abs(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) - r)) FROM proc WHERE proc.shape_id = g.shape_id) AS e FROM g)"""
 
 
-@query(f"WITH {D.OUTLINES_SQL}, {_circle_sql()} SELECT shape_id, " + ", ".join(f"CAST(floor({c}*1000 + 0.5e0) AS BIGINT) AS {c}_milli" for c in ("cx", "cy", "r")) + ", e <= least(greatest(0.5e0, 0.01e0*r), 0.05e0*r) AS accepted FROM d")
+@query(f"WITH {D.OUTLINES_SQL}, {_circle_sql()} SELECT shape_id, " + ", ".join(f"CAST(floor({c}*1000 + 0.25e0) AS BIGINT) AS {c}_milli" for c in ("cx", "cy", "r")) + ", e <= least(greatest(0.5e0, 0.01e0*r), 0.05e0*r) AS accepted FROM d")
 def q41_circle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = G.circle_fit(D.outlines(spark, sf_dir))
-    return f.select("shape_id", *[milli(F.col(c) + 0.0000001, f"{c}_milli") for c in ("cx", "cy", "r")], "accepted")
+    return f.select("shape_id", *[F.floor(F.col(c) * 1000 + 0.25).alias(f"{c}_milli") for c in ("cx", "cy", "r")], "accepted")
 
 
 @query(f"""WITH {D.OUTLINES_SQL}, e AS (SELECT shape_id, k, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, lag(x) OVER w AS px, lag(y) OVER w AS py FROM proc WINDOW w AS (PARTITION BY shape_id ORDER BY k))
