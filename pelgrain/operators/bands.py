@@ -62,9 +62,12 @@ def width_uniformity(bands: DataFrame, keys: tuple[str, ...] = ("image_id",)) ->
 
 def cell_ink(masked: DataFrame, cols: DataFrame, rows: DataFrame) -> DataFrame:
     """image_id, col, row (start of each band), n: ink of every cell of the lattice."""
-    cells = cols.select("image_id", F.col("start").alias("col"), F.col("end").alias("col_end")).join(rows.select("image_id", F.col("start").alias("row"), F.col("end").alias("row_end")), "image_id")
+    c, r = cols.select("image_id", F.col("start").alias("col"), "end"), rows.select("image_id", F.col("start").alias("row"), "end")
+    cells = c.select("image_id", "col").join(r.select("image_id", "row"), "image_id")
+    # bands do not overlap: a pixel finds its column and its row by position, not by comparing it with every cell
+    at = lambda b, name, axis: b.select("image_id", name, F.explode(F.sequence(F.col(name), F.col("end") - 1)).alias(axis))
     ink = masked.where("ink").select("image_id", "x", "y")
-    hit = ink.join(cells, "image_id").where("col <= x and x < col_end and row <= y and y < row_end").groupBy("image_id", "col", "row").agg(F.count("*").alias("n"))
+    hit = ink.join(at(c, "col", "x"), ["image_id", "x"]).join(at(r, "row", "y"), ["image_id", "y"]).groupBy("image_id", "col", "row").agg(F.count("*").alias("n"))
     return cells.join(hit, ["image_id", "col", "row"], "left").select("image_id", "col", "row", F.coalesce("n", F.lit(0)).alias("n"))
 
 
