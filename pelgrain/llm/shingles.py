@@ -18,11 +18,14 @@ from pelgrain.llm.words import lower_table, mix, runs, spaced_table, split_words
 WORDS = 5
 #: Sets with Jaccard 0.8 share a band of five minima with probability 0.8**5, and none of forty with 1.2e-7.
 BANDS, ROWS = 40, 5
+#: Of so many minima four bits are kept as a mark, 16 to a long. At Jaccard 0.8 the marks of two sets differ in
+#: 96 places of 512 on average, and in more than MOST_UNLIKE with a probability of about 1e-7.
+MARKED, MOST_UNLIKE = 512, 143
+MARKS = MARKED // 16
 #: Multipliers of the minima: odd numbers from a fixed generator.
-ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: Of each minimum four bits are kept as a mark, 16 to a long. At Jaccard 0.8 the marks of two sets differ in
-#: 37.5 places of 200 on average, and in more than this many with a probability under 1e-7.
-MARKS, MOST_UNLIKE = -(-BANDS * ROWS // 16), 67
+ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 31, MARKED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Members of a list that all others are compared with, on average, before pairs are looked for.
+CENTRES = 16
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 INSIDE, FOLD = spaced_table(), lower_table()
@@ -70,15 +73,14 @@ def band_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all bands and marks, a row for each text that has shingles: minima of fixed permutations of its hashes, five to a key."""
     x = (h >> np.uint64(32)).astype(np.uint32)
     starts = at[:-1][np.diff(at) > 0]
-    keys, marks = np.empty((len(starts), BANDS), np.uint64), np.zeros((len(starts), MARKS), np.uint64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(starts), 1))
+    marks = np.zeros((len(starts), MARKS), np.uint64)
     with np.errstate(over="ignore"):
-        for band in range(BANDS if len(starts) else 0):
-            key = np.full(len(starts), band + 1, np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                least = np.minimum.reduceat(x * ODD[k], starts).astype(np.uint64)
-                key = mix(key * np.uint64(3) + least)
-                marks[:, k // 16] |= (least & np.uint64(15)) << np.uint64(4 * (k % 16))
-            keys[:, band] = key
+        for k in range(MARKED if len(starts) else 0):
+            least = np.minimum.reduceat(x * ODD[k], starts).astype(np.uint64)
+            marks[:, k // 16] |= (least & np.uint64(15)) << np.uint64(4 * (k % 16))
+            if k < BANDS * ROWS:
+                keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(3) + least)
     return keys, marks
 
 
@@ -144,10 +146,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, nodes: DataFra
     return out
 
 
-def _rooted(lists: DataFrame, links: DataFrame, on: str) -> DataFrame:
-    """lists with `root`, the component of the set named in column `on`."""
-    known = components(links, "near-cc").select(F.col("node").alias(on), "root")
-    return lists.join(known, on, "left").withColumn("root", F.coalesce("root", F.col(on)))
+def _rooted(rows: DataFrame, known: DataFrame, on: str, root: str) -> DataFrame:
+    """rows with the component (known: node, root) of the set named in column `on`."""
+    found = known.select(F.col("node").alias(on), F.col("root").alias(root))
+    return rows.join(found, on, "left").withColumn(root, F.coalesce(root, on))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Lists (key, root, ...) with sets of several components."""
+    parts = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return named.join(parts, "key", "left_semi")
 
 
 def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -155,11 +163,12 @@ def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     Sets that share a band meet in its list. A set's weight is the length of all its lists: what a
     group of near copies was made from shares more bands with each than they do among themselves.
-    Each set is compared with the weightiest of its lists that it meets most often, then with those
-    of its other lists, then with what else is in its lists; every time only sets that no chain of
-    links has joined yet. A group of near copies so costs about its size. Pairs are told by their
-    marks before they leave a list, so a list of texts that are only half alike gives hardly any, though
-    it compares marks by the square of its length. All links are verified.
+    Each set is compared with the weightiest of its lists that it meets most often, then with the one
+    most like it among some members of its lists, then with all that is in its lists; every time
+    only sets that no chain of links has joined yet. A group of near copies so costs about its size.
+    Pairs are told by their marks before they leave a list, each in one list only, so a list of texts
+    that are only half alike gives hardly any, though it compares marks by the square of its length.
+    All links are verified.
     """
     known = staged(rows.where("sig is not null").select("sig", "keys", "marks").dropDuplicates(["sig"]), "near-sets-of-keys")
     posts, nodes = known.select("sig", F.explode("keys").alias("key")), known.select("sig", "marks")
@@ -170,21 +179,24 @@ def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
     weights = staged(lists.groupBy("sig").agg(F.sum("c").alias("w")), "near-weights")
     centres = lists.join(weights, "sig").groupBy("key", "c").agg(F.max(F.struct("w", "sig")).alias("f")).select("key", "c", F.col("f.sig").alias("u"))
     stars = join_counted(lists.drop("c"), centres, ["key"], "c", total).where("sig <> u").groupBy("u", F.col("sig").alias("v")).agg(F.count("*").alias("m"))
-    stars = staged(stars, "near-stars")
-    best = stars.groupBy("v").agg(F.max(F.struct("m", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
+    best = staged(stars.groupBy("v").agg(F.max(F.struct("m", "u")).alias("b")).select(F.col("b.u").alias("u"), "v"), "near-stars")
     links = _verified(best, rows, docs, nodes)
-    # the other centres
-    apart = _rooted(_rooted(stars.join(best, ["u", "v"], "left_anti"), links, "u").withColumnRenamed("root", "ru"), links, "v").where("ru <> root").select("u", "v")
-    links = links.unionAll(_verified(apart, rows, docs, nodes))
-    # what is left in lists of several components
-    named = staged(_rooted(lists, links, "sig"), "near-named")
-    parts = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(named.join(parts, "key", "left_semi").select("key", "sig", "root").join(nodes, "sig"), "near-open")
-    a, b = open_.select("key", F.col("sig").alias("u"), F.col("root").alias("ru"), F.col("marks").alias("mu")), open_.select("key", F.col("sig").alias("v"), F.col("root").alias("rv"), F.col("marks").alias("mv"))
-    apart = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (unlike(F.col("mu"), F.col("mv")) <= MOST_UNLIKE)
-    rest = a.join(b, [a["key"] == b["key"], apart]).select("u", "v").distinct()
-    seen = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    # lists of several components, with what tells their members
+    named = _rooted(lists, staged(components(links, "near-cc"), "near-joined"), "sig", "root")
+    open_ = staged(_open(staged(named, "near-named")).join(known, "sig"), "near-open")
+    side = lambda d, n: d.select("key", F.col("sig").alias(n), F.col("root").alias(f"r{n}"), F.col("marks").alias(f"m{n}"), F.col("keys").alias(f"k{n}"))
+    some = side(open_.where(F.pmod(F.xxhash64("sig"), F.col("c")) < CENTRES), "u")
+    far = unlike(F.col("mu"), F.col("mv"))
+    near = side(open_, "v").join(some, "key").where("u <> v and ru <> rv").select("u", "v", far.alias("far")).where(F.col("far") <= MOST_UNLIKE)
+    near = staged(near.groupBy("v").agg(F.min(F.struct("far", "u")).alias("b")).select(F.col("b.u").alias("u"), "v"), "near-some")
+    links = links.unionAll(_verified(near, rows, docs, nodes))
+    # all that is left, each pair in the first list that it meets in
+    left = _open(staged(_rooted(open_.drop("root"), staged(components(links, "near-cc"), "near-joined"), "sig", "root"), "near-left"))
+    a, b = side(left, "u"), side(left, "v")
+    apart = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (far <= MOST_UNLIKE) & (F.array_min(F.array_intersect("ku", "kv")) == a["key"])
+    rest = a.join(b, [a["key"] == b["key"], apart]).select("u", "v")
+    seen = best.unionAll(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = links.unionAll(_verified(rest.join(seen, ["u", "v"], "left_anti"), rows, docs, nodes))
-    for spent in (known, sizes, lists, weights, stars, named, open_):
+    for spent in (known, sizes, lists, weights, best, open_, near):
         discard(spent)
     return links

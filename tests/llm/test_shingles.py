@@ -76,15 +76,15 @@ def test_links_are_similar_and_connect_all(spark):
 def test_bands_and_marks_meet_at_the_stated_similarity(spark):
     """Pairs of Jaccard 0.8 share about 13 bands of 40 and never none; unlike ones hardly any."""
     rng = np.random.default_rng(5)
-    for n, changed, least, most, unlike in ((450, 50, 10, 17, 37.5), (450, 450, 0, 0.5, 187.5)):  # 400 of 500 in common; none
+    for n, changed, least, most, unlike in ((450, 50, 10, 17, 96), (450, 450, 0, 0.5, 480)):  # 400 of 500 in common; none
         met, far = [], []
-        for _ in range(300):
+        for _ in range(150):
             x = rng.integers(0, 1 << 63, n + changed).astype(np.uint64)
             h = np.concatenate([x[:n], x[changed:]])
             (a, b), (p, q) = S.band_keys(h, np.array([0, n, 2 * n]))
             met.append(int((a == b).sum()))
             far.append(sum(((int(x) ^ int(y)) >> 4 * k & 15) > 0 for x, y in zip(p, q) for k in range(16)))
         assert least <= np.mean(met) <= most and (min(met) > 0 or not least)
-        assert abs(np.mean(far) - unlike) < 2 and (max(far) <= S.MOST_UNLIKE) == bool(least)
+        assert abs(np.mean(far) - unlike) < 4 and (max(far) <= S.MOST_UNLIKE) == bool(least)
     df = spark.createDataFrame([([int(x) for x in p.view(np.int64)], [int(x) for x in q.view(np.int64)])], "p array<long>, q array<long>")
     assert df.select(S.unlike(df["p"], df["q"])).first()[0] == far[-1]
