@@ -33,10 +33,10 @@ def weights(source: int, target: int, name: str) -> np.ndarray:
 
 def _along(p: np.ndarray, target: int, name: str) -> np.ndarray:
     """The first axis resampled: for each target the few sources that weigh anything."""
-    m = weights(len(p), target, name)
+    m = weights(len(p), target, name).astype(np.float32)
     taps = int((m != 0).sum(axis=1).max())
     first = np.minimum((m != 0).argmax(axis=1), len(p) - taps)
-    out = np.zeros((target, *p.shape[1:]))
+    out = np.zeros((target, *p.shape[1:]), np.float32)
     for k in range(taps):
         out += m[np.arange(target), first + k][:, None, None] * p[first + k]
     return out
@@ -49,8 +49,8 @@ def resize(rgba: np.ndarray, width: int, height: int, name: str) -> np.ndarray:
         y = np.minimum(np.floor((np.arange(height) + 0.5) * h / height), h - 1).astype(int)
         x = np.minimum(np.floor((np.arange(width) + 0.5) * w / width), w - 1).astype(int)
         return rgba[y][:, x]
-    a = rgba[..., 3:] / 255.0
-    p = np.concatenate([rgba[..., :3] * a, rgba[..., 3:]], axis=2)
+    a = rgba[..., 3:].astype(np.float32) / np.float32(255)
+    p = np.concatenate([rgba[..., :3] * a, rgba[..., 3:]], axis=2, dtype=np.float32)
     p = _along(p, height, name)
     p = _along(p.transpose(1, 0, 2), width, name).transpose(1, 0, 2)
     alpha = np.clip(p[..., 3:], 0, 255)
