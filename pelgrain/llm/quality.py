@@ -75,49 +75,66 @@ def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         k = stop
 
 
+def _halves(known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the good documents of the sample, in two halves by a hash of the id."""
+    good = np.array(sorted(k for k, q in known.items() if q == 1), np.int64)
+    side = (mix(good.view(np.uint64)) & np.uint64(1)).astype(bool)
+    return good[~side], good[side]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, int]]:
-    """Log ratio of the target model to the raw model by bucket, and the labelled sample (doc_id -> quality).
+    """Log ratios of target models to the raw model by bucket, and the labelled sample (doc_id -> quality).
 
     The raw model counts the n-grams of all documents; the target model those of the sample's good
-    ones. Each partition sends one vector for each model, summed by a shuffle on buckets.
+    ones. Three ratios: of the whole sample, and of either half of its good ones, so that no
+    document is judged by a model made from it. Each partition sends one vector for each model,
+    summed by a shuffle on buckets.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = {r.doc_id: r.quality for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toLocalIterator()}
-    good = np.array(sorted(k for k, q in known.items() if q == 1), np.int64)
+    halves = _halves(known)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros((3, BUCKETS), np.int64)
         for b in it:
             ids = np.array(b.column("doc_id").fill_null(-(1 << 62)).cast(pa.int64()))
-            mine = np.isin(ids, good)
+            mine = [np.isin(ids, h) for h in halves]
             for k, stop, grams, at in _pieces(b):
                 sums[0] += np.bincount(grams, minlength=BUCKETS)
-                take = np.repeat(mine[k:stop], np.diff(at))
-                sums[1] += np.bincount(grams[take], minlength=BUCKETS)
+                for j, some in enumerate(mine):
+                    if some[k:stop].any():
+                        sums[1 + j] += np.bincount(grams[np.repeat(some[k:stop], np.diff(at))], minlength=BUCKETS)
         if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), *map(pa.array, sums)], ["bucket", "raw", "one", "two"])
 
-    counts = docs.select("doc_id", "text").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    counts = docs.select("doc_id", "text").mapInArrow(count, "bucket int, raw long, one long, two long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "one", "two")])
+    n = np.zeros((3, BUCKETS))
     for r in counts.toLocalIterator():
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    if not target.any():
-        return np.zeros(BUCKETS), known
-    q = (raw + 1) / (raw.sum() + BUCKETS)
-    p = (target + BUCKETS * q) / (target.sum() + BUCKETS)  # thin buckets say nothing
-    return np.log(p / q), known
+        n[:, r.bucket] = r.raw, r.one, r.two
+    q = (n[0] + 1) / (n[0].sum() + BUCKETS)
+    # thin buckets say nothing, nor does a model of no documents
+    ratios = [np.log((t + BUCKETS * q) / (t.sum() + BUCKETS) / q) if t.any() else np.zeros(BUCKETS) for t in (n[1] + n[2], n[1], n[2])]
+    return np.array(ratios), known
 
 
-def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, th, n_grams, log_weight): the importance weight of each document, in logs; th is a hash of the text."""
+def score(docs: DataFrame, ratios: np.ndarray, known: dict[int, int]) -> DataFrame:
+    """(doc_id, th, n_grams, log_weight): the importance weight of each document, in logs; th is a hash of the text.
+
+    Good documents of the sample are judged by the half that they are not in.
+    """
+    halves = _halves(known)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             n, weight = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            ids = np.array(b.column("doc_id").fill_null(-(1 << 62)).cast(pa.int64()))
+            other = np.where(np.isin(ids, halves[0]), 2, np.where(np.isin(ids, halves[1]), 1, 0))
             for k, stop, grams, at in _pieces(b):
                 n[k:stop] = np.diff(at)
-                run = np.concatenate([[0.0], np.cumsum(ratio[grams])])
+                run = np.concatenate([[0.0], np.cumsum(ratios[0][grams])])
                 weight[k:stop] = run[at[1:]] - run[at[:-1]]
+                for i in np.flatnonzero(other[k:stop]).tolist():
+                    weight[k + i] = ratios[other[k + i]][grams[at[i] : at[i + 1]]].sum()
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("th"), pa.array(n), pa.array(weight)], ["doc_id", "th", "n_grams", "log_weight"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(batches, "doc_id long, th long, n_grams long, log_weight double")
@@ -188,12 +205,12 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperatu
 
 
 def _drawn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE, share: float | None = None) -> DataFrame:
-    ratio, known = fit(docs, labels, sample)
-    rows = staged(score(docs, ratio).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")) * temperature), "op4")
+    ratios, known = fit(docs, labels, sample)
+    rows = staged(score(docs, ratios, known).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")) * temperature), "op4")
     if share is None:
         ids = rows.sparkSession.createDataFrame([(k, q) for k, q in known.items()], "doc_id long, quality int")
         pairs = [(r.log_weight, r.quality) for r in rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("log_weight")).toLocalIterator()]
-        cut = threshold(pairs) if ratio.any() else -math.inf
+        cut = threshold(pairs) if ratios[0].any() else -math.inf
         k = rows.where(F.col("log_weight") >= cut).count()
     else:
         k = math.floor(rows.count() * share + 0.5)

@@ -53,17 +53,19 @@ def plain_resample(docs, labels):
     for i, q in labels:
         if i is not None and q is not None:
             known[i] = min(q, known.get(i, q))
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    raw, target = np.zeros(quality.BUCKETS), np.zeros((2, quality.BUCKETS))
+    half = lambda i: mix(i & M) & 1
     for i, g in grams:
         np.add.at(raw, g, 1)
         if known.get(i) == 1:
-            np.add.at(target, g, 1)
+            np.add.at(target[half(i)], g, 1)
     q = (raw + 1) / (raw.sum() + quality.BUCKETS)
-    p = (target + quality.BUCKETS * q) / (target.sum() + quality.BUCKETS)
-    ratio = np.log(p / q) if target.any() else np.zeros(quality.BUCKETS)
+    ratio = lambda t: np.log((t + quality.BUCKETS * q) / (t.sum() + quality.BUCKETS) / q) if t.any() else np.zeros(quality.BUCKETS)
+    whole, halves = ratio(target.sum(axis=0)), [ratio(t) for t in target]
     rows = []
     for i, g in grams:
-        w = float(sum(ratio[x] for x in g))
+        mine = halves[1 - half(i)] if known.get(i) == 1 else whole
+        w = float(sum(mine[x] for x in g))
         h = xxh64(((-1 if i is None else i) & M).to_bytes(8, "little"), 42).intdigest()
         u = ((xxh64(b"gumbel", h).intdigest() >> 11) + 0.5) / (1 << 53)
         rows.append((i, len(g), w, w - math.log(-math.log(u))))
@@ -71,7 +73,7 @@ def plain_resample(docs, labels):
     for i, _, w, _ in rows:
         if i in known:
             score[i] = min(w, score.get(i, w))
-    cut = quality.threshold([(w, known[i]) for i, w in score.items()]) if ratio.any() else -math.inf
+    cut = quality.threshold([(w, known[i]) for i, w in score.items()]) if whole.any() else -math.inf
     k = sum(w >= cut for _, _, w, _ in rows)
     keys = sorted((r[3] for r in rows), reverse=True)
     last = keys[k - 1] if k else math.inf
