@@ -159,7 +159,7 @@ def _open(named: DataFrame) -> DataFrame:
 
 
 def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (sig, n, keys, th: xxhash64 of the text) of docs -> (u, v): names of sets that connect just those joined by steps of Jaccard 0.8.
+    """rows (sig, keys, marks, th: xxhash64 of the text) of docs -> (u, v): names of sets that connect just those joined by steps of Jaccard 0.8.
 
     Sets that share a band meet in its list. A set's weight is the length of all its lists: what a
     group of near copies was made from shares more bands with each than they do among themselves.
