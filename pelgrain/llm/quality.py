@@ -20,7 +20,7 @@ SAMPLE = 20_000
 #: Scale of the Gumbel noise against the log of the importance weight: 1 draws documents by their weights.
 TEMPERATURE = 1.0
 #: Text bytes of a batch that are handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 INSIDE = spaced_table()
 
 

@@ -27,7 +27,7 @@ ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 31, MARKED, dtyp
 #: Members of a list that all others are compared with, on average, before pairs are looked for.
 CENTRES = 16
 #: Bytes of text worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 INSIDE, FOLD = spaced_table(), lower_table()
 
 
