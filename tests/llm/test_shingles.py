@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from test_simhash import WORD, plain, roots
 
@@ -88,3 +89,19 @@ def test_bands_and_marks_meet_at_the_stated_similarity(spark):
         assert abs(np.mean(far) - unlike) < 4 and (max(far) <= S.MOST_UNLIKE) == bool(least)
     df = spark.createDataFrame([([int(x) for x in p.view(np.int64)], [int(x) for x in q.view(np.int64)])], "p array<long>, q array<long>")
     assert df.select(S.unlike(df["p"], df["q"])).first()[0] == far[-1]
+
+
+def test_planes_tell_the_same_differences_in_a_smaller_expression(spark):
+    rng = np.random.default_rng(9)
+    p = rng.integers(0, 1 << 63, (40, S.MARKS)).astype(np.uint64)
+    q = np.where(rng.random(p.shape) < 0.5, p, p ^ (np.uint64(1) << rng.integers(0, 64, p.shape).astype(np.uint64)))
+    as_lists = lambda x: x.view(np.int64).tolist()
+    df = spark.createDataFrame(list(zip(*map(as_lists, (p, q, S.planes(p), S.planes(q))), strict=True)), "p array<long>, q array<long>, a array<long>, b array<long>")
+    rows = df.select(S.unlike(df["p"], df["q"]).alias("u"), S.differing(df["a"], df["b"]).alias("d")).collect()
+    assert [r.u for r in rows] == [r.d for r in rows] and len({r.u for r in rows}) > 5
+    size = lambda c: len(c._jc.toString())
+    assert size(S.differing(df["a"], df["b"])) * 3 < size(S.unlike(df["p"], df["q"]))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    (_, marks) = S.band_keys(*S.hashes(*S.text_buffer(pa.array(["a b c d e f"]))))
+    got = {r.doc_id: r.marks for r in S.signatures(docs).collect()}
+    assert got == {1: as_lists(S.planes(marks))[0], 2: []}
